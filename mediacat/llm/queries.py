@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediacat.llm import simhash
+from mediacat.llm import simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_simple8b": token_files.query,
     "op9_simhash": simhash.query,
 }
 
