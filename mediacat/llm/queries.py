@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediacat.llm import language, simhash, token_files
+from mediacat.llm import curriculum, language, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_curriculum": curriculum.query,
     "op7_simple8b": token_files.query,
     "op9_simhash": simhash.query,
     "op10_language": language.query,
 }
 
 #: DuckDB SQL of those that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_curriculum": curriculum.ORACLE_SQL,
+}
