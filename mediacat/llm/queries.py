@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediacat.llm import curriculum, language, simhash, token_files
+from mediacat.llm import curriculum, language, secrets, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_efficiency": secrets.query,
     "op5_curriculum": curriculum.query,
     "op7_simple8b": token_files.query,
     "op9_simhash": simhash.query,
