@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediacat.llm import curriculum, decontaminate, language, secrets, simhash, token_files
+from mediacat.llm import curriculum, decontaminate, language, pii, secrets, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bm25": decontaminate.query,
     "op2_token_efficiency": secrets.query,
+    "op3_weak_supervision": pii.query,
     "op5_curriculum": curriculum.query,
     "op7_simple8b": token_files.query,
     "op9_simhash": simhash.query,
