@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediacat.llm import curriculum, decontaminate, language, pii, secrets, simhash, token_files
+from mediacat.llm import curriculum, decontaminate, language, pii, secrets, simhash, token_files, va_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bm25": decontaminate.query,
     "op2_token_efficiency": secrets.query,
     "op3_weak_supervision": pii.query,
     "op5_curriculum": curriculum.query,
+    "op6_va_file": va_file.query,
     "op7_simple8b": token_files.query,
     "op9_simhash": simhash.query,
     "op10_language": language.query,
@@ -21,4 +22,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL of those that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op5_curriculum": curriculum.ORACLE_SQL,
+    "op6_va_file": va_file.ORACLE_SQL,
 }
