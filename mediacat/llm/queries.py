@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediacat.llm import curriculum, decontaminate, language, pii, secrets, simhash, token_files, va_file
+from mediacat.llm import curriculum, decontaminate, language, pii, secrets, simhash, suffix_dedup, token_files, va_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bm25": decontaminate.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_curriculum": curriculum.query,
     "op6_va_file": va_file.query,
     "op7_simple8b": token_files.query,
+    "op8_column_bwt": suffix_dedup.query,
     "op9_simhash": simhash.query,
     "op10_language": language.query,
 }
