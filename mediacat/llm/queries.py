@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediacat.llm import curriculum, decontaminate, language, pii, secrets, simhash, suffix_dedup, token_files, va_file
+from mediacat.llm import curriculum, decontaminate, importance, language, pii, secrets, simhash, suffix_dedup, token_files, va_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bm25": decontaminate.query,
     "op2_token_efficiency": secrets.query,
     "op3_weak_supervision": pii.query,
+    "op4_importance": importance.query,
     "op5_curriculum": curriculum.query,
     "op6_va_file": va_file.query,
     "op7_simple8b": token_files.query,
