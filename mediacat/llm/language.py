@@ -222,3 +222,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_fold(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     model = fit(docs.where(~F.col("held_out")))
     return identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def known_language(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.5) -> DataFrame:
+    """docs whose language is found with at least this score; all their columns as they were."""
+    renamed = docs.select(*(F.col(f"`{c}`").alias(f"c_{c}") for c in docs.columns), F.col("text").cast("string").alias("text"))
+    kept = identify(renamed, model)
+    kept = kept.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.select(*(F.col(f"`c_{c}`").alias(c) for c in docs.columns))
