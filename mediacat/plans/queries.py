@@ -68,7 +68,6 @@ def fixture(spark: SparkSession, d: str, sql: str) -> DataFrame:
 
 
 _FILES, _TASKS, _FACES, _POINTS, _CENTERS, _DOCS = map(sql_of, (FILES, TASKS, FACES, POINTS, CENTERS, DOCS))
-P = F.col("file_path")
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
@@ -84,17 +83,17 @@ _EXT = "lower(regexp_extract(file_path, '[.]([^./]*)$', 1))"
 
 @query("file_type", f"SELECT id, {case_map(_EXT, {'image': paths.IMAGE + paths.IMAGE_EXTRA, 'video': paths.VIDEO, 'audio': paths.AUDIO, 'document': paths.DOCUMENT, 'archive': paths.ARCHIVE}, repr('other'))} AS file_type FROM {_FILES}")
 def _(spark, d):
-    return files(spark, d).select("id", paths.file_type(P).alias("file_type"))
+    return files(spark, d).select("id", paths.file_type(F.col("file_path")).alias("file_type"))
 
 
 @query("glob_type", f"SELECT id, {case_map(_EXT, {'image': paths.IMAGE, 'video': paths.VIDEO, 'audio': paths.AUDIO, 'document': paths.DOCUMENT, 'archive': paths.ARCHIVE})} AS file_type FROM {_FILES}")
 def _(spark, d):
-    return files(spark, d).select("id", paths.glob_type(P).alias("file_type"))
+    return files(spark, d).select("id", paths.glob_type(F.col("file_path")).alias("file_type"))
 
 
 @query("mime_type", f"SELECT id, CASE {_EXT} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in paths.MIME.items()) + f" ELSE 'application/octet-stream' END AS mime FROM {_FILES}")
 def _(spark, d):
-    return files(spark, d).select("id", paths.mime_type(P).alias("mime"))
+    return files(spark, d).select("id", paths.mime_type(F.col("file_path")).alias("mime"))
 
 
 _NAME = "regexp_extract(file_path, '[^/]*$')"
@@ -102,7 +101,7 @@ _NAME = "regexp_extract(file_path, '[^/]*$')"
 
 @query("camera_brand", "SELECT id, CASE " + " ".join(f"WHEN regexp_matches(upper({_NAME}), '{v}') THEN '{k}'" for k, v in paths.CAMERAS.items()) + f" END AS brand FROM {_FILES}")
 def _(spark, d):
-    return files(spark, d).select("id", paths.camera_brand(P).alias("brand"))
+    return files(spark, d).select("id", paths.camera_brand(F.col("file_path")).alias("brand"))
 
 
 _STEM = f"regexp_replace({_NAME}, '[.][^.]*$', '')"
@@ -110,12 +109,12 @@ _STEM = f"regexp_replace({_NAME}, '[.][^.]*$', '')"
 
 @query("burst_name", f"SELECT id, regexp_matches(upper({_STEM}), '{paths.BURST_NAME}') AS burst FROM {_FILES}")
 def _(spark, d):
-    return files(spark, d).select("id", paths.is_burst_name(P).alias("burst"))
+    return files(spark, d).select("id", paths.is_burst_name(F.col("file_path")).alias("burst"))
 
 
 @query("capture_time", f"""SELECT id, CAST(epoch(coalesce(try_strptime(regexp_replace(nullif(regexp_extract({_STEM}, '([0-9]{{8}}_[0-9]{{6}})', 1), ''), '_', ''), '%Y%m%d%H%M%S'), make_timestamp(mtime * 1000000))) AS BIGINT) AS captured FROM {_FILES}""")
 def _(spark, d):
-    return files(spark, d).select("id", F.unix_timestamp(paths.capture_time(P, F.timestamp_seconds("mtime"))).alias("captured"))
+    return files(spark, d).select("id", F.unix_timestamp(paths.capture_time(F.col("file_path"), F.timestamp_seconds("mtime"))).alias("captured"))
 
 
 @query("normalize_path", "SELECT page_id, regexp_replace(regexp_replace(replace(concat('C:\\', url), '\\', '/'), '^.:', ''), '^/', '') AS path_key FROM pages")
@@ -125,7 +124,7 @@ def _(spark, d):
 
 @query("should_reprocess", f"SELECT id, {_EXT} IN ({', '.join(map(repr, paths.REPROCESSED))}) AS again FROM {_FILES}")
 def _(spark, d):
-    return files(spark, d).select("id", paths.should_reprocess(P).alias("again"))
+    return files(spark, d).select("id", paths.should_reprocess(F.col("file_path")).alias("again"))
 
 
 @query("organization_path", f"""SELECT id, concat('Others/', strftime(make_timestamp(mtime * 1000000), '%Y/%m/%d'), '/', s, CASE WHEN n > 0 THEN concat('_', CAST(n AS STRING)) ELSE '' END, e) AS target FROM (
@@ -165,7 +164,7 @@ def _(spark, d):
 @query("mark_orphans", f"SELECT id, id % 2 = 0 OR (file_path LIKE '/lib/d3/%' AND file_path NOT IN (SELECT file_path FROM {_FILES} WHERE id % 3 = 0)) AS processed FROM {_FILES}")
 def _(spark, d):
     f = files(spark, d).withColumn("processed", F.col("id") % 2 == 0).withColumn("error", F.lit(None).cast("string"))
-    return catalog.mark_orphans(f, f.where("id % 3 = 0").select(P.alias("path")), "/lib/d3").select("id", "processed")
+    return catalog.mark_orphans(f, f.where("id % 3 = 0").select(F.col("file_path").alias("path")), "/lib/d3").select("id", "processed")
 
 
 @query("exact_matches", f"SELECT a.id AS left_id, b.id AS right_id FROM {_FILES} a JOIN {_FILES} b ON a.file_hash = b.file_hash AND a.file_path <> b.file_path WHERE a.id % 10 = 0")
@@ -281,7 +280,7 @@ def _(spark, d):
 
 @query("media_stats", f"SELECT count(*) AS processed, count(*) FILTER (k = 'image') AS images, count(*) FILTER (k = 'video') AS videos, CAST(sum(id % 4) AS BIGINT) AS faces, count(*) FILTER (id % 9 = 0) AS errors FROM (SELECT id, {case_map(_EXT, {'image': paths.IMAGE, 'video': paths.VIDEO})} AS k FROM {_FILES})")
 def _(spark, d):
-    return catalog.media_stats(files(spark, d).select(paths.file_type(P).alias("file_type"), (F.col("id") % 4).alias("faces"), F.when(F.col("id") % 9 == 0, "x").alias("error")))
+    return catalog.media_stats(files(spark, d).select(paths.file_type(F.col("file_path")).alias("file_type"), (F.col("id") % 4).alias("faces"), F.when(F.col("id") % 9 == 0, "x").alias("error")))
 
 
 @query("unprocessed", f"SELECT id FROM {_DOCS} WHERE NOT processed")
@@ -825,7 +824,7 @@ def _(spark, d):
 @query("ingest_job", f"SELECT count(*) FILTER (k) AS ingested, count(*) FILTER (NOT k) AS duplicates, 0 AS errors, CAST(sum(file_size) FILTER (k) AS BIGINT) AS total_size FROM (SELECT file_size, row_number() OVER (PARTITION BY file_hash ORDER BY mtime, file_path) = 1 AS k FROM {_FILES} WHERE id % 3 <> 0 AND file_path NOT LIKE '%.tmp' AND file_path NOT IN (SELECT file_path FROM {_FILES} WHERE id % 3 = 0))")
 def _(spark, d):
     f = files(spark, d)
-    listing = f.where("id % 3 <> 0").select(P.alias("path"), F.col("file_size").alias("size"), "mtime", F.lit(False).alias("is_dir"), F.col("file_hash").alias("hash"), F.lit(None).cast("string").alias("perceptual_hash"))
+    listing = f.where("id % 3 <> 0").select(F.col("file_path").alias("path"), F.col("file_size").alias("size"), "mtime", F.lit(False).alias("is_dir"), F.col("file_hash").alias("hash"), F.lit(None).cast("string").alias("perceptual_hash"))
     return jobs.ingest(listing, f.where("id % 3 = 0"), F.lit(_AS_OF).cast("timestamp"))[2].withColumn("errors", F.col("errors").cast("int"))
 
 
@@ -856,7 +855,7 @@ def _(spark, d):
 def _(spark, d):
     f = files(spark, d).withColumn("processed", F.lit(False)).withColumn("error", F.lit(None).cast("string"))
     t = fixture(spark, d, TASKS).withColumn("completed_at", F.col("created_at").cast("timestamp"))
-    return jobs.maintain(f, f.where("id % 3 = 0").select(P.alias("path")), t, "/lib/d3", F.lit(_AS_OF).cast("timestamp"))[0].agg(F.count_if("processed").alias("orphans"))
+    return jobs.maintain(f, f.where("id % 3 = 0").select(F.col("file_path").alias("path")), t, "/lib/d3", F.lit(_AS_OF).cast("timestamp"))[0].agg(F.count_if("processed").alias("orphans"))
 
 
 @query("score_job", "SELECT doc_id, CAST(length(text) AS DOUBLE) AS score FROM documents")
