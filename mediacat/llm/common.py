@@ -1,57 +1,5 @@
-"""What the operators of this subpackage share."""
+"""What the operators of this subpackage share with the catalog."""
 
-from __future__ import annotations
+from mediacat.storage import components, partitions, shared_dir, stored, table
 
-import tempfile
-import uuid
-from functools import lru_cache
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-@lru_cache(maxsize=1)
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="mediacat-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _local_dir()
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected graph: (node, root), root the smallest node reached.
-
-    edges: (a, b) of an orderable type; nulls and loops are dropped. Each round takes the smallest label among
-    a node's neighbours, then the label of its label, and is written out; no edges give no rows.
-    """
-    links = edges.where("a is not null and b is not null and a <> b").select("a", "b")
-    links = stored(links.union(links.select("b", "a")).distinct(), "links")
-    labels = stored(links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
-    for _ in range(rounds):
-        near = links.join(labels.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("old"), F.least("root", "r").alias("up"))
-        step = stored(step, "step")
-        jump = step.join(step.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left")
-        new = stored(jump.select("node", F.coalesce(F.least("up", "top"), "up").alias("root"), "old"), "labels")
-        if new.where("root <> old").isEmpty():
-            return new.select("node", "root")
-        labels = new.select("node", "root")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+__all__ = ["components", "partitions", "shared_dir", "stored", "table"]

@@ -59,17 +59,19 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_PASSES, slop
     goal = targets(sums.groupBy(F.col("__source").alias("source")).agg(F.sum("words").alias("source_size")), weights, most)
     before = F.sum("words").over(Window.partitionBy("__source").orderBy("__bucket")) - F.col("words")
     slope = F.element_at(F.array(*map(F.lit, slopes)), (F.col("place") % len(slopes) + 1).cast("int"))
-    plan = sums.withColumn("before", before).join(goal, F.col("__source").eqNullSafe(F.col("source"))).select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), "before", "source_size", "target", slope.alias("slope"))
+    plan = sums.withColumn("before", before).join(goal, F.col("__source").eqNullSafe(F.col("source")))
+    plan = plan.select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), F.struct("before", "source_size", "target", slope.alias("slope")).alias("__p"))
     own = F.sum("__size").over(Window.partitionBy("__source", "__bucket").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumn("__own", own - F.col("__size"))
     rows = rows.join(plan, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
-    at = F.col("before") + F.col("__own")
-    whole = F.floor("target")
-    passes = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0).cast("long")
-    part = F.least(F.col("__size"), F.greatest(F.lit(0), whole - passes * F.col("source_size") - at)).cast("long")
+    of = lambda c: F.col(f"__p.{c}")
+    at = of("before") + F.col("__own")
+    whole = F.floor(of("target"))
+    passes = F.when(of("source_size") > 0, F.floor(whole / of("source_size"))).otherwise(0).cast("long")
+    part = F.least(F.col("__size"), F.greatest(F.lit(0), whole - passes * of("source_size") - at)).cast("long")
     taken = passes * F.col("__size") + part
-    when = F.when(taken > 0, F.round(position(at / F.col("target"), F.col("slope")), 9))
-    out = F.struct(F.col("__size").alias("size"), "source_size", "target", taken.alias("taken"), passes.alias("passes"), part.alias("part"), when.alias("position"), at.alias("at"), F.col("slope").alias("slope"))
+    when = F.when(taken > 0, F.round(position(at / of("target"), of("slope")), 9))
+    out = F.struct(F.col("__size").alias("size"), of("source_size").alias("source_size"), of("target").alias("target"), taken.alias("taken"), passes.alias("passes"), part.alias("part"), when.alias("position"), at.alias("at"), of("slope").alias("slope"))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns], out.alias("__mix"))
 
 

@@ -17,7 +17,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from mediacat.llm.common import partitions, stored, table
 
@@ -132,13 +131,13 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, path: s
     sizes = known.groupBy("lang").count()
     some = known.join(F.broadcast(sizes), "lang").where(F.col("u") * F.col("count") < sample).select("lang", "text")  # a row for each language
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lang, text in zip(b["lang"], b["text"], strict=True):
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 c = words_of(text)
-                yield pd.DataFrame({"lang": lang, "word": list(c), "n": list(c.values())})
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["lang", "word", "n"])
 
-    words = some.repartition(partitions(spark)).mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = some.repartition(partitions(spark)).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = stored(words.repartition(partitions(spark)), "lang-words")
     langs = sorted(r.lang for r in words.select("lang").distinct().collect())
     if not langs:
@@ -199,18 +198,16 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | N
     """
     langs, logp = model
     shared = docs.sparkSession.sparkContext.broadcast((langs, logp.astype(np.float32)))
-    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("lang_pred string, score double")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value[0], shared.value[1].astype(np.float64), path)
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                langs, scores = scorer.score(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, "lang_pred", "score"])
+        for texts in batches:
+            parts = [scorer.score(texts.iloc[k : k + 256].tolist()) for k in range(0, len(texts), 256)]
+            yield pd.DataFrame({"lang_pred": [x for p in parts for x in p[0]], "score": [x for p in parts for x in p[1]]})
 
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.mapInArrow(run, schema)
+    rows = docs.withColumn("__found", found(F.col("text").cast("string")))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), "__found.lang_pred", "__found.score")
 
 
 def with_fold(docs: DataFrame) -> DataFrame:
@@ -226,7 +223,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def known_language(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.5) -> DataFrame:
     """docs whose language is found with at least this score; all their columns as they were."""
-    renamed = docs.select(*(F.col(f"`{c}`").alias(f"c_{c}") for c in docs.columns), F.col("text").cast("string").alias("text"))
-    kept = identify(renamed, model)
+    kept = identify(docs.withColumnsRenamed({c: f"c_{c}" for c in docs.columns}).withColumn("text", F.col("c_text")), model)
     kept = kept.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return kept.select(*(F.col(f"`c_{c}`").alias(c) for c in docs.columns))
