@@ -13,9 +13,10 @@ from mediacat.storage import components, stored
 def standardize(df: DataFrame, id: str = "id") -> DataFrame:
     """(id, v): (x - mean) / population deviation of each dimension; a constant one is only centred."""
     long = df.select(id, F.posexplode(doubles(F.col("embedding"))).alias("dim", "x"))
-    stats = long.groupBy("dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("dev")).groupBy().agg(F.sort_array(F.collect_list(F.struct("dim", "mean", "dev"))).alias("stats"))  # a row for each dimension
-    scaled = F.zip_with(doubles(F.col("embedding")), "stats", lambda x, s: (x - s["mean"]) / F.when(s["dev"] > 0, s["dev"]).otherwise(1.0))
-    return df.join(F.broadcast(stats)).select(F.col(id).alias("id"), scaled.alias("v"))
+    stats = long.groupBy("dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("dev")).orderBy("dim").collect()  # a row for each dimension
+    lits = lambda xs: F.array(*map(F.lit, xs)).cast("array<double>")
+    scaled = F.zip_with(F.zip_with(doubles(F.col("embedding")), lits([r.mean for r in stats]), lambda x, m: x - m), lits([r.dev if r.dev else 1.0 for r in stats]), lambda x, s: x / s)
+    return df.select(F.col(id).alias("id"), scaled.alias("v"))
 
 
 def epsilon_pairs(points: DataFrame, eps: float) -> DataFrame:
@@ -69,6 +70,6 @@ def assign_clusters(faces: DataFrame, gallery: DataFrame, threshold: float = 0.7
     hits = match_persons(faces.select("id", "embedding"), gallery, threshold, best=True)
     first = faces.select("id", "cluster").join(hits, F.col("id") == F.col("face_id")).groupBy("cluster").agg(F.min("person_id").alias("person_id"))
     rows = faces.select("cluster").distinct().join(first, "cluster", "left")
-    top = gallery.agg(F.coalesce(F.max("person_id"), F.lit(0)).alias("top"))
-    new = rows.where("person_id is null").withColumn("n", F.row_number().over(Window.orderBy("cluster"))).join(F.broadcast(top)).select("cluster", (F.col("top") + F.col("n")).cast("long").alias("person_id"), F.lit(True).alias("is_new"))
+    top = gallery.agg(F.max("person_id")).first()[0] or 0
+    new = rows.where("person_id is null").select("cluster", (F.row_number().over(Window.orderBy("cluster")) + top).cast("long").alias("person_id"), F.lit(True).alias("is_new"))  # a row for each cluster
     return rows.where("person_id is not null").select("cluster", F.col("person_id").cast("long"), F.lit(False).alias("is_new")).unionByName(new)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediacat.functions.paths import basename
@@ -72,8 +72,8 @@ def detect_sensitive(df: DataFrame, text: str = "text", path: str = "name", cont
 def sensitivity_summary(scanned: DataFrame) -> DataFrame:
     """For each category: rows and mean confidence; of the whole: rows scanned and sensitive."""
     by = scanned.groupBy(F.col("result.category").alias("category")).agg(F.count("*").alias("files"), F.round(F.avg("result.confidence"), 6).alias("mean_confidence"))
-    total = scanned.agg(F.count("*").alias("scanned"), F.count_if(F.col("result.category") != "safe").alias("sensitive"))
-    return by.join(F.broadcast(total))  # one row
+    every = Window.partitionBy()  # a row for each category
+    return by.withColumn("scanned", F.sum("files").over(every)).withColumn("sensitive", F.coalesce(F.sum(F.when(F.col("category") != "safe", F.col("files"))).over(every), F.lit(0)))
 
 
 def quarantine(df: DataFrame, key: bytes | str, payload: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -244,7 +244,7 @@ def _(spark, d):
     return dedup.first_per_key(table(spark, d, "documents").select("doc_id", "source"), "source", ["doc_id"])
 
 
-for _a, _f in (("sha256", "sha256(text)"), ("md5", "md5(text)")):
+for _a, _f in (("sha256", "sha256(text)"), ("sha1", "sha1(text)"), ("md5", "md5(text)")):
 
     @query(f"content_hash_{_a}", f"SELECT doc_id, {_f} AS hash FROM documents")
     def _(spark, d, a=_a):
@@ -607,8 +607,8 @@ ORACLE_SQL["match_persons"] = ORACLE_SQL["match_persons"].replace("a.vec_id <> b
 @query("aesthetic_score", f"SELECT v.vec_id, round(exp({_COS.replace('round(', '(').replace(', 6)', ')')}) / (exp({_COS.replace('round(', '(').replace(', 6)', ')')}) + exp({_COS.replace('round(', '(').replace(', 6)', ')').replace('b.', 'c.')})), 6) AS score FROM {_V} v, (SELECT vec_id, e FROM {_V}) a, {_V} b, {_V} c WHERE a.vec_id = v.vec_id AND b.vec_id = 0 AND c.vec_id = 1")
 def _(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", vectors.doubles(F.col("embedding")).alias("e"))
-    one = lambda k: F.broadcast(e.where(F.col("vec_id") == k).select(F.col("e").alias(f"e{k}")))
-    return e.join(one(0)).join(one(1)).select("vec_id", F.round(vectors.aesthetic_score(F.col("e"), F.col("e0"), F.col("e1")), 6).alias("score"))
+    prompt = {r.vec_id: F.array(*map(F.lit, r.e)) for r in e.where("vec_id in (0, 1)").collect()}  # two prompts
+    return e.select("vec_id", F.round(vectors.aesthetic_score(F.col("e"), prompt[0], prompt[1]), 6).alias("score"))
 
 
 @query("cluster_vectors")
@@ -865,3 +865,42 @@ def _(spark, d):
     schema = StructType([StructField("doc_id", LongType()), StructField("score", DoubleType())])
     make = lambda: lambda b: b.assign(score=b["text"].str.len().astype(float))[["doc_id", "score"]]
     return jobs.score_with(table(spark, d, "documents").select("doc_id", "text"), make, schema).select("doc_id", "score")
+
+
+@query("face_job")
+def _(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 100).alias("file_id"), "embedding", F.col("label").cast("long").alias("person_id"))
+    named, _ = jobs.identify_faces(e.drop("person_id"), e.where("id % 7 = 0").select("person_id", "embedding"), files(spark, d).withColumn("ingested_at", F.timestamp_seconds("mtime")), 9.5)
+    return named.select("id", "cluster", "person_id")
+
+
+@query("image_features")
+def _(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 128 + 128).alias("luma"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.array(F.array(F.col("label"), F.lit(90), F.lit(30))).alias("color_palette"))
+    return images.image_features(e).select("vec_id", *(F.round(c, 6).alias(c) for c in ("brightness", "contrast", "sharpness", "aspect_ratio", "average_hue")))
+
+
+@query("average_hue", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 60.0 ELSE 120.0 END * 1e0 AS hue FROM part")
+def _(spark, d):
+    red, green, blue = ([255, 0, 0], [0, 255, 0], [0, 0, 255])
+    two = lambda a, b: F.array(F.array(*map(F.lit, a)), F.array(*map(F.lit, b)))
+    return table(spark, d, "part").select("p_partkey", images.average_hue(F.when(F.col("p_partkey") % 2 == 0, two(red, green)).otherwise(two(red, blue))).alias("hue"))
+
+
+@query("eye_openness", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 5e-1 ELSE least(1e0, round(sqrt(p_size * p_size + 1e2) / 1e2, 9)) END AS eye FROM part")
+def _(spark, d):
+    point = lambda x, y: F.array(x.cast("double"), F.lit(y))
+    marks = F.array(point(F.lit(0), 0.0), point(F.col("p_size"), 10.0), *(point(F.lit(0), 0.0) for _ in range(3)))
+    return table(spark, d, "part").select("p_partkey", F.round(images.eye_openness(F.when(F.col("p_partkey") % 3 == 0, F.slice(marks, 1, 4)).otherwise(marks)), 9).alias("eye"))
+
+
+@query("simple_aesthetic", "SELECT p_partkey, round(3e-1 * (1 - list_min([abs(ln(p_size / 25e0 / r)) for r in [4e0 / 3, 3e0 / 2, 16e0 / 9, 1e0]]) / 2) + 4e-1 * (1 - abs(p_size / 1e2 - 5e-1)) + 3e-1 * least(1e0, p_size / 4e1), 6) AS score FROM part")
+def _(spark, d):
+    s = F.col("p_size").cast("double")
+    return table(spark, d, "part").select("p_partkey", F.round(images.simple_aesthetic(s / 25, s / 100, s * 2.5), 6).alias("score"))
+
+
+@query("fingerprint")
+def _(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.transform("embedding", lambda x: x.cast("double") * (i + 1)))).alias("luma"))
+    return images.fingerprint(e).select("vec_id", "perceptual_hash")

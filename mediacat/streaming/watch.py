@@ -70,7 +70,8 @@ def event_stats(received: DataFrame, debounced: DataFrame) -> DataFrame:
     """received, debounced (held back), processed, and mean events a processed row."""
     n = received.agg(F.count("*").alias("received"))
     d = debounced.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("debounced"), F.count("*").alias("processed"), F.round(F.coalesce(F.avg("n"), F.lit(0.0)), 6).alias("mean_batch"))
-    return n.join(F.broadcast(d))  # one row each
+    both = n.unionByName(d, allowMissingColumns=True)  # one row each
+    return both.agg(*(F.max(c).alias(c) for c in both.columns))
 
 
 def on_batch(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str, event_type: str | None = None):
