@@ -10,8 +10,9 @@ import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,18 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 0
 GROUP_IDS = 1 << 18
 TEXTS = 256
-CACHED = 300_000
+CACHED = 600_000
 # Unicode's White_Space, as in the tokenizer's own pattern.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The tokenizer never joins across these pieces' edges: each is a run without white space and one space before it, or white space.
-PIECE = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: The tokenizer never joins across these pieces' edges: a run without white space (and one space before it) or of white space;
+#: and letters end before ASCII punctuation, but for the apostrophe of contractions.
+PIECE = re.compile(rf" ?[{LATIN}]+(?=[!-&(-/:-@\[-`{{-~{SPACE}]|\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Characters that engines class differently, and the mark of special tokens: such texts go to the tokenizer whole.
-WHOLE = ["<|", *"\x1c\x1d\x1e\x1f\u180e\u200b\ufeff"]
+WHOLE = ["<|", "\x1c", "\x1d", "\x1e", "\x1f", "\u180e", "\u200b", "\ufeff"]
+#: Texts with none of these are cut at each space.
+NEAR_SPACE = ["  ", *(f"{a}{b}" for c in "\t\n\r" for a, b in ((" ", c), (c, " "))), "\x0b", "\x0c"]
+OTHER_SPACE = ["\x85", "\xa0", "\u1680", "\u2000", "\u2001", "\u2002", "\u2003", "\u2004", "\u2005", "\u2006", "\u2007", "\u2008", "\u2009", "\u200a", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
 
 FILE = "shard int, row long, doc_ids array<long>, lengths array<long>, words binary, escapes binary, starts array<long>"
 DOCS = "shard int, row long, place int, doc_id long, n_tokens long, ids_crc32 long"
@@ -43,8 +49,33 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class Recent(dict):
+    """Values of keys met lately: when `most` keys are in, they become the old ones, and the old ones go."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+    def values_of(self, keys: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        found = list(map(self.get, keys))
+        if None in found:
+            gone = [i for i, v in enumerate(found) if v is None]
+            new, old = dict.fromkeys(keys[i] for i in gone), self.old
+            self.update({k: old[k] for k in new if k in old})
+            new = [k for k in new if k not in old]
+            self.update(zip(new, make(new), strict=True))
+            for i in gone:
+                found[i] = self[keys[i]]
+        return found
+
+
 class Encoder:
-    """The tokenizer's ids of whole texts. Pieces that came lately are looked up; at most twice CACHED are kept."""
+    """The tokenizer's ids of whole texts. What comes between spaces, and the pieces of that, are looked up first."""
 
     def __init__(self, path: str):
         import os
@@ -52,23 +83,39 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.seen, self.old = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.pieces, self.spaced = Tokenizer.from_file(path), Recent(CACHED), Recent(CACHED)
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def by_piece(self, texts: list[str]) -> list[bytes]:
+        pieces = [PIECE.findall(t) for t in texts]
+        ids = self.pieces.values_of([p for ps in pieces for p in ps], self.raw)
+        ends = list(accumulate(map(len, pieces), initial=0))
+        return [b"".join(ids[a:b]) for a, b in pairwise(ends)]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        odd = {i for i, t in enumerate(texts) if any(x in t for x in WHOLE)}
-        pieces = [[] if i in odd else PIECE.findall(t) for i, t in enumerate(texts)]
-        if len(self.seen) > CACHED:
-            self.seen, self.old = {}, self.seen
-        seen, old = self.seen, self.old
-        if new := dict.fromkeys(p for ps in pieces for p in ps if p not in seen):
-            seen.update({p: old[p] for p in new if p in old})
-            new = [p for p in new if p not in old]
-            seen.update(zip(new, self.raw(new), strict=True))
-        found = [self.raw([t])[0] if i in odd else b"".join(map(seen.__getitem__, ps)) for i, (t, ps) in enumerate(zip(texts, pieces, strict=True))]
-        return [np.frombuffer(x, np.uint32) for x in found]
+        self.pieces.turn()
+        self.spaced.turn()
+        out, whole, cut, odd = [b""] * len(texts), [], [], []
+        for i, t in enumerate(texts):
+            plain = t.isascii()
+            if any(x in t for x in (WHOLE[:5] if plain else WHOLE)):
+                whole.append(i)
+            elif any(x in t for x in NEAR_SPACE) or t[:1] == " " or t[-1:] == " " or not plain and any(x in t for x in OTHER_SPACE):
+                odd.append(i)
+            else:
+                cut.append(i)
+        words = [texts[i].split(" ") for i in cut]
+        ids = self.spaced.values_of([w for ws in words for w in ws[1:]], lambda new: self.by_piece([f" {w}" for w in new]))
+        ends = list(accumulate((len(ws) - 1 for ws in words), initial=0))
+        first = self.by_piece([ws[0] for ws in words])
+        for i, f, (a, b) in zip(cut, first, pairwise(ends), strict=True):
+            out[i] = f + b"".join(ids[a:b])
+        for rows, how in ((odd, self.by_piece), (whole, self.raw)):
+            for i, x in zip(rows, how([texts[i] for i in rows]), strict=True):
+                out[i] = x
+        return [np.frombuffer(x, np.uint32) for x in out]
 
 
 @lru_cache(maxsize=2)
