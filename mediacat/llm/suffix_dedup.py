@@ -25,6 +25,9 @@ GRAMS = LENGTH - GRAM + 1
 CHUNK = 1 << 18
 FLUSH = 1 << 24
 PARTS = 4
+#: An anchor with this many distinct pieces is hot: its pieces go by their own hash, and its strings by theirs. Anchors count
+#: as candidates from LOCAL pieces in one flush on; at most MOST_HOT are taken, the most frequent (which ones only moves work).
+HOT, LOCAL, MOST_HOT = 20_000, 64, 100_000
 
 _ODD = 0x9E3779B97F4A7C15
 _SYMBOLS = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -90,22 +93,60 @@ def _blob(part: int, h, f, rid, start, n) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, ["part", "h", "f", "rid", "start", "n"])
 
 
-def _send(parts: int):
-    """Pieces of all documents, as one row for each part of the hash range now and then; part -1: already known to be repeats."""
+def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(anchor, piece, rid, start, n) of all pieces, FLUSH bytes of text at a time."""
+    held: list[tuple] = []
+    size = 0
+    for rids, texts in _chunks(batches):
+        data = np.frombuffer(b"".join(t for _, t in texts), np.uint8)
+        ends = np.cumsum([len(t) for _, t in texts])
+        h, f, d, begin, n = anchors(data, ends)
+        base = np.array([o for o, _ in texts], np.int64) - np.concatenate([[0], ends[:-1]])
+        held.append((h, f, np.array(rids, np.int64)[d], begin + base[d], n))
+        size += len(data)
+        if size >= FLUSH:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _frequent(least: int):
+    """(h, n) of anchors with many distinct pieces in one flush."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
+        for h, f, *_ in _flushes(batches):
+            h, f = h[order := np.lexsort((f, h))], f[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (f[1:] != f[:-1])]) if len(h) else np.empty(0, bool)
+            values, counts = np.unique(h[new], return_counts=True)
+            many = counts >= least
+            yield pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(counts[many])], ["h", "n"])
+
+    return run
+
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            h, f, rid, start, n = (np.concatenate(x) for x in zip(*held, strict=True))
+def hot_anchors(rows: DataFrame, hot: int, local: int) -> np.ndarray:
+    """Sorted hashes of the anchors with `hot` distinct pieces or more (of those that a flush meets `local` times)."""
+    found = rows.mapInArrow(_frequent(local), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= hot)
+    return np.sort(np.array([r.h for r in found.orderBy(F.desc("n"), "h").limit(MOST_HOT).collect()], np.int64).view(np.uint64))
+
+
+def among(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(hot, h)
+    return hot[np.minimum(at, len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
+
+
+def _send(parts: int, hot):
+    """Pieces of all documents, as one row for each part of the hash range now and then; part -1: already known to be repeats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, f, rid, start, n in _flushes(batches):
             order, later = _later(h, f, rid, start)
             again, first = order[later], np.sort(order[~later])
             if len(again):
                 yield _blob(-1, h[:0], f[:0], rid[again], start[again], n[again])
-            part = (h[first] >> np.uint64(32)).astype(np.int64) % parts
+            route = np.where(among(h[first], hot.value), f[first], h[first])
+            part = (route >> np.uint64(32)).astype(np.int64) % parts
             by_part = np.argsort(part, kind="stable")
             first, part = first[by_part], part[by_part]
             edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else []
@@ -113,18 +154,6 @@ def _send(parts: int):
                 at = first[a:b]
                 yield _blob(int(part[a]), h[at], f[at], rid[at], start[at], n[at])
 
-        for rids, texts in _chunks(batches):
-            data = np.frombuffer(b"".join(t for _, t in texts), np.uint8)
-            ends = np.cumsum([len(t) for _, t in texts])
-            h, f, d, begin, n = anchors(data, ends)
-            base = np.array([o for o, _ in texts], np.int64) - np.concatenate([[0], ends[:-1]])
-            held.append((h, f, np.array(rids, np.int64)[d], begin + base[d], n))
-            size += len(data)
-            if size >= FLUSH:
-                yield from flush()
-                held, size = [], 0
-        yield from flush()
-
     return run
 
 
@@ -146,8 +175,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list
         yield rids, texts
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For whole parts, rows sorted by part: repeats (rid, run), and the first of each piece of an anchor that has several (with h)."""
+def _settle(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """For whole parts, rows sorted by part: repeats (rid, run), and the first of each piece of an anchor that has several or is hot (with h)."""
 
     def out(rid, start, n, h) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(start << 8 | n), h], ["rid", "run", "h"])
@@ -165,7 +194,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hs = h[first]
         same = hs[1:] == hs[:-1]
         several = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(first) else np.empty(0, bool)
-        first = first[several]
+        first = first[several | among(hs, hot)]
         yield out(rid[first], start[first], n[first], pa.array(h[first].view(np.int64)))
 
 
@@ -183,20 +212,39 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict
         yield part, rows
 
 
-def _cut(parts: int):
-    """(rid, text, asked array<struct<run,h>>) -> the pieces' bytes by part."""
+def _pieces(part: int, rid, start, n, data: bytes) -> pa.RecordBatch:
+    cols = [pa.array([part], pa.int32()), *(pa.array([np.asarray(x, np.int64).tobytes()], pa.binary()) for x in (rid, start, n)), pa.array([data], pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, ["part", "rid", "start", "n", "bytes"])
+
+
+def _cut(parts: int, hot):
+    """(rid, text, asked array<struct<run,h>>) -> the pieces' bytes by part; of hot anchors the strings' hashes (part from `parts` on), each once a batch, and their repeats (part -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held: dict[int, list] = {}
+            strings: list[tuple] = []
             for rid, text, asked in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2).to_pylist(), strict=True):
                 text = text.as_py()
-                for x in asked:
+                h = np.array([x["h"] for x in asked], np.int64).view(np.uint64)
+                for x, k, is_hot in zip(asked, h.tolist(), among(h, hot.value).tolist(), strict=True):
                     start, n = x["run"] >> 8, x["run"] & 255
-                    held.setdefault(((x["h"] & 0xFFFFFFFFFFFFFFFF) >> 32) % parts, []).append((rid, start, n, text[start : start + n - 1 + LENGTH]))
+                    data = text[start : start + n - 1 + LENGTH]
+                    if is_hot:
+                        strings += [(hashlib.blake2b(data[i : i + LENGTH], digest_size=16).digest(), rid, start + i) for i in range(n)]
+                    else:
+                        held.setdefault((k >> 32) % parts, []).append((rid, start, n, data))
             for part, xs in held.items():
-                cols = [pa.array([part], pa.int32()), *(pa.array([np.array([x[k] for x in xs], np.int64).tobytes()], pa.binary()) for k in range(3)), pa.array([b"".join(x[3] for x in xs)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["part", "rid", "start", "n", "bytes"])
+                yield _pieces(part, [x[0] for x in xs], [x[1] for x in xs], [x[2] for x in xs], b"".join(x[3] for x in xs))
+            strings.sort()
+            new = [i == 0 or strings[i][0] != strings[i - 1][0] for i in range(len(strings))]
+            if again := [x for x, first in zip(strings, new, strict=True) if not first]:
+                yield _pieces(-1, [x[1] for x in again], [x[2] for x in again], [1] * len(again), b"")
+            by_part: dict[int, list] = {}
+            for x in (x for x, first in zip(strings, new, strict=True) if first):
+                by_part.setdefault(parts + int.from_bytes(x[0][:4], "little") % parts, []).append(x)
+            for part, xs in by_part.items():
+                yield _pieces(part, [x[1] for x in xs], [x[2] for x in xs], [1] * len(xs), b"".join(x[0] for x in xs))
 
     return run
 
@@ -265,25 +313,38 @@ def repeats(pieces: np.ndarray, ends: np.ndarray, counts: np.ndarray, length: in
     return out
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeats (rid, run) among the distinct pieces of each part."""
-    for _, rows in _by_part(batches):
-        rid, start, n = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("rid", "start", "n"))
-        data = np.concatenate([np.frombuffer(r["bytes"], np.uint8) for r in rows])
-        sizes = n - 1 + LENGTH
-        first = np.cumsum(sizes) - sizes
-        order = np.lexsort((start, rid))
-        rid, start, n, sizes, first = rid[order], start[order], n[order], sizes[order], first[order]
-        ends = np.cumsum(sizes)
-        data = data[np.arange(ends[-1]) - np.repeat(ends - sizes - first, sizes)]
-        flags = repeats(data, ends, n)
-        owner = np.repeat(np.arange(len(n)), n)
-        change = np.concatenate([[True], (owner[1:] != owner[:-1]) | (flags[1:] != flags[:-1])])
-        at = np.flatnonzero(change)
-        length = np.diff(np.concatenate([at, [len(flags)]]))
-        at, length = at[flags[at]], length[flags[at]]
-        begin = start[owner[at]] + at - (np.cumsum(n) - n)[owner[at]]
-        yield pa.RecordBatch.from_arrays([pa.array(rid[owner[at]]), pa.array(begin << 8 | length)], ["rid", "run"])
+def _compare(parts: int):
+    """Repeats (rid, run) among the distinct pieces of each part, and among the strings of hot anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _by_part(batches):
+            rid, start, n = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("rid", "start", "n"))
+            if part < 0 or part >= parts:
+                again = np.ones(len(rid), bool)
+                if part >= parts:
+                    digest = np.frombuffer(b"".join(r["bytes"] for r in rows), "<u8").reshape(-1, 2)
+                    order = np.lexsort((start, rid, digest[:, 1], digest[:, 0]))
+                    rid, start, digest = rid[order], start[order], digest[order]
+                    again = np.concatenate([[False], (digest[1:] == digest[:-1]).all(axis=1)])
+                yield pa.RecordBatch.from_arrays([pa.array(rid[again]), pa.array(start[again] << 8 | 1)], ["rid", "run"])
+                continue
+            data = np.concatenate([np.frombuffer(r["bytes"], np.uint8) for r in rows])
+            sizes = n - 1 + LENGTH
+            first = np.cumsum(sizes) - sizes
+            order = np.lexsort((start, rid))
+            rid, start, n, sizes, first = rid[order], start[order], n[order], sizes[order], first[order]
+            ends = np.cumsum(sizes)
+            data = data[np.arange(ends[-1]) - np.repeat(ends - sizes - first, sizes)]
+            flags = repeats(data, ends, n)
+            owner = np.repeat(np.arange(len(n)), n)
+            change = np.concatenate([[True], (owner[1:] != owner[:-1]) | (flags[1:] != flags[:-1])])
+            at = np.flatnonzero(change)
+            length = np.diff(np.concatenate([at, [len(flags)]]))
+            at, length = at[flags[at]], length[flags[at]]
+            begin = start[owner[at]] + at - (np.cumsum(n) - n)[owner[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(rid[owner[at]]), pa.array(begin << 8 | length)], ["rid", "run"])
+
+    return run
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -323,21 +384,22 @@ def numbered(docs: DataFrame) -> DataFrame:
     return stored(ordered.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "numbered")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, hot: int = HOT, local: int = LOCAL) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes if a string of LENGTH bytes that covers it also starts earlier: in a smaller doc_id, or earlier in the same document.
     Null doc_ids come first, rows that share a doc_id follow each other by text, as documents of their own; null texts are
-    empty. Other columns are ignored.
+    empty. Other columns are ignored. hot, local: see HOT and LOCAL; they move work, not results.
     """
     spark = docs.sparkSession
     rows, parts = numbered(docs), PARTS * partitions(spark)
+    frequent = spark.sparkContext.broadcast(hot_anchors(rows.select("rid", "text"), hot, local))
     spread = lambda df: df.repartition(partitions(spark), F.when(F.col("part") >= 0, F.col("part")).otherwise(-1 - F.pmod(F.xxhash64("rid"), F.lit(parts)))).sortWithinPartitions("part")
-    sent = rows.select("rid", "text").mapInArrow(_send(parts), SENT)
-    found = stored(spread(sent).mapInArrow(_settle, FOUND), "pieces")
+    sent = rows.select("rid", "text").mapInArrow(_send(parts, frequent), SENT)
+    found = stored(spread(sent).mapInArrow(lambda it: _settle(it, frequent.value), FOUND), "pieces")
     asked = found.where("h is not null").groupBy("rid").agg(F.collect_list(F.struct("run", "h")).alias("asked"))
-    cut = rows.select("rid", "text").join(asked, "rid").mapInArrow(_cut(parts), PIECES)
-    more = cut.repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(_compare, "rid long, run long")
+    cut = rows.select("rid", "text").join(asked, "rid").mapInArrow(_cut(parts, frequent), PIECES)
+    more = spread(cut).mapInArrow(_compare(parts), "rid long, run long")
     runs = found.where("h is null").select("rid", "run").unionByName(more).groupBy("rid").agg(F.collect_list("run").alias("runs"))
     return rows.join(runs, "rid", "left").select("doc_id", "text", "runs").mapInArrow(_remove, RESULT)
 

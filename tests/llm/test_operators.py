@@ -274,6 +274,8 @@ def test_suffix_dedup(spark):
     rows += [(200, None), (201, ""), (202, "x" * 300), (203, "xy" * 700), (204, "".join(rng.choice("klmnop") for _ in range(300_000)) + base[0])]
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
     assert got == removed(rows)
+    hot = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), hot=3, local=1)
+    assert {r.doc_id: tuple(r)[1:] for r in hot.collect()} == got
     assert ids(suffix_dedup.dedup(odd_docs(spark))) == ids(odd_docs(spark)) and suffix_dedup.dedup(none(spark)).count() == 0
 
 
