@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,43 +28,61 @@ SMOOTH = 0.1
 CACHED = 200_000
 UNKNOWN = "und"
 MARK = "▁"
-LETTER = re.compile(r"[^\W\d_]")
+#: A word; longer runs of letters are cut.
+LETTERS = re.compile(r"[^\W\d_]{1,1000}")
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str | None = None) -> dict[str, int]:
-    """Piece to number: the pieces of the public vocabulary (lower-cased, of at most LONGEST characters)."""
+def vocabulary(path: str | None = None) -> tuple[int, dict[str, int]]:
+    """How many pieces there are, and a trie: piece to number, and -1 for what only starts pieces.
+
+    The pieces are those of the public vocabulary, lower-cased, of at most LONGEST characters.
+    """
     import public_tokenizers
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(VOCABULARY))
     pieces = (model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i)))
-    return {p: i for i, p in enumerate(dict.fromkeys(p for p in pieces if len(p) <= LONGEST))}
+    return trie(p for p in pieces if len(p) <= LONGEST)
+
+
+def trie(pieces: Iterable[str]) -> tuple[int, dict[str, int]]:
+    numbers = {p: i for i, p in enumerate(dict.fromkeys(pieces))}
+    return len(numbers), {p[:k]: -1 for p in numbers for k in range(1, len(p))} | numbers
 
 
 def words_of(text: str) -> Counter:
-    """The words with a letter, lower-cased, and how often each comes; their text in full."""
-    return Counter(w for w in text.lower().split() if LETTER.search(w))
+    """The words of the whole text, lower-cased, and how often each comes."""
+    return Counter(LETTERS.findall(text.lower()))
 
 
-def lattice(words: list[str], pieces: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def lattice(words: list[str], pieces: tuple[int, dict[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All arcs of the words' segmentations: (word, from, to, piece), sorted by "to"; and the words' lengths.
 
     Each word starts with the mark of a word; a character that is no piece is an arc of the unknown piece.
     """
-    arcs, n, get = [], np.zeros(len(words), np.int64), pieces.get
-    none = len(pieces)
-    for w, word in enumerate(words):
+    none, known = pieces
+    get, arcs, ends = known.get, [], []
+    add = arcs.append
+    for word in words:
         s = MARK + word
-        n[w] = len(s)
-        for j in range(1, len(s) + 1):
-            arcs.append((w, j - 1, j, get(s[j - 1 : j], none)))
-            for i in range(max(0, j - LONGEST), j - 1):
-                if (p := get(s[i:j])) is not None:
-                    arcs.append((w, i, j, p))
-    a = np.array(arcs, np.int64).reshape(-1, 4)
-    a = a[np.argsort(a[:, 2], kind="stable")]
-    return a[:, 0], a[:, 1], a[:, 2], a[:, 3], n
+        n = len(s)
+        for i in range(n):
+            p = get(s[i], -1)
+            add((p if p >= 0 else none) << 20 | i << 10 | 1)
+            for j in range(i + 2, min(n, i + LONGEST) + 1):
+                p = get(s[i:j])
+                if p is None:
+                    break
+                if p >= 0:
+                    add(p << 20 | i << 10 | j - i)
+        ends.append(len(arcs))
+    a = np.array(arcs, np.int64)
+    w = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
+    i = a >> 10 & 1023
+    j = i + (a & 1023)
+    order = np.argsort(j, kind="stable")
+    return w[order], i[order], j[order], (a >> 20)[order], np.fromiter(map(len, words), np.int64, len(words)) + 1
 
 
 def _slices(to: np.ndarray) -> list[slice]:
@@ -72,7 +90,7 @@ def _slices(to: np.ndarray) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def forward(words: list[str], pieces: dict[str, int], logp: np.ndarray) -> np.ndarray:
+def forward(words: list[str], pieces: tuple[int, dict[str, int]], logp: np.ndarray) -> np.ndarray:
     """(word, language): log of the word's probability, over all segmentations. logp: (piece, language), unknown piece last."""
     out = np.empty((len(words), logp.shape[1]))
     by_length = sorted(range(len(words)), key=lambda w: len(words[w]))
@@ -102,9 +120,9 @@ def _forward(arcs: tuple, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return alpha[base[1:] - 1], alpha
 
 
-def expected(words: list[str], counts: np.ndarray, pieces: dict[str, int], logp: np.ndarray) -> np.ndarray:
+def expected(words: list[str], counts: np.ndarray, pieces: tuple[int, dict[str, int]], logp: np.ndarray) -> np.ndarray:
     """How often each piece is expected in the words, each so many times, in one language (forward-backward)."""
-    found = np.zeros(len(pieces) + 1)
+    found = np.zeros(pieces[0] + 1)
     for at in range(0, len(words), 4000):
         part, times = words[at : at + 4000], counts[at : at + 4000]
         arcs = lattice(part, pieces)
@@ -126,7 +144,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, path: s
     the rounds of expectation-maximisation run over the distinct words on the executors. Rows with null text or lang don't count.
     """
     spark = labelled.sparkSession
-    pieces = len(vocabulary(path))
+    pieces = vocabulary(path)[0]
     known = labelled.where("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), (F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)) / (1 << 30)).alias("u"))
     sizes = known.groupBy("lang").count()
     some = known.join(F.broadcast(sizes), "lang").where(F.col("u") * F.col("count") < sample).select("lang", "text")  # a row for each language
