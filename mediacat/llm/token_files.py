@@ -77,13 +77,13 @@ class Recent(dict):
 class Encoder:
     """The tokenizer's ids of whole texts. What comes between spaces, and the pieces of that, are looked up first."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.pieces, self.spaced = Tokenizer.from_file(path), Recent(CACHED), Recent(CACHED)
+        self.tokenizer, self.pieces, self.spaced = Tokenizer.from_file(path), Recent(cached), Recent(cached)
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -118,9 +118,10 @@ class Encoder:
         return [np.frombuffer(x, np.uint32) for x in out]
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+@lru_cache(maxsize=1)
+def encoder(path: str, cached: int = CACHED) -> Encoder:
+    """One for each Python worker, which keeps it for its next tasks."""
+    return Encoder(path, cached)
 
 
 def _pack(shard: int, row: int, doc_ids: list, ids: list[np.ndarray]) -> pa.RecordBatch:
@@ -131,7 +132,7 @@ def _pack(shard: int, row: int, doc_ids: list, ids: list[np.ndarray]) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["shard", "row", "doc_ids", "lengths", "words", "escapes", "starts"])
 
 
-def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = END) -> str:
+def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = END, cached: int = CACHED) -> str:
     """Write the ids of docs, each document followed by the end id, in ascending doc_id order (nulls first) to folder.
 
     Null texts are empty documents. Rows that share a doc_id follow each other, ordered by text. Other columns are ignored.
@@ -141,7 +142,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, shard, row = encoder(path), TaskContext.get().partitionId(), 0
+        coder, shard, row = encoder(path, cached), TaskContext.get().partitionId(), 0
         names, ids, size = [], [], 0
         for b in batches:
             for at in range(0, b.num_rows, TEXTS):
@@ -201,13 +202,13 @@ def read_summary(folder_df: DataFrame) -> DataFrame:
     return placed.select("doc_id", F.expr("base + sum(n_tokens) over (partition by shard, row order by place) - n_tokens").alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(docs: DataFrame, vocabulary: str | None = None, end: int = END) -> DataFrame:
+def token_output(docs: DataFrame, vocabulary: str | None = None, end: int = END, cached: int = CACHED) -> DataFrame:
     """Tokenize and write docs, then read the files back: doc_id, start, n_tokens, ids_crc32, one row per row of docs.
 
-    An empty table gives no rows; a null or empty text has the end id alone.
+    An empty table gives no rows; a null or empty text has the end id alone. cached: pieces a worker remembers; fewer take less memory and more time.
     """
     spark = docs.sparkSession
-    folder = write_tokens(docs, f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}", vocabulary, end)
+    folder = write_tokens(docs, f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}", vocabulary, end, cached)
     return read_summary(spark.read.schema(FILE).parquet(folder))
 
 
