@@ -32,6 +32,15 @@ def exact_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "file_hash").where("lp <> rp").select("left_id", "right_id")
 
 
+def content_classes(files: DataFrame) -> DataFrame:
+    """files with class_id and class_size: the smallest id among the files of equal content, and how many they are.
+
+    One row a file, however many share a content; a null hash is no content, and its class is null.
+    """
+    known = files.where("file_hash is not null").groupBy("file_hash").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
+    return files.join(known, "file_hash", "left").select(*files.columns, "class_id", "class_size")
+
+
 def _named(df: DataFrame, path: str) -> DataFrame:
     p = F.col(path)
     return df.select(p.alias("path"), directory(p).alias("dir"), stem(p).alias("stem"), extension(p).alias("ext"))

@@ -173,6 +173,11 @@ def _(spark, d):
     return catalog.exact_matches(f.where("id % 10 = 0"), f)
 
 
+@query("content_classes", f"SELECT a.id, a.file_hash, b.class_id, b.class_size FROM {_FILES} a LEFT JOIN (SELECT file_hash, min(id) AS class_id, count(*) AS class_size FROM {_FILES} GROUP BY file_hash) b ON a.file_hash = b.file_hash")
+def _(spark, d):
+    return catalog.content_classes(files(spark, d).select("id", "file_hash"))
+
+
 def _pairs(kind: str) -> str:
     s = f"(SELECT file_path AS path, regexp_replace(file_path, '/[^/]*$', '') AS dir, {_STEM} AS stem, {_EXT} AS ext FROM {_FILES})"
     raw = ", ".join(map(repr, paths.RAW))

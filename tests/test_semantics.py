@@ -247,3 +247,13 @@ def test_imports_without_llm():
 
     code = "import sys; sys.modules['mediacat.llm'] = None; import __spark_entry__ as e; assert e.llm is None and len(e.queries()) > 100"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_content_classes_hold_every_file(spark):
+    hashes = ["a"] * 300 + ["b", "c", "b", None, None]
+    rows = [(i + 1, h) for i, h in enumerate(hashes)]
+    got = catalog.content_classes(spark.createDataFrame(rows, "id long, file_hash string")).collect()
+    first, n = {}, {h: hashes.count(h) for h in "abc"}
+    for i, h in rows:
+        first.setdefault(h, i)
+    assert sorted(map(tuple, got)) == sorted((i, h, first[h] if h else None, n.get(h)) for i, h in rows)
