@@ -75,16 +75,17 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_PASSES, slop
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns], out.alias("__mix"))
 
 
-def mixed_copies(docs: DataFrame, **options) -> DataFrame:
+def mixed_copies(docs: DataFrame, whole: bool = False, **options) -> DataFrame:
     """The mix itself, in training order: each pass over a document is a row at its own position; columns as in docs.
 
-    A document taken in part in the last pass comes with its first words only, joined by spaces.
+    A document taken in part in the last pass comes with its first words only, joined by spaces; or as it is if `whole`,
+    and then a source may pass its target by less than that document.
     """
     m = mix(docs, **options)
     copies = F.sequence(F.lit(0).cast("long"), F.col("__mix.passes") - F.when(F.col("__mix.part") > 0, 0).otherwise(1))
     m = m.where("__mix.taken > 0").withColumn("__pass", F.explode(copies))
     m = m.withColumn("__at", position((F.col("__pass") * F.col("__mix.source_size") + F.col("__mix.at")) / F.col("__mix.target"), F.col("__mix.slope")))
-    cut = (F.col("__pass") == F.col("__mix.passes")) & (F.col("__mix.part") < F.col("__mix.size"))
+    cut = (F.col("__pass") == F.col("__mix.passes")) & (F.col("__mix.part") < F.col("__mix.size")) & F.lit(not whole)
     words = F.filter(F.split("text", f"[{SPACE}]+"), lambda w: w != "")
     text = F.when(cut, F.array_join(F.slice(words, 1, F.col("__mix.part").cast("int")), " ")).otherwise(F.col("text"))
     return m.withColumn("text", text).orderBy("__at", "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,6 +1,6 @@
-"""Token-id output: documents in doc_id order, tokenized, packed by Simple-8b into block files, and read back.
+"""Token-id output: documents in doc_id or stored order, tokenized, packed by Simple-8b into block files, and read back.
 
-A file (one part of a Parquet folder, binary columns uncompressed) is a shard: a range of doc_ids. A row is a group of
+A file (one part of a Parquet folder, binary columns uncompressed) is a shard: a range of the order. A row is a group of
 whole documents: their ids and lengths, the words, the escapes, and the offsets of each block of ids.
 """
 
@@ -16,7 +16,7 @@ from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediacat.llm import simple8b
@@ -132,10 +132,17 @@ def _pack(shard: int, row: int, doc_ids: list, ids: list[np.ndarray]) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["shard", "row", "doc_ids", "lengths", "words", "escapes", "starts"])
 
 
-def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = END, cached: int = CACHED) -> str:
+def stored_order() -> list[Column]:
+    """The order of rows of a Parquet folder that Spark wrote in order: its part's number, then the place in the file."""
+    name = F.col("_metadata.file_name")
+    return [F.regexp_extract(name, "^part-([0-9]+)", 1).cast("int"), name, F.col("_metadata.row_index")]
+
+
+def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = END, cached: int = CACHED, order: list[Column] | None = None) -> str:
     """Write the ids of docs, each document followed by the end id, in ascending doc_id order (nulls first) to folder.
 
-    Null texts are empty documents. Rows that share a doc_id follow each other, ordered by text. Other columns are ignored.
+    Null texts are empty documents. Rows that share a doc_id follow each other, ordered by text; with an order, its columns
+    alone place the rows. Other columns are ignored.
     """
     path = vocabulary or vocabulary_path()
 
@@ -159,8 +166,9 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
         if names:
             yield _pack(shard, row, names, ids)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    keys = [f"__order{i}" for i in range(len(order or ()))]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c.alias(k) for c, k in zip(order or (), keys, strict=True)))
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), *(keys or ["doc_id"])).sortWithinPartitions(*(keys or ["doc_id", "text"]))
     rows.mapInArrow(run, FILE).write.option("compression", "none").parquet(folder)
     return folder
 
@@ -202,13 +210,13 @@ def read_summary(folder_df: DataFrame) -> DataFrame:
     return placed.select("doc_id", F.expr("base + sum(n_tokens) over (partition by shard, row order by place) - n_tokens").alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(docs: DataFrame, vocabulary: str | None = None, end: int = END, cached: int = CACHED) -> DataFrame:
+def token_output(docs: DataFrame, vocabulary: str | None = None, end: int = END, cached: int = CACHED, order: list[Column] | None = None) -> DataFrame:
     """Tokenize and write docs, then read the files back: doc_id, start, n_tokens, ids_crc32, one row per row of docs.
 
     An empty table gives no rows; a null or empty text has the end id alone. cached: pieces a worker remembers; fewer take less memory and more time.
     """
     spark = docs.sparkSession
-    folder = write_tokens(docs, f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}", vocabulary, end, cached)
+    folder = write_tokens(docs, f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}", vocabulary, end, cached, order)
     return read_summary(spark.read.schema(FILE).parquet(folder))
 
 
