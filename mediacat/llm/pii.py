@@ -31,10 +31,11 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "name": r"(?<![A-Za-z])[A-Z][a-z]{1,20}+\x20[A-Z][a-z]{1,20}+(?![A-Za-z])",
+    # The first word of every pair in a run of capitalised words; the second is only looked at, as it may begin the next pair.
+    "name": r"(?<![\p{L}\p{M}])\p{Lu}\p{M}*+\p{Ll}[\p{Ll}\p{M}]*+(?!\p{L})(?=\x20(\p{Lu}\p{M}*+\p{Ll}[\p{Ll}\p{M}]*+(?!\p{L})))",
 }
 #: Texts without a match of these hold no candidate of the kind.
-NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "ssn": "-[0-9]{2}-", "iban": "[A-Z]{2}[0-9]{2}", "name": r"[a-z]\x20[A-Z]"}
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "ssn": "-[0-9]{2}-", "iban": "[A-Z]{2}[0-9]{2}", "name": r"[\p{Ll}\p{M}]\x20\p{Lu}"}
 # Gazetteers and context words.
 TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "it", "uk", "eu", "info", "biz", "us", "ca", "ch", "at", "nl", "be")
 CALLING_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91")
@@ -114,12 +115,15 @@ SPAN = "struct<start:long,no:int,end:long,base:boolean,v1:int,v2:int,v3:int,f1:i
 
 
 def candidates(text: Column, kind: str) -> Column:
-    """All leftmost, non-overlapping matches of a kind in the text that can count, with votes and features."""
+    """All leftmost, non-overlapping matches of a kind in the text that can count, with votes and features; for names all pairs of words."""
     no, pattern = KINDS.index(kind), PATTERNS[kind]
     base = kind in BASE
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     spans = F.transform(F.arrays_zip(hits.alias("s"), running(F.transform(F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("g"), hits.alias("h")), lambda x: (F.length(x["g"]) + F.length(x["h"])).cast("long"))).alias("end")), lambda x: F.struct(x["s"].alias("s"), (x["end"] - F.length(x["s"])).alias("start"), x["end"].alias("end")))
     spans = F.filter(spans, lambda x: valid(kind, x["s"])) if base else spans
+    if kind == "name":
+        seconds = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        spans = F.transform(F.arrays_zip(spans.alias("x"), seconds.alias("second")), lambda p: F.struct(F.concat(p["x"]["s"], F.lit(" "), p["second"]).alias("s"), p["x"]["start"].alias("start"), (p["x"]["end"] + 1 + F.length(p["second"])).alias("end")))
 
     def voted(x: Column) -> Column:
         before = F.substring(text, F.greatest(x["start"] - CONTEXT, F.lit(0)).cast("int") + 1, F.least(x["start"], F.lit(CONTEXT)).cast("int"))
@@ -183,11 +187,19 @@ def train(spans: DataFrame, rounds: int = ROUNDS) -> dict[str, float]:
     return _ratios(counted.withColumn("y", y), (*VOTES, *SHAPE))
 
 
+def apart(spans: Column, score) -> Column:
+    """Spans of which no two overlap: the best by score first, ties to the left. spans: sorted by start."""
+    ranked = F.array_sort(F.transform(spans, lambda s: F.struct((-score(s)).alias("rank"), s.alias("s"))))
+    none = F.array().cast(f"array<{SPAN}>")
+    return F.aggregate(ranked, none, lambda a, x: F.when(F.exists(a, lambda b: (b["start"] < x["s"]["end"]) & (x["s"]["start"] < b["end"])), a).otherwise(F.concat(a, F.array(x["s"]))))
+
+
 def scan(docs: DataFrame, least: float = LEAST, rounds: int = ROUNDS) -> DataFrame:
     """One row for each row of docs: counts of the base kinds, digest of the base spans, all spans, and n_more.
 
     A null or empty text has no spans (the digest is that of an empty string). Rows keep their doc_id, null or repeated;
-    other columns are ignored. Spans of other kinds count from a chance of `least` on, if they overlap no base span.
+    other columns are ignored. Spans of other kinds count from a chance of `least` on, if they overlap no base span; of names
+    that overlap, the likeliest.
     """
     spans = stored(spans_of(docs), "pii-spans")
     model = train(spans, rounds)
@@ -195,6 +207,9 @@ def scan(docs: DataFrame, least: float = LEAST, rounds: int = ROUNDS) -> DataFra
     rows = spans.withColumn("b", base)
     more = F.filter("spans", lambda s: ~s["base"] & (s["v1"] > 0) & (_score(model, (*VOTES, *SHAPE), s) >= least) & ~F.exists("b", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     rows = rows.withColumn("m", more)
+    name, no = KINDS.index("name"), lambda s: s["no"]
+    names = F.filter("m", lambda s: no(s) == name)
+    rows = rows.withColumn("m", F.when(F.size(names) > 1, F.concat(F.filter("m", lambda s: no(s) != name), apart(names, lambda s: _score(model, (*VOTES, *SHAPE), s)))).otherwise(F.col("m")))
     names = F.array(*map(F.lit, KINDS))
     joined = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", F.get(names, s["no"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
     counts = [F.size(F.filter(F.transform("b", lambda s: s["no"]), lambda no: no == F.lit(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
