@@ -15,6 +15,7 @@ WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = (1 << 15) - 1  # the widest id of four to a word
 BLOCK = 1024
 SELECTORS = [s for s in range(16) if WIDTHS[s] <= 15]
+BITS = np.frexp(np.arange(ESCAPE + 1))[1].astype(np.int8)
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -26,18 +27,21 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray,
     ids = ids.astype(np.uint32)
     escaped = ids >= ESCAPE
     # One row for each block, with zeros behind it: padding fits into any word, and decode() cuts it off.
-    code = np.zeros((blocks, block), np.uint64)
-    code.reshape(-1)[:n] = np.where(escaped, ESCAPE, ids)
-    code = np.pad(code, ((0, 0), (0, 240)))
-    need = np.frexp(code.astype(np.float32))[1]
+    flat = np.zeros(blocks * block, np.uint16)
+    flat[:n] = np.minimum(ids, ESCAPE)
+    code = np.zeros((blocks, block + 240), np.uint16)
+    code[:, :block] = flat.reshape(blocks, block)
     length = np.full(blocks, block)
     length[-1] = n - block * (blocks - 1)
-    # The selector at each place: that of the most ids, all narrow enough.
+    # The selector at each place: that of the most ids, all narrow enough. peak: bits of the widest of the next `wide` ids.
     best = np.full((blocks, block), SELECTORS[-1], np.int8)
-    for s in reversed(SELECTORS[:-1]):
-        wide = np.zeros((blocks, block + 241), np.int32)
-        np.cumsum(need > WIDTHS[s], axis=1, out=wide[:, 1:])
-        best[wide[:, COUNTS[s] : COUNTS[s] + block] == wide[:, :block]] = s
+    peak, wide = BITS[code], 1
+    for s in reversed(SELECTORS):
+        while wide < COUNTS[s]:
+            step = min(wide, COUNTS[s] - wide)
+            peak, wide = np.maximum(peak[:, :-step], peak[:, step:]), wide + step
+        if s < SELECTORS[-1]:  # who fits into one selector fits into all of fewer ids
+            best -= (peak[:, :block] <= WIDTHS[s]).view(np.int8)
     # All blocks side by side: each step finds the next word of every block that has ids left.
     live, at, found = np.arange(blocks), np.zeros(blocks, np.int64), []
     while len(live):
@@ -55,7 +59,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray,
             here = np.flatnonzero(s == k)
             first = row[here] * (block + 240) + at[here]
             for i in range(COUNTS[k]):
-                words[here] |= code.reshape(-1)[first + i] << np.uint64(4 + WIDTHS[k] * i)
+                words[here] |= code.reshape(-1)[first + i].astype(np.uint64) << np.uint64(4 + WIDTHS[k] * i)
     starts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=blocks))])
     extra = np.concatenate([[0], np.cumsum(np.bincount(np.flatnonzero(escaped) // block, minlength=blocks))])
     return words, ids[escaped], starts, extra

@@ -6,16 +6,16 @@ whole documents: their ids and lengths, the words, the escapes, and the offsets
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, pairwise
+from re import escape, finditer
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,19 +25,22 @@ from mediacat.llm.common import partitions, shared_dir, stored, table
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 GROUP_IDS = 1 << 18
-TEXTS = 256
-CACHED = 600_000
-# Unicode's White_Space, as in the tokenizer's own pattern.
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-#: The tokenizer never joins across these pieces' edges: a run without white space (and one space before it) or of white space;
-#: and letters end before ASCII punctuation, but for the apostrophe of contractions.
-PIECE = re.compile(rf" ?[{LATIN}]+(?=[!-&(-/:-@\[-`{{-~{SPACE}]|\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Characters that engines class differently, and the mark of special tokens: such texts go to the tokenizer whole.
-WHOLE = ["<|", "\x1c", "\x1d", "\x1e", "\x1f", "\u180e", "\u200b", "\ufeff"]
-#: Texts with none of these are cut at each space.
-NEAR_SPACE = ["  ", *(f"{a}{b}" for c in "\t\n\r" for a, b in ((" ", c), (c, " "))), "\x0b", "\x0c"]
-OTHER_SPACE = ["\x85", "\xa0", "\u1680", "\u2000", "\u2001", "\u2002", "\u2003", "\u2004", "\u2005", "\u2006", "\u2007", "\u2008", "\u2009", "\u200a", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
+#: Bytes of text coded at once, characters of new pieces given to the tokenizer at once, and how many of them to a string.
+BATCH_BYTES, NEW_BYTES, TOGETHER = 1 << 23, 1 << 20, 32
+#: Pieces that a worker remembers, of at most LONGEST bytes each.
+CACHED, LONGEST = 1_500_000, 64
+#: What a UTF-8 byte is part of: a letter, digit, ASCII punctuation, apostrophe, space, other ASCII white space, or unknown.
+LETTER, DIGIT, POINT, QUOTE, BLANK, BREAK, UNKNOWN = range(7)
+KINDS = np.full(256, UNKNOWN, np.uint8)
+for kind, of in ((POINT, range(33, 127)), (LETTER, (*range(65, 91), *range(97, 123), 0xC3, 0xC4, 0xC5, 0xD0, 0xD1)), (DIGIT, range(48, 58)), (QUOTE, b"'"), (BLANK, b" "), (BREAK, b"\t\n\r")):
+    KINDS[list(of)] = kind
+#: Neighbours that the tokenizer never joins: different kinds of visible characters but for the apostrophe, and what comes before white space.
+APART = np.zeros((8, 8), bool)
+APART[:3, :3] = ~np.eye(3, dtype=bool)
+APART[:4, BLANK : BREAK + 1] = True
+APART = APART.reshape(-1)
+#: First bytes of the characters beyond ASCII that some engine takes for white space.
+LEADS = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
 
 FILE = "shard int, row long, doc_ids array<long>, lengths array<long>, words binary, escapes binary, starts array<long>"
 DOCS = "shard int, row long, place int, doc_id long, n_tokens long, ids_crc32 long"
@@ -49,33 +52,30 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class Recent(dict):
-    """Values of keys met lately: when `most` keys are in, they become the old ones, and the old ones go."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most, {}
-
-    def turn(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
-
-    def values_of(self, keys: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
-        found = list(map(self.get, keys))
-        if None in found:
-            gone = [i for i, v in enumerate(found) if v is None]
-            new, old = dict.fromkeys(keys[i] for i in gone), self.old
-            self.update({k: old[k] for k in new if k in old})
-            new = [k for k in new if k not in old]
-            self.update(zip(new, make(new), strict=True))
-            for i in gone:
-                found[i] = self[keys[i]]
-        return found
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Which bytes of the UTF-8 text begin a piece: the tokenizer never joins across its edge, whatever stands around."""
+    out = np.zeros(len(data), bool)
+    if len(data) < 4:
+        return out
+    kind = KINDS[data]
+    two = np.flatnonzero((data == 0xC3) | (data == 0xC4) | (data == 0xC5) | (data == 0xD0) | (data == 0xD1))
+    kind[two + 1] = LETTER  # but for the two signs among the letters
+    signs = two[(data[two] == 0xC3) & ((data[two + 1] == 0x97) | (data[two + 1] == 0xB7))]
+    kind[signs] = kind[signs + 1] = UNKNOWN
+    out[1:] = APART[kind[:-1] << 3 | kind[1:]]
+    # A single line break or tab stands alone.
+    at = np.flatnonzero(kind[1:-1] == BREAK) + 1
+    out[at[(kind[at - 1] < BLANK) & (kind[at + 1] < BLANK)] + 1] = True
+    # Other characters beyond ASCII end before a space, unless they may be white space themselves.
+    at = np.flatnonzero((kind[3:] == BLANK) & (kind[2:-1] == UNKNOWN)) + 3
+    last, second, third = data[at - 1], data[at - 2], data[at - 3]
+    maybe = (second == 0xC2) | LEADS[third] & (second >= 0x80) & (second < 0xC0)
+    out[at[(last >= 0x80) & ~maybe]] = True
+    return out
 
 
 class Encoder:
-    """The tokenizer's ids of whole texts. What comes between spaces, and the pieces of that, are looked up first."""
+    """The tokenizer's ids of whole texts. Pieces between spaces are looked up first; their ids lie in one flat array."""
 
     def __init__(self, path: str, cached: int = CACHED):
         import os
@@ -83,39 +83,102 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.pieces, self.spaced = Tokenizer.from_file(path), Recent(cached), Recent(cached)
-
-    def raw(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def by_piece(self, texts: list[str]) -> list[bytes]:
-        pieces = [PIECE.findall(t) for t in texts]
-        ids = self.pieces.values_of([p for ps in pieces for p in ps], self.raw)
-        ends = list(accumulate(map(len, pieces), initial=0))
-        return [b"".join(ids[a:b]) for a, b in pairwise(ends)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        self.pieces.turn()
-        self.spaced.turn()
-        out, whole, cut, odd = [b""] * len(texts), [], [], []
-        for i, t in enumerate(texts):
-            plain = t.isascii()
-            if any(x in t for x in (WHOLE[:5] if plain else WHOLE)):
-                whole.append(i)
-            elif any(x in t for x in NEAR_SPACE) or t[:1] == " " or t[-1:] == " " or not plain and any(x in t for x in OTHER_SPACE):
-                odd.append(i)
-            else:
-                cut.append(i)
-        words = [texts[i].split(" ") for i in cut]
-        ids = self.spaced.values_of([w for ws in words for w in ws[1:]], lambda new: self.by_piece([f" {w}" for w in new]))
-        ends = list(accumulate((len(ws) - 1 for ws in words), initial=0))
-        first = self.by_piece([ws[0] for ws in words])
-        for i, f, (a, b) in zip(cut, first, pairwise(ends), strict=True):
-            out[i] = f + b"".join(ids[a:b])
-        for rows, how in ((odd, self.by_piece), (whole, self.raw)):
-            for i, x in zip(rows, how([texts[i] for i in rows]), strict=True):
-                out[i] = x
-        return [np.frombuffer(x, np.uint32) for x in out]
+        self.tokenizer, self.cached = Tokenizer.from_file(path), cached
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: a character of its name stands for each
+        for name, i in vocabulary.items():
+            self.width[i] = len(name)
+        self.forget()
+
+    def forget(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.ids, self.starts = np.empty(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
+        self.pieces = 0
+
+    def _add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Pieces at the end of the flat array, which doubles when it is full."""
+        at, n = int(self.starts[self.pieces]), len(lengths)
+        while at + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while self.pieces + n >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.ids[at : at + len(ids)] = ids
+        self.starts[self.pieces + 1 : self.pieces + n + 1] = at + np.cumsum(lengths)
+        self.pieces += n
+
+    def _one_by_one(self, pieces: list[str]) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        self._add(np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
+
+    def _learn(self, pieces: list[str]) -> None:
+        """New pieces that begin with their only space, some to a string: which ids belong to which follows from their bytes."""
+        sizes = np.array([len(p.encode()) for p in pieces], np.int64)
+        lines = ["".join(pieces[i : i + TOGETHER]) for i in range(0, len(pieces), TOGETHER)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.array([i for x in ids for i in x], np.int64)
+        ends, wanted = np.cumsum(self.width[ids]), np.cumsum(sizes)
+        last = np.searchsorted(ends, wanted)
+        if len(ids) and ends[-1] == wanted[-1] and (ends[last] == wanted).all():
+            self._add(ids.astype(np.uint32), np.diff(last + 1, prepend=0))
+        else:
+            self._one_by_one(pieces)
+
+    def _slots(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of distinct pieces in the flat array; new ones are tokenized, long ones not remembered."""
+        found = list(map(self.slot.get, pieces))
+        together, alone, size = [], [], 0
+        new = [i for i, s in enumerate(found) if s is None]
+        for i in new:
+            p = pieces[i]
+            if p[0] != " " or not (p[-1].isalnum() or p[-1] in punctuation) or "<|" in p:
+                alone.append(i)
+                continue
+            together.append(i)
+            size += len(p)
+            if size >= NEW_BYTES:
+                self._number(together, pieces, found, self._learn)
+                together, size = [], 0
+        self._number(together, pieces, found, self._learn)
+        self._number(alone, pieces, found, self._one_by_one)
+        self.slot.update((p, found[i]) for i in new if len(p := pieces[i]) <= LONGEST)
+        return np.array(found, np.int64)
+
+    def _number(self, at: list[int], pieces: list[str], found: list, learn) -> None:
+        first = self.pieces
+        if at:
+            learn([pieces[i] for i in at])
+        for k, i in enumerate(at):
+            found[i] = first + k
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, how many are each one's); texts without nulls. end: an id behind each text."""
+        if len(self.slot) > self.cached or self.pieces > 2 * self.cached:
+            self.forget()
+        texts = texts.cast(pa.large_string())
+        n, (_, offsets, data) = len(texts), texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64, n + 1, texts.offset * 8)
+        base = int(offsets[0]) if n else 0
+        data = np.frombuffer(data, np.uint8)[base : int(offsets[-1])] if data is not None and n else np.empty(0, np.uint8)
+        begins = np.append(cuts(data), True)
+        for token in self.special:  # these stay whole
+            for at in finditer(escape(token), data):
+                begins[at.start() + 1 : at.end()] = False
+        begins[offsets - base] = True
+        edges = np.flatnonzero(begins)
+        words = pa.Array.from_buffers(pa.large_string(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)])
+        coded = words.dictionary_encode()
+        slots, words = self._slots(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+        ends = np.searchsorted(edges, offsets[1:] - base)  # words up to each text's end
+        if end is not None:
+            self._add(np.array([end], np.uint32), np.ones(1, np.int64))
+            slots, words = np.append(slots, self.pieces - 1), np.insert(words, ends, len(slots))
+            ends = ends + np.arange(1, n + 1)
+        first = self.starts[slots]
+        count = (self.starts[slots + 1] - first)[words]
+        total = np.concatenate([[0], np.cumsum(count)])
+        ids = self.ids[np.arange(total[-1]) + np.repeat(first[words] - total[:-1], count)]
+        return ids, np.diff(total[ends], prepend=0)
 
 
 @lru_cache(maxsize=1)
@@ -124,10 +187,9 @@ def encoder(path: str, cached: int = CACHED) -> Encoder:
     return Encoder(path, cached)
 
 
-def _pack(shard: int, row: int, doc_ids: list, ids: list[np.ndarray]) -> pa.RecordBatch:
-    stream = np.concatenate(ids)
-    words, escapes, starts, _ = simple8b.encode(stream)
-    cols = [[shard], [row], [doc_ids], [[len(x) for x in ids]], [words.astype("<u8").tobytes()], [escapes.astype("<u4").tobytes()], [starts.tolist()]]
+def _pack(shard: int, row: int, doc_ids: list, ids: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+    words, escapes, starts, _ = simple8b.encode(ids)
+    cols = [[shard], [row], [doc_ids], [lengths.tolist()], [words.astype("<u8").tobytes()], [escapes.astype("<u4").tobytes()], [starts.tolist()]]
     kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64())]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["shard", "row", "doc_ids", "lengths", "words", "escapes", "starts"])
 
@@ -138,6 +200,27 @@ def stored_order() -> list[Column]:
     return [F.regexp_extract(name, "^part-([0-9]+)", 1).cast("int"), name, F.col("_metadata.row_index")]
 
 
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
+    """doc_ids and texts (null: empty) of about BATCH_BYTES at a time, over the batches' edges."""
+    names, texts, size = [], [], 0
+    for b in batches:
+        column = pc.fill_null(b.column(1).cast(pa.large_string()), "")
+        at = 0
+        while at < b.num_rows:
+            offsets = np.frombuffer(column.buffers()[1], np.int64, b.num_rows + 1, column.offset * 8)
+            stop = min(b.num_rows, int(np.searchsorted(offsets, offsets[at] + BATCH_BYTES - size, "right")))
+            stop = max(stop, at + 1)
+            names += b.column(0).slice(at, stop - at).to_pylist()
+            texts.append(column.slice(at, stop - at))
+            size += int(offsets[stop] - offsets[at])
+            at = stop
+            if size >= BATCH_BYTES or at < b.num_rows:
+                yield names, pa.concat_arrays(texts)
+                names, texts, size = [], [], 0
+    if names:
+        yield names, pa.concat_arrays(texts)
+
+
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = END, cached: int = CACHED, order: list[Column] | None = None) -> str:
     """Write the ids of docs, each document followed by the end id, in ascending doc_id order (nulls first) to folder.
 
@@ -149,22 +232,20 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, shard, row = encoder(path, cached), TaskContext.get().partitionId(), 0
-        names, ids, size = [], [], 0
-        for b in batches:
-            for at in range(0, b.num_rows, TEXTS):
-                part = b.slice(at, TEXTS)
-                coded = coder.encode([x or "" for x in part.column(1).to_pylist()])
-                for name, one in zip(part.column(0).to_pylist(), coded, strict=True):
-                    one = np.append(one, np.uint32(end))
-                    names.append(name)
-                    ids.append(one)
-                    size += len(one)
-                    if size >= GROUP_IDS:
-                        yield _pack(shard, row, names, ids)
-                        names, ids, size, row = [], [], 0, row + 1
+        coder, shard = encoder(path, cached), TaskContext.get().partitionId()
+        names, ids, lengths, row = [], np.empty(0, np.uint32), np.empty(0, np.int64), 0
+        for doc_ids, texts in _bounded(batches):
+            more, n = coder.encode(texts, end)
+            names, ids, lengths = names + doc_ids, np.concatenate([ids, more]), np.concatenate([lengths, n])
+            ends, done = np.cumsum(lengths), 0
+            while done < len(ends) and ends[-1] - (before := ends[done - 1] if done else 0) >= GROUP_IDS:
+                stop = int(np.searchsorted(ends, before + GROUP_IDS)) + 1
+                yield _pack(shard, row, names[done:stop], ids[before : ends[stop - 1]], lengths[done:stop])
+                done, row = stop, row + 1
+            if done:
+                names, ids, lengths = names[done:], ids[ends[done - 1] :], lengths[done:]
         if names:
-            yield _pack(shard, row, names, ids)
+            yield _pack(shard, row, names, ids, lengths)
 
     keys = [f"__order{i}" for i in range(len(order or ()))]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c.alias(k) for c, k in zip(order or (), keys, strict=True)))

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -217,10 +218,14 @@ def test_encoder_equals_the_tokenizer():
 
     own, rng = Tokenizer.from_file(token_files.vocabulary_path()), random.Random(6)
     coder = token_files.encoder(token_files.vocabulary_path())
-    alphabet = [*"ab1      bcd \n\t\r'.,é日\x1c\x85　​\x0b'", "'s", "<|endoftext|>", "  ", "ÿ", "×"]
+    alphabet = [*"ab1      bcd \n\t\r'.,é日\x1c\x85　​\x0b'", "'s", "<|endoftext|>", "  ", "ÿ", "×", "Ж", "ñ", "😀", "-", "(", "À", "3", "٣", "ʼ", "ﬁ", "क"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(4000)]
-    for t, got in zip(texts, coder.encode(texts), strict=True):
-        assert own.encode(t, add_special_tokens=False).ids == got.tolist(), repr(t)
+    for known in (10**6, 50):  # with few pieces remembered, all are forgotten now and then
+        coder = token_files.Encoder(token_files.vocabulary_path(), known)
+        for at in range(0, 4000, 500):
+            ids_, n = coder.encode(pa.array(texts[at : at + 500]))
+            for t, got in zip(texts[at : at + 500], np.split(ids_, np.cumsum(n)[:-1]), strict=True):
+                assert own.encode(t, add_special_tokens=False).ids == got.tolist(), repr(t)
 
 
 def test_token_files(spark):
