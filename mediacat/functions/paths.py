@@ -105,10 +105,20 @@ def should_reprocess(path: Column, types: list[str] | None = None) -> Column:
 
 
 def organization_path(df: DataFrame, path: str, time: str, kind: str) -> DataFrame:
-    """df with target: Kinds/yyyy/MM/dd/name; the nth file of a name (by path) gets _n, and once more where that collides."""
+    """df with target: Kinds/yyyy/MM/dd/name; of files with one name (by path) the first keeps it, the nth after it gets the nth free _1, _2, ...
+
+    A number is free unless a file of that name is there itself, so no target repeats: names given to different names never meet.
+    """
     folder = F.concat(F.initcap(F.col(kind)), F.lit("s/"), F.date_format(time, "yyyy/MM/dd"), F.lit("/"))
-    named = df.withColumn("__f", folder).withColumn("__s", stem(F.col(path))).withColumn("__e", suffix(F.col(path))).withColumn("target", F.concat("__f", "__s", "__e"))
-    for _ in range(2):
-        n = F.row_number().over(Window.partitionBy("target").orderBy(path)) - 1
-        named = named.withColumn("__n", n).withColumn("__s", F.when(F.col("__n") > 0, F.concat("__s", F.lit("_"), F.col("__n").cast("string"))).otherwise(F.col("__s"))).withColumn("target", F.concat("__f", "__s", "__e"))
-    return named.drop("__f", "__s", "__e", "__n")
+    key = ["__f", "__s", "__e"]
+    named = df.withColumn("__f", folder).withColumn("__s", stem(F.col(path))).withColumn("__e", suffix(F.col(path)))
+    named = named.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(path)) - 1).withColumn("__given", F.lit(False))
+    # A name x_7 takes the number 7 of x; below it are 7 less its rank among the numbers taken that are free, and so it moves all from there on.
+    number = F.regexp_extract("__s", "_([1-9][0-9]{0,8})$", 1)
+    given = named.where((F.col("__n") == 0) & (number != "")).select("__f", F.regexp_replace("__s", "_[0-9]+$", "").alias("__s"), "__e", number.cast("int").alias("__n"), F.lit(True).alias("__given"))
+    given = given.withColumn("__n", F.col("__n") - F.row_number().over(Window.partitionBy(*key).orderBy("__n")) + 1)
+    both = named.unionByName(given, allowMissingColumns=True)
+    moved = F.sum(F.col("__given").cast("int")).over(Window.partitionBy(*key).orderBy("__n", F.desc("__given")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = both.withColumn("__n", F.when(F.col("__n") > 0, F.col("__n") + moved).otherwise(0)).where(~F.col("__given"))
+    tail = F.when(F.col("__n") > 0, F.concat(F.lit("_"), F.col("__n").cast("string"))).otherwise("")
+    return both.withColumn("target", F.concat("__f", "__s", tail, "__e")).drop(*key, "__n", "__given")

@@ -12,10 +12,10 @@ KEYS = {"caption": "XPComment", "tags": "Keywords", "rating": "Rating", "creator
 
 
 def parse_model_answers(df: DataFrame, col: str = "answer") -> DataFrame:
-    """df with parsed: the JSON of an answer (in a code fence or bare), else what its prose gives: first line, quoted words or hashtags."""
+    """df with parsed: the JSON of an answer (in a fence marked json, else in the first fence, closed or not, else bare), or what its prose gives: first line, quoted words or hashtags."""
     text = F.col(col)
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    data = F.from_json(F.when(fenced != "", fenced).otherwise(text), ANSWER)
+    marked, fenced = F.get(F.split(text, "```json"), F.lit(1)), F.get(F.split(text, "```"), F.lit(1))
+    data = F.from_json(F.coalesce(F.get(F.split(marked, "```"), F.lit(0)), fenced, text), ANSWER)
     quoted, tagged = F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1)), F.regexp_extract_all(text, F.lit(r"#(\w+)"), F.lit(1))
     prose = F.struct(
         F.substring(F.get(F.split(text, "\n"), F.lit(0)), 1, 200).alias("caption"), F.slice(F.when(F.size(quoted) > 0, quoted).otherwise(tagged), 1, 10).alias("tags"), F.array().cast("array<string>").alias("objects"),

@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediacat.functions.vectors import doubles, squared_distance
+from mediacat.functions.vectors import doubles
 from mediacat.operators.vectors import match_persons
-from mediacat.storage import components, stored
+from mediacat.storage import components, row_numbers, stored
+
+BLOCK_ROWS = 2048
+
+
+def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after the links i-j: each row's smallest row reached."""
+    while True:
+        a, b = label[i], label[j]
+        if (a == b).all():
+            return label
+        low = np.minimum(a, b)
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while (label[label] != label).any():
+            label = label[label]
 
 
 def standardize(df: DataFrame, id: str = "id") -> DataFrame:
@@ -19,34 +36,95 @@ def standardize(df: DataFrame, id: str = "id") -> DataFrame:
     return df.select(F.col(id).alias("id"), scaled.alias("v"))
 
 
-def epsilon_pairs(points: DataFrame, eps: float) -> DataFrame:
-    """(a, b), a < b, of points (id, v) within eps: on the axis of largest spread they are cut into strips of width eps, and only neighbouring strips meet."""
+def _blocks(points: DataFrame, rows: int) -> DataFrame:
+    """points (id, v) with block: ranges of the axis of largest spread, of about `rows` rows each."""
     spread = points.select(F.posexplode("v").alias("dim", "x")).groupBy("dim").agg((F.max("x") - F.min("x")).alias("s")).orderBy(F.desc("s"), "dim").first()
-    axis = spread.dim if spread else 0
-    p = points.withColumn("strip", F.floor(F.get("v", F.lit(axis)) / eps))
-    left = p.select(F.col("id").alias("a"), F.col("v").alias("va"), F.explode(F.array(F.col("strip") - 1, F.col("strip"), F.col("strip") + 1)).alias("strip"))
-    right = p.select(F.col("id").alias("b"), F.col("v").alias("vb"), "strip")
-    return left.join(right, "strip").where("a < b").where(squared_distance(F.col("va"), F.col("vb")) <= eps * eps).select("a", "b")
-
-
-def cluster_vectors(df: DataFrame, eps: float = 0.5, min_samples: int = 2, id: str = "id") -> DataFrame:
+    placed = points.withColumn("__x", F.get("v", F.lit(spread.dim)))
+    return row_numbers(placed, ["__x", "id"], "__n").select("id", "v", F.floor((F.col("__n") - 1) / rows).alias("block"))
+
+
+def _tile_pairs(blocks: DataFrame, eps: float) -> DataFrame:
+    """(a, b), a <= b: blocks whose boxes come within eps of each other. blocks: (id, v, block)."""
+    box = blocks.select("block", F.posexplode("v").alias("dim", "x")).groupBy("block", "dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    corner = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("dim", c))), lambda s: s[c]).alias(c)
+    box = stored(box.groupBy("block").agg(corner("lo"), corner("hi")), "boxes")  # a row for each block
+    one, two = (box.select(F.col("block").alias(n), F.col("lo").alias(f"lo_{n}"), F.col("hi").alias(f"hi_{n}")) for n in "ab")
+    apart = F.zip_with(F.zip_with("lo_a", "hi_b", lambda x, y: x - y), F.zip_with("lo_b", "hi_a", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    near = F.aggregate(apart, F.lit(0.0), lambda s, x: s + x * x) <= eps * eps * (1 + 1e-9)
+    return one.join(F.broadcast(two), (F.col("a") <= F.col("b")) & near).select("a", "b")
+
+
+def _near(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
+    """Which rows of x and y are within eps: by products, and term by term where that is too close to tell."""
+    limit = eps * eps
+    norms = (x * x).sum(1)[:, None] + (y * y).sum(1)[None]
+    d = norms - 2 * x @ y.T
+    near = d <= limit
+    i, j = np.nonzero(np.abs(d - limit) <= 1e-9 * (norms + limit))
+    for at in range(0, len(i), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        near[i[part], j[part]] = np.add.accumulate((x[i[part]] - y[j[part]]) ** 2, axis=1)[:, -1] <= limit  # summed in order
+    return near
+
+
+def _each_tile(blocks: DataFrame, pairs: DataFrame, work, schema: str) -> DataFrame:
+    """work(ids, v, core, ids, v, core, same block) on both blocks of every pair, a pair to a group."""
+    ends = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side")))).alias("e"))
+    ends = ends.select("a", "b", "e.block", "e.side").where("a <> b or side = 0")
+    rows = blocks.join(F.broadcast(ends), "block")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = []
+        for k in (0, 1) if key[0] != key[1] else (0, 0):
+            part = pdf[pdf["side"] == k]
+            sides += [part["id"].to_numpy(), np.array(part["v"].tolist(), float), part["core"].to_numpy(bool)]
+        return pd.DataFrame(work(*sides, key[0] == key[1]))
+
+    return rows.groupBy("a", "b").applyInPandas(run, schema)
+
+
+def cluster_vectors(df: DataFrame, eps: float = 0.5, min_samples: int = 2, id: str = "id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, cluster): density clusters of standardised vectors, numbered by their first core row; noise gets -1, -2, ... in order of id.
 
     Distances up to eps count, a point counts itself. A border point joins the lowest-numbered cluster next to it. One vector alone is cluster 0.
+    Blocks of points are compared pair by pair, unless their boxes lie apart; each pair gives counts, then a forest of links between
+    its core points and, for its other points, the trees they touch: never all pairs of points.
     """
     points = stored(standardize(df, id), "points")
     if points.count() < 2:
         return points.select("id", F.lit(0).cast("long").alias("cluster"))
-    pairs = stored(epsilon_pairs(points, eps), "pairs")
-    both = pairs.union(pairs.select("b", "a")).toDF("id", "other")
-    core = stored(points.select("id").join(both.groupBy("id").agg(F.count("*").alias("n")), "id", "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("id"), "core")
-    inner = pairs.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
-    roots = core.join(components(inner).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    numbers = roots.select("root").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("root")).cast("long") - 1)  # a row for each cluster
+    kind = points.schema["id"].dataType.simpleString()
+    blocks = stored(_blocks(points, block_rows).withColumn("core", F.lit(False)), "blocks")
+    pairs = stored(_tile_pairs(blocks, eps), "tiles")
+
+    def counts(i, x, _, j, y, __, same):
+        near = _near(x, y, eps)
+        return {"id": i, "n": near.sum(1)} if same else {"id": np.concatenate([i, j]), "n": np.concatenate([near.sum(1), near.sum(0)])}
+
+    n = _each_tile(blocks, pairs, counts, f"id {kind}, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    blocks = stored(blocks.drop("core").join(n, "id").select("id", "v", "block", (F.col("n") >= min_samples).alias("core")), "blocks")
+
+    def links(i, x, c, j, y, d, same):
+        ids, core = (i, c) if same else (np.concatenate([i, j]), np.concatenate([c, d]))
+        a, b = np.nonzero(_near(x, y, eps))
+        b = b if same else b + len(i)
+        inner = core[a] & core[b]
+        label = merged(np.arange(len(ids)), a[inner], b[inner])
+        moved = np.flatnonzero(core & (label != np.arange(len(ids))))
+        # A point that is not core touches trees: each once.
+        out, to = np.concatenate([a, b]), np.concatenate([b, a])
+        rim = ~core[out] & core[to]
+        touch = np.unique(np.stack([out[rim], label[to[rim]]], axis=1), axis=0)
+        return {"a": ids[np.concatenate([moved, touch[:, 0]])], "b": ids[np.concatenate([label[moved], touch[:, 1]])], "inner": np.arange(len(moved) + len(touch)) < len(moved)}
+
+    found = stored(_each_tile(blocks, pairs, links, f"a {kind}, b {kind}, inner boolean"), "tile-links")
+    core = blocks.where("core").select("id")
+    roots = stored(core.join(components(found.where("inner").select("a", "b")).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root")), "roots")
+    numbers = row_numbers(roots.select("root").distinct(), ["root"], "n").select("root", (F.col("n").cast("long") - 1).alias("cluster"))
     labelled = stored(roots.join(numbers, "root").select("id", "cluster"), "labelled")
-    border = both.join(labelled.select(F.col("id").alias("other"), "cluster"), "other").groupBy("id").agg(F.min("cluster").alias("near"))
-    all_ = points.select("id").join(labelled, "id", "left").join(border, "id", "left").select("id", F.coalesce("cluster", "near").alias("cluster"))
-    noise = all_.where("cluster is null").select("id", (-F.row_number().over(Window.orderBy("id")).cast("long")).alias("cluster"))
+    border = found.where("not inner").join(labelled.select(F.col("id").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("near"))
+    all_ = stored(points.select("id").join(labelled, "id", "left").join(border, "id", "left").select("id", F.coalesce("cluster", "near").alias("cluster")), "clusters")
+    noise = row_numbers(all_.where("cluster is null").select("id"), ["id"], "n").select("id", (-F.col("n")).cast("long").alias("cluster"))
     return all_.where("cluster is not null").unionByName(noise)
 
 
@@ -71,5 +149,5 @@ def assign_clusters(faces: DataFrame, gallery: DataFrame, threshold: float = 0.7
     first = faces.select("id", "cluster").join(hits, F.col("id") == F.col("face_id")).groupBy("cluster").agg(F.min("person_id").alias("person_id"))
     rows = faces.select("cluster").distinct().join(first, "cluster", "left")
     top = gallery.agg(F.max("person_id")).first()[0] or 0
-    new = rows.where("person_id is null").select("cluster", (F.row_number().over(Window.orderBy("cluster")) + top).cast("long").alias("person_id"), F.lit(True).alias("is_new"))  # a row for each cluster
+    new = row_numbers(rows.where("person_id is null").select("cluster"), ["cluster"], "n").select("cluster", (F.col("n") + top).cast("long").alias("person_id"), F.lit(True).alias("is_new"))
     return rows.where("person_id is not null").select("cluster", F.col("person_id").cast("long"), F.lit(False).alias("is_new")).unionByName(new)

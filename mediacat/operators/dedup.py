@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediacat.storage import stored
+from mediacat.storage import components, discard, partitions, stored
 
 
 def part_matches(a: Column, b: Column, threshold: float = 0.9) -> Column:
@@ -32,32 +35,76 @@ def near_duplicate_join(left: DataFrame, right: DataFrame, fp: str = "perceptual
         cut = lambda k: F.substring(F.col(side), F.floor(length * k / bands).cast("int") + 1, (F.floor(length * (k + 1) / bands) - F.floor(length * k / bands)).cast("int"))
         return rows.withColumn("len", length).select("*", F.posexplode(F.transform(F.sequence(F.lit(0), bands - 1), cut)).alias("band", "bits"))
 
-    both = banded(left, "left").join(banded(right, "right"), ["n", "part", "len", "band", "bits"])
-    return both.where(F.col("left_id") != F.col("right_id")).where(part_matches(F.col("left"), F.col("right"), threshold)).select("left_id", "right_id").distinct()
+    def distinct(df: DataFrame) -> DataFrame:
+        return df.where(F.col(fp).isNotNull()).select(F.col(fp).alias("id"), fp).distinct()
 
+    # Equal fingerprints meet once, however many files have them.
+    both = banded(distinct(left), "left").join(banded(distinct(right), "right"), ["n", "part", "len", "band", "bits"])
+    both = both.where(part_matches(F.col("left"), F.col("right"), threshold)).select("left_id", "right_id").distinct()
+    ids = lambda df, side: df.select(F.col(fp).alias(f"{side}_id"), F.col("id").alias(f"__{side}"))
+    pairs = both.join(ids(left, "left"), "left_id").join(ids(right, "right"), "right_id")
+    return pairs.where("__left <> __right").select(F.col("__left").alias("left_id"), F.col("__right").alias("right_id")).distinct()
 
-def elect_keepers(files: DataFrame, edges: DataFrame, order: list[str], rounds: int = 200) -> DataFrame:
+
+#: Components of at most so many links are settled whole by one scan; of larger ones, so many files at a time.
+MOST_LINKS, MOST_FILES = 1_000_000, 20_000
+
+
+def _drops(links: DataFrame) -> DataFrame:
+    """(id) of the files that go, of links (root, early, ep, late, lp) of whole components or of their first files: one scan of
+    the links in order of the later file, as a file's fate only hangs on earlier ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, gone = None, set()
+        for b in batches:
+            out = []
+            for root, early, late in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if root != now:
+                    now, gone = root, set()
+                if early not in gone and late not in gone:
+                    gone.add(late)
+                    out.append(late)
+            yield pa.RecordBatch.from_arrays([pa.array(out, b.column(2).type)], ["id"])
+
+    kind = links.schema["late"].dataType.simpleString()
+    rows = links.repartition(partitions(links.sparkSession), "root").sortWithinPartitions("root", "lp", "ep")
+    return rows.select("root", "early", "late").mapInArrow(run, f"id {kind}")
+
+
+def elect_keepers(files: DataFrame, edges: DataFrame, order: list[str], most_links: int = MOST_LINKS, most_files: int = MOST_FILES) -> DataFrame:
     """(id, keeper, duplicate_of): a file is kept if no earlier kept file matches it, and else is a duplicate of the smallest such id.
 
-    files (id, order columns); edges (left_id, right_id), either way. Each round settles every file whose earlier matches are
-    all settled, or one of whose earlier matches is kept.
+    files (id, order columns); edges (left_id, right_id), either way. Files that no chain of matches joins are settled side by
+    side. A component of over most_links links takes rounds: its first most_files files are settled by one scan, what they match goes.
     """
-    rank = F.struct(*dict.fromkeys([*order, "id"]))
-    place = files.select("id", rank.alias("place"))
-    e = edges.join(place.select(F.col("id").alias("left_id"), F.col("place").alias("lp")), "left_id").join(place.select(F.col("id").alias("right_id"), F.col("place").alias("rp")), "right_id")
-    early = F.when(F.col("lp") < F.col("rp"), F.struct(F.col("left_id").alias("early"), F.col("right_id").alias("late"))).otherwise(F.struct(F.col("right_id").alias("early"), F.col("left_id").alias("late")))
-    e = stored(e.where("left_id <> right_id").select(early.alias("e")).select("e.early", "e.late").distinct(), "edges")
-    state = stored(files.select("id", F.lit(None).cast("boolean").alias("keeper")), "state")
-    for _ in range(rounds):
-        seen = e.join(state.select(F.col("id").alias("early"), "keeper"), "early").groupBy(F.col("late").alias("id")).agg(F.coalesce(F.bool_or("keeper"), F.lit(False)).alias("has"), F.bool_and(F.col("keeper").isNotNull()).alias("settled"))
-        now = F.when(F.col("keeper").isNotNull(), F.col("keeper")).when(F.coalesce("has", F.lit(False)), False).when(F.coalesce("settled", F.lit(True)), True)
-        state = stored(state.join(seen, "id", "left").select("id", now.alias("keeper")), "state")
-        if state.where("keeper is null").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"keepers did not settle in {rounds} rounds")
-    first = e.join(state.where("keeper").select(F.col("id").alias("early")), "early", "left_semi").groupBy(F.col("late").alias("id")).agg(F.min("early").alias("__of"))
-    return state.join(first, "id", "left").select("id", "keeper", F.when(~F.col("keeper"), F.col("__of")).alias("duplicate_of"))
+    place = files.select("id", F.struct(*dict.fromkeys([*order, "id"])).alias("place"))
+    e = edges.where("left_id <> right_id").join(place.select(F.col("id").alias("left_id"), F.col("place").alias("lp")), "left_id").join(place.select(F.col("id").alias("right_id"), F.col("place").alias("rp")), "right_id")
+    one, two = (F.struct(F.col(f"{s}_id").alias("id"), F.col(p).alias("place")) for s, p in (("left", "lp"), ("right", "rp")))
+    first = F.col("lp") < F.col("rp")
+    e = e.select(F.when(first, one).otherwise(two).alias("e"), F.when(first, two).otherwise(one).alias("l"))
+    e = stored(e.select(F.col("e.id").alias("early"), F.col("e.place").alias("ep"), F.col("l.id").alias("late"), F.col("l.place").alias("lp")).distinct(), "edges")
+    roots = components(e.select(F.col("early").alias("a"), F.col("late").alias("b")))
+    e = stored(e.join(roots.withColumnRenamed("node", "late"), "late").select("root", "early", "ep", "late", "lp"), "edges")
+    giant = F.broadcast(e.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > most_links).select("root"))  # at most a root for most_links links
+    gone = [stored(_drops(e.join(giant, "root", "left_anti")), "gone")]
+    left = stored(e.join(giant, "root", "left_semi"), "edges")
+    while not left.isEmpty():
+        nodes = left.select("root", F.col("early").alias("id"), F.col("ep").alias("place")).union(left.select("root", "late", "lp")).distinct()
+        head = nodes.withColumn("r", F.row_number().over(Window.partitionBy("root").orderBy("place"))).where(F.col("r") <= most_files)
+        head = stored(head.select("id"), "head")
+        lost = stored(_drops(left.join(head.withColumnRenamed("id", "late"), "late", "left_semi").select(left.columns)), "gone")
+        kept = head.join(lost, "id", "left_anti")
+        next_to = stored(left.join(kept.withColumnRenamed("id", "early"), "early", "left_semi").select(F.col("late").alias("id")).distinct(), "gone")
+        gone += [lost, next_to]
+        done = stored(head.union(next_to).distinct(), "done")
+        rest = left.join(done.withColumnRenamed("id", "late"), "late", "left_anti").join(done.withColumnRenamed("id", "early"), "early", "left_anti")
+        rest = stored(rest.select(left.columns), "edges")
+        discard(left, head, done)
+        left = rest
+    out = reduce(DataFrame.union, gone).distinct().withColumn("__gone", F.lit(True))
+    state = stored(files.select("id").join(out, "id", "left").select("id", F.col("__gone").isNull().alias("keeper")), "state")
+    of = e.join(state.where("keeper").select(F.col("id").alias("early")), "early", "left_semi").groupBy(F.col("late").alias("id")).agg(F.min("early").alias("__of"))
+    return state.join(of, "id", "left").select("id", "keeper", F.when(~F.col("keeper"), F.col("__of")).alias("duplicate_of"))
 
 
 def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -65,13 +112,28 @@ def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def duplicates(files: DataFrame, order: list[str], threshold: float = 0.9) -> DataFrame:
-    """(id, keeper, duplicate_of, score): equal content first (1.0), then near fingerprints among what is left (0.9). files (id, file_hash, perceptual_hash, order columns)."""
-    w = Window.partitionBy("file_hash").orderBy(*dict.fromkeys([*order, "id"]))
-    exact = stored(files.select(*dict.fromkeys(["id", "perceptual_hash", *order]), F.when(F.col("file_hash").isNotNull(), F.first_value("id").over(w)).otherwise(F.col("id")).alias("first")), "exact")
+    """(id, keeper, duplicate_of, score): equal content first (1.0), then near fingerprints among what is left (0.9). files (id, file_hash, perceptual_hash, order columns).
+
+    Files of one fingerprint meet the others through the first of them: they match alike, and match each other.
+    """
+    cols = list(dict.fromkeys([*order, "id"]))
+    first_of = lambda c: F.when(F.col(c).isNotNull(), F.first_value("id").over(Window.partitionBy(c).orderBy(*cols))).otherwise(F.col("id"))
+    exact = stored(files.select(*cols, F.when(F.col("perceptual_hash") != "", F.col("perceptual_hash")).alias("perceptual_hash"), first_of("file_hash").alias("first")), "exact")
     left = exact.where("id = first")
-    edges = near_duplicate_join(left, left, "perceptual_hash", threshold).where("left_id < right_id")
-    near = stored(elect_keepers(left.select(*dict.fromkeys(["id", *order])), edges, order), "near")
+    left = stored(left.select(*cols, "perceptual_hash", first_of("perceptual_hash").alias("rep")), "fingerprinted")
+    reps = left.where("id = rep")
+    edges = stored(near_duplicate_join(reps, reps, "perceptual_hash", threshold), "near-edges")
+    elected = stored(elect_keepers(reps.select(*cols), edges.where("left_id < right_id"), order), "near")
+    # A later file of a fingerprint goes: to its first if that is kept, else to the smallest kept one before it that the first matches.
+    place = F.struct(*cols)
+    kept = reps.join(elected.where("keeper").select("id"), "id", "left_semi").select(F.col("id").alias("left_id"), place.alias("__before"))
+    others = left.where("id <> rep").select("id", F.col("rep").alias("right_id"), place.alias("__at"))
+    of = others.join(edges.join(kept, "left_id"), "right_id").where("__before < __at").groupBy("id").agg(F.min("left_id").alias("__of"))
+    state = elected.select(F.col("id").alias("rep"), F.col("keeper").alias("__rk"), F.col("duplicate_of").alias("__rd"))
+    own = F.col("id") == F.col("rep")
+    near = left.select("id", "rep").join(state, "rep").join(of, "id", "left")
+    near = near.select(F.col("id").alias("first"), (own & F.col("__rk")).alias("__k"), F.when(own, F.col("__rd")).when(F.col("__rk"), F.col("rep")).otherwise(F.col("__of")).alias("__d"))
     # A copy of a file that is itself no keeper is compared like that file: it has the same fingerprint.
-    of = exact.join(near.select(F.col("id").alias("first"), F.col("keeper").alias("__k"), F.col("duplicate_of").alias("__d")), "first")
+    of = exact.select("id", "first").join(near, "first")
     own = F.col("id") == F.col("first")
     return of.select("id", (own & F.col("__k")).alias("keeper"), F.when(own, F.col("__d")).when(F.col("__k"), F.col("first")).otherwise(F.col("__d")).alias("duplicate_of"), F.when(own & F.col("__k"), None).when(~own & F.col("__k"), 1.0).otherwise(0.9).alias("score"))

@@ -127,11 +127,15 @@ def _(spark, d):
     return files(spark, d).select("id", paths.should_reprocess(F.col("file_path")).alias("again"))
 
 
-@query("organization_path", f"""SELECT id, concat('Others/', strftime(make_timestamp(mtime * 1000000), '%Y/%m/%d'), '/', s, CASE WHEN n > 0 THEN concat('_', CAST(n AS STRING)) ELSE '' END, e) AS target FROM (
-  SELECT id, mtime, {_STEM} AS s, regexp_extract(file_path, '[.][^.]*$') AS e,
-    row_number() OVER (PARTITION BY strftime(make_timestamp(mtime * 1000000), '%Y/%m/%d'), {_NAME} ORDER BY file_path) - 1 AS n FROM (SELECT id, mtime, concat('/d', CAST(id AS STRING), '/', CASE WHEN id % 3 = 0 THEN 'a.jpg' ELSE concat('b', CAST(id AS STRING), '.jpg') END) AS file_path FROM {_FILES})) """)
+_ORGANISED = f"(SELECT id, strftime(make_timestamp(mtime * 1000000), '%Y/%m/%d') AS day, concat('/d', CAST(id AS STRING), '/') AS dir, CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 3 = 1 THEN concat('a_', CAST(id % 40 AS STRING)) ELSE concat('b', CAST(id AS STRING)) END AS s FROM {_FILES})"
+
+
+@query("organization_path", f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY day, s ORDER BY dir) - 1 AS n FROM {_ORGANISED}),
+  t AS (SELECT day, 'a' AS s, list(CAST(substr(s, 3) AS BIGINT)) AS taken FROM r WHERE n = 0 AND regexp_matches(s, '^a_[1-9]') GROUP BY day)
+  SELECT id, concat('Others/', day, '/', s, CASE WHEN n > 0 THEN concat('_', CAST([x for x in range(1, n + 1 + len(coalesce(taken, []))) if NOT list_contains(coalesce(taken, []), x)][n] AS STRING)) ELSE '' END, '.jpg') AS target FROM r LEFT JOIN t USING (day, s)""")
 def _(spark, d):
-    f = files(spark, d).select("id", F.timestamp_seconds("mtime").alias("t"), F.concat(F.lit("/d"), F.col("id").cast("string"), F.lit("/"), F.when(F.col("id") % 3 == 0, "a.jpg").otherwise(F.concat(F.lit("b"), F.col("id").cast("string"), F.lit(".jpg")))).alias("file_path"), F.lit("other").alias("kind"))
+    name = F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, F.concat(F.lit("a_"), (F.col("id") % 40).cast("string"))).otherwise(F.concat(F.lit("b"), F.col("id").cast("string")))
+    f = files(spark, d).select("id", F.timestamp_seconds("mtime").alias("t"), F.concat(F.lit("/d"), F.col("id").cast("string"), F.lit("/"), name, F.lit(".jpg")).alias("file_path"), F.lit("other").alias("kind"))
     return paths.organization_path(f, "file_path", "t", "kind").select("id", "target")
 
 
@@ -402,9 +406,9 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", text.embedding_text(F.col("lang"), F.array("source")).alias("t"))
 
 
-@query("contains_text", "SELECT doc_id, length(trim(substr(text, 1, CAST(doc_id % 7 AS INT)), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')) > 3 AS has FROM documents")
+@query("contains_text", "SELECT doc_id, coalesce(length(trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')), 0) > 3 AS has, coalesce(length(trim(lang, ' ')), 0) > 3 AS lang_has FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.contains_text(F.expr("substring(text, 1, int(doc_id % 7))")).alias("has"))
+    return table(spark, d, "documents").select("doc_id", F.coalesce(text.contains_text(F.col("text")), F.lit(False)).alias("has"), F.coalesce(text.contains_text(F.col("lang")), F.lit(False)).alias("lang_has"))
 
 
 @query("event_key", "SELECT event_id, md5(concat(event_type, '|', 'user' || user_id)) AS k FROM events")
@@ -735,11 +739,13 @@ def _(spark, d):
 
 
 # Records.
-@query("parse_model_answers", r"""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN substr(text, 1, 20) ELSE substr(split_part(text, chr(10), 1), 1, 200) END AS caption, CASE WHEN turn % 2 = 0 THEN 'happy' ELSE 'neutral' END AS mood FROM conversations""")
+@query("parse_model_answers", r"""SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN substr(split_part(coalesce(text, ''), chr(10), 1), 1, 200) ELSE coalesce(text, '') END AS caption, CASE WHEN turn % 4 = 1 THEN 'neutral' ELSE 'happy' END AS mood FROM conversations""")
 def _(spark, d):
-    c = table(spark, d, "conversations")
-    answer = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Here:\n```json\n"), F.to_json(F.struct(F.substring("text", 1, 20).alias("caption"), F.lit("happy").alias("mood"))), F.lit("\n```"))).otherwise(F.col("text"))
-    return records.parse_model_answers(c.withColumn("answer", answer)).select("conv_id", "turn", "parsed.caption", "parsed.mood")
+    """By turn: a closed fence, prose, a json fence after another one, a fence that is cut off before its end."""
+    said = F.coalesce("text", F.lit(""))
+    data, kind = F.to_json(F.struct(said.alias("caption"), F.lit("happy").alias("mood"))), F.col("turn") % 4
+    answer = F.when(kind == 0, F.concat(F.lit("Here:\n```\n"), data, F.lit("\n```"))).when(kind == 1, said).when(kind == 2, F.concat(F.lit("```\nplan\n```\n```json\n"), data, F.lit("\n```"))).otherwise(F.concat(F.lit("```json\n"), data))
+    return records.parse_model_answers(table(spark, d, "conversations").withColumn("answer", answer)).select("conv_id", "turn", "parsed.caption", "parsed.mood")
 
 
 @query("parse_probe", "SELECT p_partkey, CAST(p_size AS DOUBLE) AS duration, CAST(p_partkey AS BIGINT) AS size, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_partkey % 5 * 1e1 END AS fps FROM part")

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -16,8 +16,11 @@ def _local_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _local_dir()
+    """The folder all executors share: spark.checkpoint.dir. Only a local session may lack it; it gets a temporary one (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or _local_dir()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -25,7 +28,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the folders of stored() tables that nothing reads any more."""
+    for df in tables:
+        jvm, path = df.sparkSession.sparkContext._jvm, df._stored_at
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,22 +49,43 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def row_numbers(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with name: each row's number from 1 in the order (of distinct values), without a window over all rows: parts of the range are numbered side by side."""
+    ranged = stored(df.repartitionByRange(partitions(df.sparkSession), *order).withColumn("__part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("n"))
+    before = sizes.select("__part", F.expr("sum(n) over (order by __part) - n").alias("__before"))  # a row for each partition
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranged.join(F.broadcast(before), "__part").withColumn(name, own + F.col("__before")).drop("__part", "__before")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph: (node, root), root the smallest node reached.
 
-    edges: (a, b) of an orderable type; nulls and loops are dropped. Each round takes the smallest label among
-    a node's neighbours, then the label of its label, and is written out; no edges give no rows.
+    edges: (a, b) of an orderable type; nulls and loops are dropped; no edges give no rows. Each round hooks every group to its
+    least neighbour, flattens the trees by doubling their jumps, and goes on with the graph of the groups: that has at most half as many
+    nodes, so the rounds grow with the logarithm of the nodes, whatever the shape. The smallest node of a group is always its root.
     """
     links = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     links = stored(links.union(links.select("b", "a")).distinct(), "links")
-    labels = stored(links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
-    for _ in range(rounds):
-        near = links.join(labels.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("old"), F.least("root", "r").alias("up"))
-        step = stored(step, "step")
-        jump = step.join(step.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left")
-        new = stored(jump.select("node", F.coalesce(F.least("up", "top"), "up").alias("root"), "old"), "labels")
-        if new.where("root <> old").isEmpty():
-            return new.select("node", "root")
-        labels = new.select("node", "root")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    hooks: list[DataFrame] = []
+    while not links.isEmpty():
+        least = links.groupBy("a").agg(F.min("b").alias("b"))
+        back = least.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        tree = stored(least.join(back, "b").select(F.col("a").alias("node"), F.when((F.col("a") == F.col("c")) & (F.col("a") < F.col("b")), F.col("a")).otherwise(F.col("b")).alias("root")), "tree")
+        deep = True
+        while deep:
+            up = tree.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            flat = stored(tree.join(up, "root").select("node", F.col("top").alias("root"), (F.col("root") != F.col("top")).alias("moved")), "tree")
+            discard(tree)
+            deep, tree = not flat.where("moved").isEmpty(), flat
+        hooks.append(tree)
+        ends = links.join(tree.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(tree.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+        rest = stored(ends.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links")
+        discard(links)
+        links = rest
+    if not hooks:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found = hooks[-1].select("node", "root")
+    for tree in reversed(hooks[:-1]):
+        found = tree.select("node", "root").join(found.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return found

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mediacat.functions.paths import glob_type, should_reprocess
 from mediacat.functions.text import event_key
 from mediacat.operators.ignore import is_ignored
+from mediacat.storage import stored
 
 # Priorities, and how much longer or shorter an event type is waited for.
 PRIORITY = {"created": 10, "moved": 8, "modified": 5, "deleted": 3}
@@ -38,12 +39,32 @@ def debounce(df: DataFrame, base_ms: int = 2000, delay: str = DROP_AFTER) -> Dat
     return rows.groupBy("key", "event_type", "src_path", "dest_path", F.session_window("ts", wait)).agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("n")).drop("session_window")
 
 
-def batch_events(df: DataFrame, key: str = "source", idle: str = "5 seconds", size: int = 100, least_modified: int = 3) -> DataFrame:
-    """Static rows in batches: a key's events until it is idle, cut every `size`; the newest event of each path and type stays, modified ones only if there were enough."""
-    session = df.groupBy(key, F.session_window("ts", idle).alias("w")).agg(F.count("*").alias("__n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"))
-    rows = df.join(session, key).where((F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")))
-    w = Window.partitionBy(key, "start").orderBy("ts", "src_path", "event_type")
-    rows = rows.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size))
+def batch_events(df: DataFrame, key: str = "source", idle: str = "5 seconds", size: int = 100, least_modified: int = 3, bucket_seconds: int = 600) -> DataFrame:
+    """Static rows in batches: a key's events until it is idle, cut every `size`; the newest event of each path and type stays, modified ones only if there were enough.
+
+    (key, start, chunk, src_path, event_type, n, last_seen). A key's time is cut into buckets, each numbered on its own; one row a bucket
+    carries on the last time, the start of the session that is still open, and how many events that has had.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = df.where(F.col("ts").isNotNull()).withColumn("__t", micros("ts")).withColumn("__b", F.floor(F.col("__t") / (bucket_seconds * 1_000_000)))
+    by_key, limit = Window.partitionBy(key).orderBy("__b"), F.expr(f"unix_micros(timestamp_micros(0) + interval {idle})")
+    own = Window.partitionBy(key, "__b").orderBy("__t", "src_path", "event_type")
+    last = rows.groupBy(key, "__b").agg(F.max("__t").alias("__last"))
+    before = stored(last.select(F.col(key).alias("__k"), "__b", F.lag("__last").over(by_key).alias("__prev")), "batch-last")  # a row for each key and bucket
+    same = F.col(key).eqNullSafe(F.col("__k"))
+    rows = rows.join(before.withColumnRenamed("__b", "__b2"), same & (F.col("__b") == F.col("__b2"))).drop("__k", "__b2")
+    rows = rows.withColumn("__new", F.coalesce(F.col("__t") - F.coalesce(F.lag("__t").over(own), "__prev") > limit, F.lit(True)))
+    rows = rows.withColumn("__start", F.max(F.when(F.col("__new"), F.col("__t"))).over(own)).withColumn("__r", F.row_number().over(own))
+    # Of each bucket: its last start, and its rows from there on (all, if nothing starts in it).
+    ends = rows.groupBy(key, "__b").agg(F.max("__start").alias("s"), F.count("*").alias("all"), F.max(F.when(F.col("__new"), F.col("__r"))).alias("first"))
+    ends = ends.withColumn("tail", F.col("all") - F.coalesce(F.col("first") - 1, F.lit(0))).withColumn("g", F.count("s").over(by_key))
+    run = Window.partitionBy(key, "g").orderBy("__b")
+    ends = ends.withColumn("n", F.sum("tail").over(run)).withColumn("s", F.max("s").over(Window.partitionBy(key, "g")))
+    carried = stored(ends.select(F.col(key).alias("__k"), F.col("__b").alias("__b2"), F.lag("s").over(by_key).alias("__s"), F.lag("n").over(by_key).alias("__n")), "batch-open")
+    rows = rows.join(carried, same & (F.col("__b") == F.col("__b2"))).drop("__k", "__b2")
+    begin = F.min(F.when(F.col("__new"), F.col("__r"))).over(Window.partitionBy(key, "__b", "__start"))
+    place = F.when(F.col("__start").isNull(), F.col("__n") + F.col("__r")).otherwise(F.col("__r") - begin + 1)
+    rows = rows.withColumn("start", F.timestamp_micros(F.coalesce("__start", "__s"))).withColumn("chunk", F.floor((place - 1) / size))
     out = rows.groupBy(key, "start", "chunk", "src_path", "event_type").agg(F.count("*").alias("n"), F.max("ts").alias("last_seen"))
     return out.where((F.col("event_type") != "modified") | (F.col("n") >= least_modified))
 
