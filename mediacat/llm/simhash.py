@@ -15,13 +15,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from mediacat.llm.common import components, partitions, stored, table
 
 SHINGLE = 3
 RADIUS = 3
 TILE_ROWS = 8192
-TILE = 512
+TILE = 256
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -71,48 +72,51 @@ def merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def tiles(fp: np.ndarray, side: np.ndarray, radius: int, tile: int = TILE) -> np.ndarray:
-    """Root of each row after linking all rows within the radius. side: 0 both, or rows 1 are held against rows 2 only."""
+def compare(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
+    """Which fingerprints of one tile are within the radius of which of another."""
+    return np.bitwise_count(x[:, None] ^ y[None]) <= radius
+
+
+def tiles(fp: np.ndarray, key: np.ndarray, side: np.ndarray, radius: int, tile: int = TILE) -> np.ndarray:
+    """Root of each row after linking all rows of one key within the radius. side: 0 both, or rows 1 are held against rows 2 only.
+
+    Rows are laid out by key and population count and cut into tiles; a tile meets the later ones that go on with its last key,
+    unless their counts differ beyond the radius. Small keys share a tile, and a mask keeps them apart.
+    """
     pop = np.bitwise_count(fp).astype(np.int16)
-    order = np.argsort(pop, kind="stable")
-    x, p, s = fp[order], pop[order], side[order]
-    label = np.arange(len(x))
+    order = np.lexsort((pop, key))
+    x, p, s, k = fp[order], pop[order], side[order], key[order]
+    from_, to = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for a in range(0, len(x), tile):
+        last = min(a + tile, len(x)) - 1
         for b in range(a, len(x), tile):
-            if p[b] - p[min(a + tile, len(x)) - 1] > radius:
+            # A later tile can only hold on to the last key of this one.
+            if b > a and (k[b] != k[last] or p[b] - p[last] > radius):
                 break
-            near = np.bitwise_count(x[a : a + tile, None] ^ x[None, b : b + tile]) <= radius
-            if s.any():
-                near &= s[a : a + tile, None] != s[None, b : b + tile]
-            i, j = np.nonzero(near)
-            label = merge(label, i + a, j + b)
+            near = compare(x[a : a + tile], x[b : b + tile], radius)
+            near &= k[a : a + tile, None] == k[None, b : b + tile]
+            if s[a : a + tile].any():
+                near &= (s[a : a + tile, None] != s[None, b : b + tile]) | (s[a : a + tile, None] == 0)
+            i, j = np.nonzero(np.triu(near, 1) if a == b else near)
+            if len(i):  # a forest of the tile pair, not all of its links
+                j = j + (b - a)
+                label = merge(np.arange(b - a + tile), i, j)
+                moved = np.flatnonzero(label != np.arange(len(label)))
+                from_.append(moved + a)
+                to.append(label[moved] + a)
+    label = merge(np.arange(len(x)), np.concatenate(from_), np.concatenate(to))
     root = np.empty(len(x), np.int64)
     root[order] = order[label]
     return root
 
 
 def _groups(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of rows (key, fp, side) that come sorted by key: a forest for each key."""
+    """Links (a, b) of rows (key, fp, side) that come sorted by key: a forest for each key, whatever its size."""
 
     def linked(key: np.ndarray, fp: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff(np.concatenate([first, [len(key)]]))
-        a, b = [], []
-        small = np.repeat(sizes <= 32, sizes)
-        for shift in range(1, min(32, int(sizes.max(initial=1)))):  # all small groups at once, diagonal by diagonal
-            at = np.flatnonzero((key[shift:] == key[:-shift]) & small[shift:])
-            x, y = fp[at], fp[at + shift]
-            near = np.bitwise_count(x ^ y) <= radius
-            a.append(x[near])
-            b.append(y[near])
-        for at, n in zip(first[sizes > 32], sizes[sizes > 32], strict=True):
-            part = fp[at : at + n]
-            root = tiles(part, side[at : at + n], radius)
-            moved = root != np.arange(n)
-            a.append(part[moved])
-            b.append(part[root[moved]])
-        cat = lambda x: pa.array(np.concatenate([*x, np.empty(0, np.uint64)]).view(np.int64))
-        return pa.RecordBatch.from_arrays([cat(a), cat(b)], ["a", "b"])
+        root = tiles(fp, key, side, radius)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(fp[moved].view(np.int64)), pa.array(fp[root[moved]].view(np.int64))], ["a", "b"])
 
     keep: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int8)]
     for batch in batches:
@@ -179,6 +183,21 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
     return fps.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def orderable(kind: DataType) -> bool:
+    """Whether Spark can order values of the type: maps, and what holds them, have no order."""
+    if isinstance(kind, StructType):
+        return all(orderable(f.dataType) for f in kind.fields)
+    return orderable(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, MapType | VariantType)
+
+
+def first_rows(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Of the rows of each key, the first in the order of the columns (those that have no order: in that of their JSON)."""
+    row = F.struct(*(F.col(f"`{c}`") for c in columns))
+    odd = [c for c in columns if not orderable(rows.schema[c].dataType)]
+    by = F.struct(*(F.to_json(F.struct(F.col(f"`{c}`"))) if c in odd else F.col(f"`{c}`") for c in columns))
+    return rows.groupBy(*keys).agg((F.min_by(row, by) if odd else F.min(row)).alias("__row"))
+
+
 def near_dedup(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """docs without near copies: of each component the document of the smallest doc_id stays, all its columns as they were.
 
@@ -186,9 +205,8 @@ def near_dedup(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> D
     without a doc_id can't be named by a component: of those with equal texts one stays.
     """
     keep = near_duplicates(docs, width, radius).where("doc_id <=> component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    cols = [F.col(f"`{c}`") for c in docs.columns]
     unnamed = F.when(F.col("doc_id").isNull(), F.sha2(F.col("text").cast("string"), 256))
-    firsts = docs.groupBy(F.col("doc_id").alias("__id"), unnamed.alias("__text")).agg(F.min(F.struct(*cols)).alias("__row"))
+    firsts = first_rows(docs.withColumn("__id", F.col("doc_id")).withColumn("__text", unnamed), ["__id", "__text"], docs.columns)
     kept = firsts.join(keep, F.col("__id") == F.col("__keep"), "left_semi").unionByName(firsts.where("__id is null"))
     return kept.select("__row.*")
 

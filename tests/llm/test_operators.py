@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from mediacat.llm import curriculum, decontaminate, importance, language, pii, queries, secrets, simhash, simple8b, suffix_dedup, token_files, va_file
+from mediacat.llm import curriculum, decontaminate, importance, language, near_copies, pii, queries, secrets, simhash, simple8b, suffix_dedup, token_files, va_file
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, fp long, score double, target double, w array<string>, item_id long, spans string, rid long"
@@ -329,11 +329,34 @@ def test_simhash(spark):
 def test_tiles_equal_all_pairs():
     rng = np.random.default_rng(3)
     fp = np.concatenate([rng.integers(0, 2**63, 40, dtype=np.uint64), np.uint64(7) ^ (np.uint64(1) << rng.integers(0, 12, 60).astype(np.uint64))])
-    for radius, tile in ((0, 8), (3, 8), (10, 512)):
-        root = simhash.tiles(fp, np.zeros(len(fp), np.int8), radius, tile)
+    for (radius, tile), key in itertools.product(((0, 8), (3, 8), (10, 512)), (np.zeros(100, np.int64), np.sort(rng.integers(0, 30, 100)))):
+        root = simhash.tiles(fp, key, np.zeros(len(fp), np.int8), radius, tile)
         for i, j in itertools.combinations(range(len(fp)), 2):
-            if int(fp[i] ^ fp[j]).bit_count() <= radius:
+            if key[i] == key[j] and int(fp[i] ^ fp[j]).bit_count() <= radius:
                 assert root[i] == root[j]
+        assert (key[root] == key).all()
+        sides = np.tile([1, 2], 50).astype(np.int8)
+        root = simhash.tiles(fp, key, sides, radius, tile)
+        for i, j in itertools.combinations(range(len(fp)), 2):
+            if key[i] == key[j] and sides[i] != sides[j] and int(fp[i] ^ fp[j]).bit_count() <= radius:
+                assert root[i] == root[j]
+
+
+def test_every_bucket_goes_through_the_tiles(monkeypatch):
+    """Buckets of two rows too: what the tile kernel doesn't link stays alone."""
+    key = np.repeat(np.arange(50), 2)
+    fp = np.repeat(np.arange(50, dtype=np.uint64) << np.uint64(8), 2) ^ np.tile([0, 1], 50).astype(np.uint64)
+    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp.view(np.int64)), pa.array(np.zeros(100, np.int8))], ["key", "fp", "side"])
+    assert sum(b.num_rows for b in simhash._groups(iter([batch]), 3)) == 50
+    monkeypatch.setattr(simhash, "compare", lambda x, y, radius: np.zeros((len(x), len(y)), bool))
+    assert sum(b.num_rows for b in simhash._groups(iter([batch]), 3)) == 0
+
+
+def test_near_dedup_keeps_map_columns(spark):
+    docs = odd_docs(spark).withColumn("extra", F.create_map(F.lit("a"), F.col("doc_id")))
+    for how in (simhash.near_dedup, near_copies.near_dedup):
+        kept = how(docs)
+        assert kept.columns == docs.columns and kept.schema["extra"].dataType == docs.schema["extra"].dataType and 0 < kept.count() < docs.count()
 
 
 # 10
