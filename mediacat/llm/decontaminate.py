@@ -2,7 +2,7 @@
 
 The items are the indexed collection, every passage of every training document is a query. A term's weight in an item is
 its BM25 impact divided by the item's own total, so a score is the share of the item (0 to 1) that the passage covers
-and one threshold serves all items. Postings are in blocks with their largest impact. Items come in blocks of bounded
+and one threshold serves all items. Postings carry their largest impact by blocks of items. Items come in portions of bounded
 size, each broadcast in turn, whatever the size of the benchmark; document frequencies count all items.
 """
 
@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,10 @@ THRESHOLD = 0.6
 OVERLAP = 0.8
 SHINGLE = 5
 K1, B = 1.2, 0.75
-POSTING_BLOCK = 16
-ITEM_BLOCK = 4
+#: Items that share a block maximum: few, as items are long queries' worth of terms and bounds of many add up to anything.
+BLOCK = 4
 BLOCK_ITEMS = 20_000
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -51,92 +53,116 @@ def shingles(w: list[str], width: int = SHINGLE) -> set[tuple[str, ...]]:
     return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
 
 
+def shingle_hashes(terms: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+    """Hashes of all runs of `width` term numbers; of fewer, one of the whole."""
+    n = min(width, len(terms))
+    if not n:
+        return np.empty(0, np.uint64)
+    x = (terms.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = np.full(len(terms) - n + 1, n, np.uint64)
+    for k in range(n):
+        h = (h ^ x[k : len(terms) - n + 1 + k]) * np.uint64(0x100000001B3)
+        h ^= h >> np.uint64(31)
+    return h
+
+
 class Index:
-    """Inverted index of a block of items with block-max postings."""
+    """Inverted index of a block of items: flat postings by term, and the largest impact of each term in each block of items that has it.
+
+    Its size goes with the postings (a term in an item): 12 bytes each, as much for the block maxima, 8 for each shingle.
+    """
 
     def __init__(self, items: list[tuple], df: dict[str, int], n: int, mean: float):
         """items: (item_id, text); df, n and mean (length in words): of all items, in this block or not."""
-        self.ids, self.words, self.qa = [], [], []
+        self.ids, self.term, self.span = [], {}, 0
+        terms, docs, impacts = array("i"), array("i"), array("d")
+        self.question, self.answer = [], []
         for name, text in items:
-            if w := words(text):
-                self.ids.append(name)
-                self.words.append(w)
-                q, a = parts(w, text)
-                self.qa.append((shingles(q), shingles(a)))
-        self.span = max(map(len, self.words), default=0)
-        postings: dict[str, list[tuple[int, float]]] = {}
-        for d, w in enumerate(self.words):
-            tf = Counter(w)
+            if not (w := words(text)):
+                continue
+            tf, d = Counter(w), len(self.ids)
             own = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for t, c in tf.items()}
             total = sum(own.values())
-            for t, x in own.items():
-                postings.setdefault(t, []).append((d, x / total))
-        self.term = {t: i for i, t in enumerate(postings)}
-        self.docs = [[d for d, _ in p] for p in postings.values()]
-        self.impact = [[x for _, x in p] for p in postings.values()]
-        self.block_max = [[max(x[i : i + POSTING_BLOCK]) for i in range(0, len(x), POSTING_BLOCK)] for x in self.impact]
-        self.top = np.array([max(x) for x in self.impact] + [0.0])
-        self.peaks = np.zeros((len(self.term) + 1, -(-len(self.ids) // ITEM_BLOCK)), np.float32)  # (term, block of items)
-        for t, (ds, xs) in enumerate(zip(self.docs, self.impact, strict=True)):
-            np.maximum.at(self.peaks[t], np.array(ds) // ITEM_BLOCK, np.array(xs, np.float32))
+            terms.extend(self.term.setdefault(t, len(self.term)) for t in own)
+            docs.extend([d] * len(own))
+            impacts.extend(x / total for x in own.values())
+            self.ids.append(name)
+            self.span = max(self.span, len(w))
+            for held, part in zip((self.question, self.answer), parts(w, text), strict=True):
+                held.append(np.unique(shingle_hashes(np.array([self.term[x] for x in part], np.int64))))
+        term = np.frombuffer(terms, np.int32) if terms else np.empty(0, np.int32)
+        order = np.argsort(term, kind="stable")
+        edges = np.arange(len(self.term) + 1)
+        item, x = np.array(docs, np.int32)[order], np.array(impacts, np.float64)[order]
+        first = np.searchsorted(term[order], edges)  # of each term's postings
+        block = item // BLOCK
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(block) != 0) | (np.diff(term[order]) != 0)])) if len(block) else np.empty(0, np.int64)
+        self.block, self.block_max = block[new], np.maximum.reduceat(x, new) if len(new) else np.empty(0)
+        self.first_block = np.searchsorted(term[order][new], edges)
+        self.blocks = np.diff(self.first_block)
+        self.top = np.append(np.maximum.reduceat(x, first[:-1]) if len(self.term) else np.empty(0), 0.0)
+        self.docs, self.impact, self.ends, self.tops = array("i", item.tobytes()), array("d", x.tobytes()), first.tolist(), self.top.tolist()
 
     def find(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """search() in those blocks of items whose largest impacts can reach the threshold."""
-        bound = self.peaks[terms].sum(axis=0)
-        if bound.max() < threshold - 1e-5:
-            return []
-        blocks = np.flatnonzero(bound >= threshold - 1e-5).tolist()
-        return [x for k in blocks for x in self.search(terms.tolist(), threshold, k * ITEM_BLOCK, (k + 1) * ITEM_BLOCK)]
+        """Block-max WAND: all items (number, score) that score the threshold or more against the terms (distinct).
 
-    def search(self, terms: list[int], threshold: float, low: int = 0, high: int = 1 << 60) -> list[tuple[int, float]]:
-        """Block-max WAND: all items (number, score) from low to high that score the threshold or more against the terms (distinct)."""
-        docs, impact, block_max, top = self.docs, self.impact, self.block_max, self.top
-        lists = []  # current item, term, place in its postings
-        for t in terms:
-            at = bisect_left(docs[t], low)
-            if at < len(docs[t]) and docs[t][at] < high:
-                lists.append([docs[t][at], t, at])
+        The block maxima of the terms add up to a bound for every block of items; lists jump over the blocks whose bound is too
+        low, and within the others to the first item where the terms' largest impacts add up to the threshold.
+        """
         least, found = threshold - 1e-9, []
+        if not len(terms):
+            return found
+        count = self.blocks[terms]
+        at = np.repeat(self.first_block[terms] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        bound = np.bincount(self.block[at], self.block_max[at])
+        live = np.flatnonzero(bound >= least).tolist()
+        if not live:
+            return found
+        docs, impact, ends, top, reach = self.docs, self.impact, self.ends, self.tops, set(live)
+        lists = []  # current item, term, place in its postings
+        for t in terms.tolist():
+            at = bisect_left(docs, live[0] * BLOCK, ends[t], ends[t + 1])
+            if at < ends[t + 1]:
+                lists.append((docs[at], t, at))
         while lists:
             lists.sort()
-            bound, pivot = 0.0, -1
+            reached, pivot = 0.0, -1
             for i, (_, t, _) in enumerate(lists):
-                bound += top[t]
-                if bound >= least:
+                reached += top[t]
+                if reached >= least:
                     pivot = i
                     break
             if pivot < 0:
                 break
             d = lists[pivot][0]
-            while pivot + 1 < len(lists) and lists[pivot + 1][0] == d:
-                pivot += 1
-            # The blocks that could hold the pivot item bound its score, and where the next candidate may be.
-            bound, beyond = 0.0, lists[pivot + 1][0] if pivot + 1 < len(lists) else 1 << 60
-            for _, t, at in lists[: pivot + 1]:
-                at = bisect_left(docs[t], d, at)
-                if at < len(docs[t]):
-                    block = at // POSTING_BLOCK
-                    bound += block_max[t][block]
-                    last = docs[t][min(len(docs[t]), (block + 1) * POSTING_BLOCK) - 1]
-                    beyond = min(beyond, last + 1)
-            if bound >= least:
+            if d // BLOCK in reach:
                 to, score = d + 1, 0.0
-                for _, t, at in lists[: pivot + 1]:
-                    at = bisect_left(docs[t], d, at)
-                    if at < len(docs[t]) and docs[t][at] == d:
-                        score += impact[t][at]
+                for now, t, at in lists:
+                    if now > d:
+                        break
+                    at = bisect_left(docs, d, at, ends[t + 1])
+                    if at < ends[t + 1] and docs[at] == d:
+                        score += impact[at]
                 if score >= least:
                     found.append((d, min(1.0, score)))
             else:
-                to = max(d + 1, beyond)
+                to = next((k * BLOCK for k in live if k * BLOCK > d), None)
+                if to is None:
+                    break
+            if to // BLOCK not in reach:
+                to = next((k * BLOCK for k in live if k * BLOCK > to), None)
+                if to is None:
+                    break
             moved = []
-            for k, (now, t, at) in enumerate(lists):
-                if k <= pivot and now < to:
-                    at = bisect_left(docs[t], to, at)
-                    if at == len(docs[t]) or docs[t][at] >= high:
+            for x in lists:
+                if x[0] < to:
+                    end = ends[x[1] + 1]
+                    at = bisect_left(docs, to, x[2], end)
+                    if at == end:
                         continue
-                    now = docs[t][at]
-                moved.append([now, t, at])
+                    x = (docs[at], x[1], at)
+                moved.append(x)
             lists = moved
         return found
 
@@ -147,9 +173,8 @@ class Index:
         """
         w = words(text)
         none = len(self.term)
-        terms = np.fromiter((self.term.get(x, none) for x in w), np.int64, len(w))
-        known = np.flatnonzero(terms < none)
-        if not len(known):
+        terms = np.fromiter(map(self.term.get, w, repeat(none)), np.int64, len(w))
+        if not len(w) or terms.min() == none:
             return []
         # Passages whose terms' largest impacts can't reach the threshold need no search.
         sums = np.concatenate([[0.0], np.cumsum(self.top[terms])])
@@ -160,14 +185,13 @@ class Index:
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
             if sums[b] - sums[a] < threshold - 1e-9:
                 continue
-            here = terms[a:b]
-            mine = np.unique(here[here < none])
+            here = np.unique(terms[a:b])
             have = None
-            for d, score in self.find(mine, threshold):
-                have = have or shingles(w[a:b])
-                q, x = ((len(s & have) / len(s)) if s else 0.0 for s in self.qa[d])
+            for d, score in self.find(here[here < none], threshold):
+                have = shingle_hashes(terms[a:b]) if have is None else have
+                q, x = (np.isin(s, have).mean() if len(s) else 0.0 for s in (self.question[d], self.answer[d]))
                 if q >= overlap and x >= overlap:
-                    found[d] = max(found.get(d, (0.0,)), (score, q, x))
+                    found[d] = max(found.get(d, (0.0,)), (score, float(q), float(x)))
         return [(self.ids[d], *x) for d, x in sorted(found.items())]
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import pickle
 import random
 import re
 import zlib
@@ -51,11 +52,61 @@ def test_wand_equals_full_scoring():
             terms = sorted({index.term[w] for w in rng.sample(vocabulary, 25) if w in index.term})
             want = Counter()
             for t in terms:
-                for d, x in zip(index.docs[t], index.impact[t], strict=True):
-                    want[d] += x
+                for at in range(index.ends[t], index.ends[t + 1]):
+                    want[index.docs[at]] += index.impact[at]
             got = dict(index.find(np.array(terms), threshold))
             assert set(got) == {d for d, x in want.items() if x >= threshold - 1e-9}
-            assert dict(index.search(terms, threshold)).keys() == got.keys()
+            assert all(abs(got[d] - min(1, want[d])) < 1e-9 for d in got)
+
+
+def test_index_of_a_full_portion_stays_small():
+    rng = np.random.default_rng(2)
+    items = [(i, " ".join(f"w{k}" for k in rng.integers(0, 40_000, 60))) for i in range(decontaminate.BLOCK_ITEMS)]
+    df = Counter(w for _, t in items for w in set(t.split()))
+    index = decontaminate.Index(items, df, len(items), 60.0)
+    assert len(pickle.dumps(index)) < 64e6
+    assert [d for d, *_ in index.hits("a b " + items[77][1] + " c", 0.6, 0.8)] == [77]
+
+
+def plain_leaks(text, items, threshold, overlap):
+    """Item ids that the text leaks, by the definition."""
+    ws = {i: decontaminate.words(t) for i, t in items if decontaminate.words(t)}
+    df, n, mean = Counter(x for w in ws.values() for x in set(w)), len(ws), sum(map(len, ws.values())) / len(ws)
+    span, out = max(map(len, ws.values())), set()
+    w = decontaminate.words(text)
+    for a in range(0, max(1, len(w) - span), span):
+        passage = w[a : a + 2 * span]
+        have = decontaminate.shingles(passage)
+        for i, t in items:
+            if i in ws:
+                tf = Counter(ws[i])
+                own = {x: np.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(ws[i]) / mean)) for x, c in tf.items()}
+                q, x = (decontaminate.shingles(part) for part in decontaminate.parts(ws[i], t))
+                share = lambda s: len(s & have) / len(s) if s else 0
+                if sum(v for k, v in own.items() if k in set(passage)) / sum(own.values()) >= threshold and share(q) >= overlap and share(x) >= overlap:
+                    out.add(i)
+    return out
+
+
+def test_leaks_equal_the_definition(spark):
+    rng = random.Random(9)
+    words = [f"t{i}" for i in range(40)]
+    prose = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(i, " ".join(prose(rng.randrange(1, 25))) + rng.choice(["", ". " + " ".join(prose(6))])) for i in range(50)] + [(60, ""), (61, None)]
+    docs = []
+    for i in range(150):
+        t = prose(rng.randrange(0, 120))
+        for _ in range(rng.randrange(3)):  # a passage, more or less changed
+            own = (items[rng.randrange(50)][1]).split()
+            for _ in range(rng.randrange(3)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            at = rng.randrange(len(t) + 1)
+            t[at:at] = own
+        docs.append((i, " ".join(t)))
+    for threshold, overlap in ((0.6, 0.8), (0.3, 0.5)):
+        want = {(i, x) for i, t in docs for x in plain_leaks(t, items, threshold, overlap)}
+        df = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), threshold, overlap)
+        assert {(r.doc_id, r.item_id) for r in df.collect()} == want and len(want) > 30
 
 
 def test_leaks(spark):
