@@ -55,15 +55,17 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_PASSES, slop
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     rows = docs.withColumn("__source", F.col("source").cast("string")).withColumn("__size", n_words(F.col("text"))).withColumn("__key", key).withColumn("__bucket", F.substring("__key", 1, buckets))
+    # Never null, so that the join and the window deal the rows out alike, once. Rows of one doc_id and size are told apart by their text.
+    name = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c)), F.lit("null"))
+    rows = rows.withColumn("__name", name("__source")).withColumn("__tie", F.xxhash64("text"))
     sums = stored(rows.groupBy("__source", "__bucket").agg(F.sum("__size").alias("words")), "mix-sums")  # at most a row for each source and bucket
     goal = targets(sums.groupBy(F.col("__source").alias("source")).agg(F.sum("words").alias("source_size")), weights, most)
     before = F.sum("words").over(Window.partitionBy("__source").orderBy("__bucket")) - F.col("words")
     slope = F.element_at(F.array(*map(F.lit, slopes)), (F.col("place") % len(slopes) + 1).cast("int"))
     plan = sums.withColumn("before", before).join(goal, F.col("__source").eqNullSafe(F.col("source")))
-    plan = plan.select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), F.struct("before", "source_size", "target", slope.alias("slope")).alias("__p"))
-    own = F.sum("__size").over(Window.partitionBy("__source", "__bucket").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("__own", own - F.col("__size"))
-    rows = rows.join(plan, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
+    plan = plan.select(name("__source").alias("__name"), "__bucket", F.struct("before", "source_size", "target", slope.alias("slope")).alias("__p"))
+    own = F.sum("__size").over(Window.partitionBy("__name", "__bucket").orderBy("__key", "doc_id", "__size", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.join(plan, ["__name", "__bucket"]).withColumn("__own", own - F.col("__size"))
     of = lambda c: F.col(f"__p.{c}")
     at = of("before") + F.col("__own")
     whole = F.floor(of("target"))
@@ -88,7 +90,7 @@ def mixed_copies(docs: DataFrame, whole: bool = False, **options) -> DataFrame:
     cut = (F.col("__pass") == F.col("__mix.passes")) & (F.col("__mix.part") < F.col("__mix.size")) & F.lit(not whole)
     words = F.filter(F.split("text", f"[{SPACE}]+"), lambda w: w != "")
     text = F.when(cut, F.array_join(F.slice(words, 1, F.col("__mix.part").cast("int")), " ")).otherwise(F.col("text"))
-    return m.withColumn("text", text).orderBy("__at", "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return m.withColumn("text", text).orderBy("__at", "doc_id", F.xxhash64("text")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

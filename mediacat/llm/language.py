@@ -212,7 +212,7 @@ class Scorer:
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | None = None) -> DataFrame:
     """docs with lang_pred and score (the language's posterior, 0 to 1); und and 0 for a null text, one without letters, or no language learned.
 
-    Only the text is looked at. docs must have no columns of these two names.
+    Only the text is looked at. Columns of docs that have these two names already are replaced.
     """
     langs, logp = model
     shared = docs.sparkSession.sparkContext.broadcast((langs, logp.astype(np.float32)))
@@ -225,11 +225,12 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | N
             yield pd.DataFrame({"lang_pred": [x for p in parts for x in p[0]], "score": [x for p in parts for x in p[1]]})
 
     rows = docs.withColumn("__found", found(F.col("text").cast("string")))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), "__found.lang_pred", "__found.score")
+    kept = (F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score"))
+    return rows.select(*kept, "__found.lang_pred", "__found.score")
 
 
 def with_fold(docs: DataFrame) -> DataFrame:
-    """docs with held_out: whether crc32 of doc_id as text, modulo 4, is 2 (false for a null doc_id)."""
+    """docs with held_out (in place of a column of that name): whether crc32 of doc_id as text, modulo 4, is 2 (false for a null doc_id)."""
     return docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
 
 

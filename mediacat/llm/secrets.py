@@ -1,15 +1,18 @@
 """Secret scans: patterns of known secrets, and strings that a tokenizer can't compress.
 
 Words come out of a public vocabulary at several characters a token, random strings at two or fewer. Runs of key-like
-characters whose ratio is low are reported too, unless they look like known digests or identifiers.
+characters whose ratio is low are reported too, unless they look like known digests or identifiers, or lack letters or
+digits altogether: names in code without a digit code as badly as random letters.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -62,10 +65,12 @@ def spans(text: str | None, most_ratio: float = MOST_RATIO, path: str | None = N
     runs = list(RUN.finditer(text))
     if any(m.end() - m.start() >= 32 for m in runs):  # else there's no long hex run either
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 32]
-    taken = [(a, b) for a, _, b in found]
+    taken = sorted((a, b) for a, _, b in found)
+    begins, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     for m in runs:
         a, b, run = m.start(), m.end(), m.group()
-        if LETTERS_AND_DIGITS.match(run) and not KNOWN.match(run) and not any(x < b and a < y for x, y in taken) and ratio(run, path) <= most_ratio:
+        before = bisect_left(begins, b)  # spans that begin before the run ends; the farthest of them
+        if not (before and reach[before - 1] > a) and LETTERS_AND_DIGITS.match(run) and not KNOWN.match(run) and ratio(run, path) <= most_ratio:
             found.append((a, 3, b))
     return [(a, KINDS[k], b) for a, k, b in sorted(found)]
 

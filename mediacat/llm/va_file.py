@@ -26,28 +26,33 @@ QUERY_BLOCK = 4096
 FIRST_READ = 4
 SALTS = 16
 PART = 1000
+#: Components are held within this, so that products of up to 10,000 of them add up in 38 digits.
+MOST = 10**17
+#: Stands for a null vec_id: after all others.
+NAMELESS = (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v array<long>): floor(scale * x) of each component; rows that take no part are dropped.
+    """(vec_id, v array<long>): floor(scale * x) of each component, at most MOST either way; rows that take no part are dropped.
 
-    Those are rows without vec_id, and vectors null, empty, or holding null or non-finite components.
+    Those are vectors null or holding null or non-finite components.
     """
     x = F.transform("embedding", lambda c: c.cast("double"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where("vec_id is not null and size(x) > 0")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where("x is not null")
     fine = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    return rows.where(fine).select("vec_id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v"))
+    whole = lambda c: F.greatest(F.lit(-MOST), F.least(F.lit(MOST), F.floor(F.greatest(F.lit(-MOST * 1.0), F.least(F.lit(MOST * 1.0), c * scale))).cast("long")))
+    return rows.where(fine).select("vec_id", F.transform("x", whole).alias("v"))
 
 
-def edges_of(rows: DataFrame, sample: int = SAMPLE) -> list[int]:
-    """The cells' edges: quantiles of the components of a bounded sample, and the extremes of all components."""
-    lowest, highest, n = rows.agg(F.min(F.array_min("v")), F.max(F.array_max("v")), F.count("*")).first()
-    if n == 0:
-        return [0, 1]
+def edges_of(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[int], bool]:
+    """The cells' edges: quantiles of the components of a bounded sample, and the extremes of all components; and whether scores may pass a long."""
+    lowest, highest, n, dim = rows.agg(F.min(F.array_min("v")), F.max(F.array_max("v")), F.count("*"), F.max(F.size("v"))).first()
+    if lowest is None:
+        return [0, 1], False
     shares = [0.0001, 0.001, *(i / (CELLS - 4) for i in range(1, CELLS - 4)), 0.999, 0.9999]
     some = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample / n)))).select(F.explode("v").alias("c"))
     inner = some.agg(F.percentile_approx("c", shares, 10_000)).first()[0] or []
-    return sorted({lowest, *(e for e in inner if lowest < e <= highest), highest + 1})
+    return sorted({lowest, *(e for e in inner if lowest < e <= highest), highest + 1}), dim * max(abs(lowest), abs(highest)) ** 2 >= 1 << 52
 
 
 def corners(batch: pa.RecordBatch, edges: np.ndarray, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -65,18 +70,26 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, query_block: int
     """(query_id, rank, vec_id, score): each query's k best by inner product, ties to the smaller vec_id; fewer if there are fewer.
 
     Both: (vec_id, v array<long>); queries are rows of vectors, and a query's own row is no candidate of it (rows repeated under
-    one vec_id are candidates of each other). Vectors of another dimension than the query's are no candidates.
+    one vec_id are candidates of each other). Vectors of another dimension than the query's are no candidates. Candidates without a
+    vec_id come after all others of their score. Scores beyond a long are given as the nearest long, but ranked by their full value.
     """
     spark = vectors.sparkSession
+    vectors = vectors.withColumn("vec_id", F.coalesce("vec_id", F.lit(NAMELESS)))
     # Equal vectors are one class; of its rows only the k + 1 smallest ids can be in a result.
     order = Window.partitionBy("v").orderBy("vec_id")
     least = vectors.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     classes = least.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     classes = stored(classes.select(F.get("ids", F.lit(0)).alias("cid"), F.size("v").alias("dim"), "v", "ids"), "va-exact")
-    edges = np.array(edges_of(vectors), np.int64)
+    edges, wide = edges_of(vectors)
+    edges = np.array(edges, np.int64)
     # A component's cell: how many edges but the first are at or below it.
     cell = F.transform("v", lambda c: F.aggregate(F.array(*map(F.lit, edges[1:-1].tolist())).cast("array<long>"), F.lit(0), lambda n, e: n + (e <= c).cast("int")))
     file = stored(classes.select("cid", "dim", F.unhex(F.array_join(F.transform(cell, lambda n: F.lpad(F.hex(n), 2, "0")), "")).alias("cells")), "va-cells")
+
+    def slack(v: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray | float:
+        """How far rounding may put a bound off; whole numbers of up to 2^52 are not rounded."""
+        return 1e-12 * (np.abs(v) @ np.maximum(np.abs(low), np.abs(high)).T) if wide else 0.0
+
     asked = stored(queries.groupBy("v").agg(F.min("vec_id").alias("qkey")).select("qkey", "v"), "va-queries")
     blocks = max(1, -(-asked.count() // query_block))
     if blocks > 1:
@@ -96,7 +109,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, query_block: int
             for b in batches:
                 for d, (_, v) in shared.value.items():
                     for _, low, high in corners(b, edges, d):
-                        lower = np.maximum(v, 0) @ low.T + np.minimum(v, 0) @ high.T
+                        lower = np.maximum(v, 0) @ low.T + np.minimum(v, 0) @ high.T - slack(v, low, high)
                         both = np.concatenate([best[d], lower], axis=1)
                         best[d] = -np.partition(-both, k, axis=1)[:, : k + 1]
             for d, (keys, _) in shared.value.items():
@@ -111,22 +124,26 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, query_block: int
             for b in batches:
                 for d, (keys, v) in shared.value.items():
                     for cids, low, high in corners(b, edges, d):
-                        upper = np.maximum(v, 0) @ high.T + np.minimum(v, 0) @ low.T
+                        upper = np.maximum(v, 0) @ high.T + np.minimum(v, 0) @ low.T + slack(v, low, high)
                         i, j = np.nonzero(upper >= floor.value[d][:, None])
                         yield pa.RecordBatch.from_arrays([pa.array(keys[i]), pa.array(cids[j]), pa.array(upper[i, j])], ["qkey", "cid", "upper"])
 
-        found = file.mapInArrow(reached, "qkey long, cid long, upper double")
-        best_first = Window.partitionBy("qkey").orderBy(F.desc("upper"), "cid")
-        found = stored(found.withColumn("r", F.row_number().over(best_first)), "va-found")
+        found = stored(file.mapInArrow(reached, "qkey long, cid long, upper double"), "va-found")
 
         def exact(pairs: DataFrame, own=own) -> DataFrame:
-            both = pairs.join(classes, "cid").join(own.withColumnRenamed("v", "q"), "qkey")
-            score = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, x: a + x)
+            both = pairs.join(classes, "cid").join(F.broadcast(own.withColumnRenamed("v", "q")), "qkey")  # one block
+            big = lambda c: c.cast("decimal(19,0)") if wide else c
+            score = F.aggregate(F.zip_with("v", "q", lambda a, b: big(a) * big(b)), F.lit(0).cast("decimal(38,0)" if wide else "long"), lambda a, x: (a + x).cast("decimal(38,0)") if wide else a + x)
             return both.select("qkey", "ids", score.alias("score"))
 
-        first = stored(exact(found.where(F.col("r") <= FIRST_READ * (k + 1))), "va-first")
-        certain = first.withColumn("n", F.row_number().over(Window.partitionBy("qkey").orderBy(F.desc("score")))).where(F.col("n") == k + 1).select("qkey", F.col("score").alias("kth"))
-        rest = found.where(F.col("r") > FIRST_READ * (k + 1)).join(certain, "qkey").where(F.col("upper") >= F.col("kth"))
+        # The best bounds first; then only what can still reach the kth score among them. Nothing ranks all that was reached.
+        best_first = Window.partitionBy("qkey").orderBy(F.desc("upper"), "cid")
+        head = stored(found.withColumn("r", F.row_number().over(best_first)).where(F.col("r") <= FIRST_READ * (k + 1)).drop("r"), "va-head")
+        last = head.groupBy("qkey").agg(F.max(F.struct((-F.col("upper")).alias("u"), "cid")).alias("last"))
+        first = stored(exact(head.drop("upper")), "va-first")
+        certain = first.withColumn("n", F.row_number().over(Window.partitionBy("qkey").orderBy(F.desc("score")))).where(F.col("n") == k + 1).select("qkey", F.col("score").cast("double").alias("kth"))
+        limits = F.broadcast(last.join(certain, "qkey"))  # a row for each query of the block
+        rest = found.join(limits, "qkey").where((F.col("upper") >= F.col("kth")) & (F.struct((-F.col("upper")).alias("u"), "cid") > F.col("last")))
         results.append(first.unionByName(exact(rest.select("qkey", "cid"))))
     scored = results[0]
     for other in results[1:]:
@@ -139,7 +156,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, query_block: int
     out = queries.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int")).join(lists, ["v", "salt"])
     mine = F.array_position(F.transform("top", lambda t: t["vec_id"]), F.col("vec_id"))
     others = F.slice(F.filter("top", lambda t, i: i + 1 != F.coalesce(mine, F.lit(0))), 1, k)
-    return out.select(F.col("vec_id").alias("query_id"), F.posexplode(others).alias("p", "t")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "t.vec_id", "t.score")
+    out = out.select(F.col("vec_id").alias("query_id"), F.posexplode(others).alias("p", "t"))
+    longs = F.greatest(F.lit(-(1 << 63) + 1).cast("decimal(38,0)"), F.least(F.lit((1 << 63) - 1).cast("decimal(38,0)"), F.col("t.score"))).cast("long") if wide else F.col("t.score")
+    return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.nullif(F.col("t.vec_id"), F.lit(NAMELESS)).alias("vec_id"), longs.alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

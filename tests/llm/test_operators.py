@@ -5,6 +5,7 @@ import itertools
 import pickle
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -150,6 +151,14 @@ def test_secrets(spark):
     assert ids(secrets.scan(odd_docs(spark))) == ids(odd_docs(spark)) and secrets.scan(none(spark)).count() == 0
 
 
+def test_many_secrets_in_one_text():
+    text = " ".join(f"token={i:08}abc kD9x7QpZ3vL8sT2mW5yR1aB{i}" for i in range(4000))
+    secrets.spans(text[:100])
+    began = time.process_time()
+    found = secrets.spans(text)
+    assert time.process_time() - began < 3 and sum(k == "assign" for _, k, _ in found) == sum(k == "random" for _, k, _ in found) == 4000
+
+
 # 3
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -177,6 +186,10 @@ def test_pii(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, k, b in want).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for _, k, _ in want) for x in PII]
         assert {f"{k}:{a}:{b}" for a, k, b in want} <= set(r.spans.split(","))
+    texts = ["".join(f"a{i}@b.de James Smith Peter {i} " for i in range(n)) for n in (3, 30_000)]  # the long one has over 1 MB
+    began = time.time()
+    got = {r.doc_id: r for r in pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert time.time() - began < 60 and got[1].n_email == 30_000 and got[1].spans.startswith(got[0].spans[:60])
     sums = spark.createDataFrame([(list(range(1500)),)], "x array<long>").select(pii.running(F.col("x"))).first()[0]
     assert sums == list(itertools.accumulate(range(1500)))
     assert ids(pii.scan(odd_docs(spark))) == ids(odd_docs(spark)) and pii.scan(none(spark)).count() == 0
@@ -238,22 +251,32 @@ def test_targets_reshare_the_excess(spark):
 
 
 # 6
+def plain_search(rows):
+    known = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in e]) for i, e in rows if e is not None and all(x is not None and np.isfinite(x) for x in e)]
+    for a, (i, e) in enumerate(known):
+        if i is not None and i % 50 == 0:
+            near = sorted((-sum(x * y for x, y in zip(e, f, strict=True)), j is None, j) for b, (j, f) in enumerate(known) if b != a and len(f) == len(e))[:5]
+            yield from ((i, r + 1, j, max(-(1 << 63) + 1, min((1 << 63) - 1, -s))) for r, (s, _, j) in enumerate(near))
+
+
 def test_search(spark):
     nan, rng = float("nan"), np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 4) / 4]) for i in range(300)]
-    rows += [(300, None), (350, [nan, 1.0, 1.0, 1.0]), (400, [1.0, 2.0]), (450, [0.5, 0.5]), (None, [1.0] * 4), (50, rows[50][1]), (500, []), (550, [3.0, None, 1.0, 1.0]), (600, [float("inf")] * 4)]
+    rows += [(300, None), (350, [nan, 1.0, 1.0, 1.0]), (400, [1.0, 2.0]), (450, [0.5, 0.5]), (None, [1.0] * 4), (50, rows[50][1]), (500, []), (501, []), (550, [3.0, None, 1.0, 1.0]), (600, [float("inf")] * 4)]
+    want = sorted(plain_search(rows), key=repr)
     v = va_file.quantised(spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, v int, cid int"))
-    known = [(i, [int(np.floor(256 * x)) for x in e]) for i, e in rows if i is not None and e and all(x is not None and np.isfinite(x) for x in e)]
-    want = []
-    for a, (i, e) in enumerate(known):
-        if i % 50 == 0:
-            near = sorted((-sum(x * y for x, y in zip(e, f, strict=True)), j) for b, (j, f) in enumerate(known) if b != a and len(f) == len(e))[:5]
-            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(near)]
     for block in (4096, 3):
-        assert sorted(map(tuple, va_file.search(v, v.where("vec_id % 50 = 0"), 5, block).collect())) == sorted(want)
+        assert sorted(map(tuple, va_file.search(v, v.where("vec_id % 50 = 0"), 5, block).collect()), key=repr) == want
     assert va_file.search(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_search_beyond_longs(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 10.0 ** rng.integers(-3, 12), 3)]) for i in range(200)]
+    v = va_file.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert sorted(map(tuple, va_file.search(v, v.where("vec_id % 50 = 0")).collect()), key=repr) == sorted(plain_search(rows), key=repr)
+
+
 # 7
 def test_simple8b_round_trip():
     rng = np.random.default_rng(1)
@@ -442,6 +465,7 @@ def test_language_on_odd_tables(spark):
     model = language.fit(odd_docs(spark))
     found = {r.doc_id: r for r in language.identify(odd_docs(spark).select("doc_id", "text"), model).collect()}
     assert [found[i].lang_pred for i in (20, 21, 22, 24)] == ["und"] * 4 and found[26].lang_pred == "de"
+    assert language.identify(odd_docs(spark).withColumn("lang_pred", F.lit(1)), model).where("lang_pred = 'de'").count() > 0
     kept = language.known_language(odd_docs(spark), model)
     assert kept.columns == odd_docs(spark).columns and 26 in ids(kept) and 24 not in ids(kept)
     assert language.fit(none(spark))[0] == [] and language.known_language(none(spark), model).count() == 0
