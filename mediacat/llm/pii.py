@@ -53,19 +53,26 @@ NEAR = {
 AGAINST = r"(?i)(?:version|\bv\.?|isbn|order|invoice|serial|section|figure|example)\W*$"
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with the value computed once: a lambda computes whatever it names anew for each element, but not its own element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def running(values: Column) -> Column:
     """Running sums of an array of numbers: in steps, so that a long array costs little more than its length."""
+    zero = F.lit(0).cast("long")
 
     def sums(xs: Column, start: Column) -> Column:
         first = F.struct(start.alias("sum"), F.array().cast("array<long>").alias("all"))
         return F.aggregate(xs, first, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["all"], F.array(a["sum"] + x)).alias("all")))["all"]
 
-    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
-    zero = F.lit(0).cast("long")
-    starts = F.sequence(F.lit(1), F.size(values), F.lit(STEP))
-    ends = sums(F.transform(starts, lambda s: total(F.slice(values, s, STEP))), zero)
-    many = F.flatten(F.transform(starts, lambda s, k: sums(F.slice(values, s, STEP), F.when(k == 0, zero).otherwise(F.get(ends, k - 1)))))
-    return F.when(F.size(values) <= STEP, sums(values, zero)).otherwise(many)
+    def in_steps(v: Column) -> Column:
+        total = lambda xs: F.aggregate(xs, zero, lambda a, x: a + x)
+        starts = F.sequence(F.lit(1), F.size(v), F.lit(STEP))
+        own = lambda s: F.slice(v, s, STEP)
+        return once(sums(F.transform(starts, lambda s: total(own(s))), zero), lambda ends: F.flatten(F.transform(starts, lambda s, k: sums(own(s), F.when(k == 0, zero).otherwise(F.get(ends, k - 1))))))
+
+    return once(values, lambda v: F.when(F.size(v) <= STEP, sums(v, zero)).otherwise(in_steps(v)))
 
 
 def luhn(digits: Column) -> Column:
@@ -115,21 +122,37 @@ SPAN = "struct<start:long,no:int,end:long,base:boolean,v1:int,v2:int,v3:int,f1:i
 
 
 def candidates(text: Column, kind: str) -> Column:
-    """All leftmost, non-overlapping matches of a kind in the text that can count, with votes and features; for names all pairs of words."""
+    """All leftmost, non-overlapping matches of a kind in the text that can count, with votes and features; for names all pairs of words.
+
+    What stands before and after a match comes from the pieces between the matches, never from the whole text again: the work
+    grows with the text, however many matches it holds. Context reaches back over one match at most.
+    """
     no, pattern = KINDS.index(kind), PATTERNS[kind]
     base = kind in BASE
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    spans = F.transform(F.arrays_zip(hits.alias("s"), running(F.transform(F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("g"), hits.alias("h")), lambda x: (F.length(x["g"]) + F.length(x["h"])).cast("long"))).alias("end")), lambda x: F.struct(x["s"].alias("s"), (x["end"] - F.length(x["s"])).alias("start"), x["end"].alias("end")))
-    spans = F.filter(spans, lambda x: valid(kind, x["s"])) if base else spans
+    found = [F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")]
     if kind == "name":
-        seconds = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        spans = F.transform(F.arrays_zip(spans.alias("x"), seconds.alias("second")), lambda p: F.struct(F.concat(p["x"]["s"], F.lit(" "), p["second"]).alias("s"), p["x"]["start"].alias("start"), (p["x"]["end"] + 1 + F.length(p["second"])).alias("end")))
+        found.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("seconds"))
+
+    def zipped(f: Column) -> Column:
+        gaps, hits = f["gaps"], f["hits"]
+        ends = running(F.transform(F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("g"), hits.alias("h")), lambda x: (F.length(x["g"]) + F.length(x["h"])).cast("long")))
+        cols = [hits.alias("s"), ends.alias("end"), F.slice(gaps, 1, F.size(hits)).alias("gap"), F.concat(F.array(F.lit("")), hits).alias("last"), F.transform(F.slice(gaps, 2, F.size(hits)), lambda g: F.left(g, F.lit(1))).alias("next")]
+        if kind == "name":
+            cols.append(f["seconds"].alias("second"))
+        return F.slice(F.arrays_zip(*cols), 1, F.size(hits))  # `last` is one longer
+
+    def placed(x: Column) -> Column:
+        before = F.right(F.when(F.length(x["gap"]) < CONTEXT, F.concat(F.right(x["last"], F.lit(CONTEXT)), x["gap"])).otherwise(x["gap"]), F.lit(CONTEXT))
+        more = (F.concat(F.lit(" "), x["second"]), F.lit("")) if kind == "name" else (F.lit(""), x["next"])
+        return F.struct(F.concat(x["s"], more[0]).alias("s"), (x["end"] - F.length(x["s"])).alias("start"), (x["end"] + F.length(more[0])).alias("end"), before.alias("before"), more[1].alias("after"))
+
+    spans = F.transform(once(F.struct(*found), zipped), placed)
+    spans = F.filter(spans, lambda x: valid(kind, x["s"])) if base else spans
 
     def voted(x: Column) -> Column:
-        before = F.substring(text, F.greatest(x["start"] - CONTEXT, F.lit(0)).cast("int") + 1, F.least(x["start"], F.lit(CONTEXT)).cast("int"))
+        before, after = x["before"], x["after"]
         near = before.rlike(NEAR[kind]) | (before.rlike(TITLES) if kind == "name" else F.lit(False))
         votes = (F.when(valid(kind, x["s"]), 1).otherwise(-1), listed(kind, x["s"]), F.when(near, 1).when(before.rlike(AGAINST), -1).otherwise(0))
-        after = F.substring(text, x["end"].cast("int") + 1, 1)
         shape = (F.least(F.floor(F.length(x["s"]) / 5), F.lit(8)), F.when(before.rlike(r"\s$"), 0).when(before == "", 1).when(before.rlike("[A-Za-z0-9]$"), 2).otherwise(3), F.when(after.rlike(r"\s"), 0).when(after == "", 1).when(after.rlike("[A-Za-z0-9]"), 2).otherwise(3))
         cols = [v.cast("int") for v in (*votes, *shape)]
         names = ("v1", "v2", "v3", "f1", "f2", "f3")
@@ -188,10 +211,35 @@ def train(spans: DataFrame, rounds: int = ROUNDS) -> dict[str, float]:
 
 
 def apart(spans: Column, score) -> Column:
-    """Spans of which no two overlap: the best by score first, ties to the left. spans: sorted by start."""
-    ranked = F.array_sort(F.transform(spans, lambda s: F.struct((-score(s)).alias("rank"), s.alias("s"))))
+    """Spans of which no two overlap: from left to right, of two that do the likelier, and of equals the first. spans: sorted by start."""
     none = F.array().cast(f"array<{SPAN}>")
-    return F.aggregate(ranked, none, lambda a, x: F.when(F.exists(a, lambda b: (b["start"] < x["s"]["end"]) & (x["s"]["start"] < b["end"])), a).otherwise(F.concat(a, F.array(x["s"]))))
+    begin = F.struct(none.alias("all"), F.lit(None).cast(SPAN).alias("open"), F.lit(0.0).alias("score"))
+
+    def step(a: Column, x: Column) -> Column:
+        free = a["open"].isNull() | (a["open"]["end"] <= x["start"])
+        better = free | (score(x) > a["score"])
+        kept = F.when(free & a["open"].isNotNull(), F.concat(a["all"], F.array(a["open"]))).otherwise(a["all"])
+        return F.struct(kept.alias("all"), F.when(better, x).otherwise(a["open"]).alias("open"), F.when(better, score(x)).otherwise(a["score"]).alias("score"))
+
+    return F.aggregate(spans, begin, step, lambda a: F.when(a["open"].isNull(), a["all"]).otherwise(F.concat(a["all"], F.array(a["open"]))))
+
+
+def clear_of(spans: Column, base: Column) -> Column:
+    """The spans that overlap none of base (sorted by start): base is painted on a mask of the text, a byte a character, once for each kind."""
+    out = spans
+    for no in range(len(BASE)):
+        mask = F.array_join(once(F.filter(base, _of_kind(no)), lambda own: F.transform(own, _painted(own))), "").cast("binary")
+        out = once(F.struct(mask.alias("mask"), out.alias("spans")), lambda x: F.filter(x["spans"], lambda s: ~F.contains(F.substring(x["mask"], s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")), F.lit(b"1"))))
+    return out
+
+
+def _of_kind(no: int):
+    return lambda s: s["no"] == no
+
+
+def _painted(own: Column):
+    """Spaces up to each span from the one before, and its length in ones."""
+    return lambda s, i: F.concat(F.repeat(F.lit(" "), (s["start"] - F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(own, i - 1)["end"])).cast("int")), F.repeat(F.lit("1"), (s["end"] - s["start"]).cast("int")))
 
 
 def scan(docs: DataFrame, least: float = LEAST, rounds: int = ROUNDS) -> DataFrame:
@@ -199,17 +247,17 @@ def scan(docs: DataFrame, least: float = LEAST, rounds: int = ROUNDS) -> DataFra
 
     A null or empty text has no spans (the digest is that of an empty string). Rows keep their doc_id, null or repeated;
     other columns are ignored. Spans of other kinds count from a chance of `least` on, if they overlap no base span; of names
-    that overlap, the likeliest.
+    that overlap, the likelier.
     """
     spans = stored(spans_of(docs), "pii-spans")
     model = train(spans, rounds)
-    base = F.filter("spans", lambda s: s["base"])
-    rows = spans.withColumn("b", base)
-    more = F.filter("spans", lambda s: ~s["base"] & (s["v1"] > 0) & (_score(model, (*VOTES, *SHAPE), s) >= least) & ~F.exists("b", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    rows = rows.withColumn("m", more)
-    name, no = KINDS.index("name"), lambda s: s["no"]
-    names = F.filter("m", lambda s: no(s) == name)
-    rows = rows.withColumn("m", F.when(F.size(names) > 1, F.concat(F.filter("m", lambda s: no(s) != name), apart(names, lambda s: _score(model, (*VOTES, *SHAPE), s)))).otherwise(F.col("m")))
+    likely = lambda s: _score(model, (*VOTES, *SHAPE), s)
+    rows = spans.select("doc_id", F.filter("spans", lambda s: s["base"]).alias("b"), F.filter("spans", lambda s: ~s["base"] & (s["v1"] > 0) & (likely(s) >= least)).alias("m"))
+    rows = stored(rows, "pii-likely")  # spans only, no texts
+    rows = stored(rows.select("doc_id", "b", F.when((F.size("m") > 0) & (F.size("b") > 0), clear_of(F.col("m"), F.col("b"))).otherwise(F.col("m")).alias("m")), "pii-clear")
+    name = KINDS.index("name")
+    names = F.filter("m", lambda s: s["no"] == name)
+    rows = rows.withColumn("m", F.when(F.size(names) > 1, F.concat(F.filter("m", lambda s: s["no"] != name), apart(names, likely))).otherwise(F.col("m")))
     names = F.array(*map(F.lit, KINDS))
     joined = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", F.get(names, s["no"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
     counts = [F.size(F.filter(F.transform("b", lambda s: s["no"]), lambda no: no == F.lit(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
