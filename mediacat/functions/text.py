@@ -15,7 +15,6 @@ SENSITIVE_LABELS = ("weapon", "knife")
 STRIPPED = ".,!?;:()[]{}\"' "
 # Parts of messages that tell final errors from temporary ones.
 FINAL_ERRORS = ("No such file or directory", "unsupported image format", "cannot identify image file")
-TEMPORARY_ERRORS = ("CUDA out of memory", "Failed to connect to", "HTTPConnectionPool", "temporarily unavailable", "cannot load image", "face loader: cannot read")
 
 
 def caption_tags(caption: Column, max_tags: int = 15) -> Column:

@@ -87,6 +87,12 @@ def cull_actions(df: DataFrame, keys: list[str], keep: int = 1, action: str = "m
     return rows.withColumn("best", best).withColumn("action", F.when(F.col("rank") <= keep, "keep").otherwise(action)).drop("rank")
 
 
+def culling_totals(summary: DataFrame) -> DataFrame:
+    """One row for the whole run, from the bursts' rows: bursts, photos, kept and culled."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return summary.agg(F.count("*").alias("bursts"), total("photos"), total("kept"), total("culled"))
+
+
 def burst_summary(df: DataFrame, keys: list[str]) -> DataFrame:
     """For rows with actions: one row a burst with its photos, kept and culled."""
     kept = F.count_if(F.col("action") == "keep")

@@ -108,6 +108,17 @@ def unprocessed(df: DataFrame, since: Column | None = None) -> DataFrame:
     return rows if since is None else rows.where(F.col("ingested_at") >= since)
 
 
+def recent(df: DataFrame, as_of: Column, hours: int = 1) -> DataFrame:
+    """Rows analysed within the last hours."""
+    return df.where((F.col("analyzed_at") >= as_of - F.make_dt_interval(hours=F.lit(hours))) & (F.col("analyzed_at") <= as_of))
+
+
+def vaulted(files: DataFrame, yes: bool = True) -> DataFrame:
+    """Files that lie in the vault, or those that don't."""
+    there = F.coalesce(F.col("error").like("Vaulted:%"), F.lit(False))
+    return files.where(there if yes else ~there)
+
+
 def merge_analysis(existing: DataFrame, updates: DataFrame) -> DataFrame:
     """Upsert by file_id. Image fields only where the update has an image result (caption), duration and place only where given; the rest always."""
     kept_if_absent = {"caption": "caption", "tags": "caption", "objects": "caption", "mood": "caption", "contains_text": "caption", "is_sensitive": "caption", "video_duration": "video_duration", "latitude": "latitude", "longitude": "latitude", "altitude": "latitude"}

@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 SHARP_VARIANCE, BLUR_BELOW, SHARP_ENERGY = 500.0, 100.0, 0.02
 RATIOS = (4 / 3, 3 / 2, 16 / 9, 1.0)
-PIXELS, KMEANS_ROUNDS = 50_000, 10
+KMEANS_ROUNDS = 10
 
 
 def laplacian(img: np.ndarray, border: str) -> np.ndarray:
@@ -67,9 +67,15 @@ def average_hash(luma8x8: Column) -> Column:
 
 
 def fingerprint(df: DataFrame, luma: str = "luma", size: int = 32) -> DataFrame:
-    """df with perceptual_hash a:p from size x size luminance: block means over their mean, and low cosine terms over their median."""
+    """df with perceptual_hash a:p:d:w from size x size luminance, 16 hex digits each.
+
+    a: block means over their mean; p: low cosine terms over their median; d: each of 8 rows of 9 area means, which grow to
+    the right; w: block means over their median (the low Haar wavelet terms, whose common part cancels).
+    """
     k = np.arange(size)
     basis = np.cos(np.pi * (2 * k[None, :] + 1) * k[:8, None] / (2 * size))
+    edges = np.arange(10) * size / 9
+    nine = np.maximum(0, np.minimum(k[None, :] + 1, edges[1:, None]) - np.maximum(k[None, :], edges[:-1, None]))
 
     def digits(bits: np.ndarray) -> str:
         return f"{int(''.join('1' if b else '0' for b in bits.ravel()), 2):016x}"
@@ -84,12 +90,24 @@ def fingerprint(df: DataFrame, luma: str = "luma", size: int = 32) -> DataFrame:
                 img = np.asarray(x, float).reshape(size, size)
                 small = img.reshape(8, size // 8, 8, size // 8).mean(axis=(1, 3))
                 low = basis @ img @ basis.T
-                out.append(f"{digits(small > small.mean())}:{digits(low > np.median(low))}")
+                wide = img.reshape(8, size // 8, size).mean(axis=1) @ nine.T
+                out.append(":".join(map(digits, (small > small.mean(), low > np.median(low), wide[:, 1:] > wide[:, :-1], small > np.median(small)))))
             yield b.assign(perceptual_hash=out)
 
     return df.mapInPandas(run, StructType([*df.schema.fields]).add("perceptual_hash", "string"))
 
 
+def lab_spread(pixels: DataFrame) -> DataFrame:
+    """(image_id, lab_spread): population deviations of both Lab colour axes, added, over all pixels (image_id, rgb of 0 to 255)."""
+    linear = F.transform("rgb", lambda c: F.when(c / 255 <= 0.04045, c / 255 / 12.92).otherwise(F.pow((c / 255 + 0.055) / 1.055, 2.4)))
+    root = lambda t: F.when(t > 216 / 24389, F.cbrt(t)).otherwise((24389 / 27 * t + 16) / 116)
+    rows = pixels.select("image_id", linear.alias("l"))
+    # sRGB to XYZ over the white of D65.
+    matrix = ((0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), (0.019334, 0.119193, 0.950227))
+    x, y, z = (root(sum(F.get("l", F.lit(i)) * m for i, m in enumerate(row)) / white) for row, white in zip(matrix, (0.950456, 1.0, 1.088754), strict=True))
+    return rows.select("image_id", (500 * (x - y)).alias("a"), (200 * (y - z)).alias("b")).groupBy("image_id").agg((F.stddev_pop("a") + F.stddev_pop("b")).alias("lab_spread"))
+
+
 def image_geometry(df: DataFrame, w: str = "width", h: str = "height") -> DataFrame:
     width, height = F.col(w), F.col(h)
     valid = (width > 0) & (height > 0)
@@ -127,15 +145,23 @@ def palette_hex(palette: Column, n: int = 5) -> Column:
     return F.array_join(F.transform(F.slice(palette, 1, n), lambda c: F.format_string("#%02x%02x%02x", F.get(c, F.lit(0)), F.get(c, F.lit(1)), F.get(c, F.lit(2)))), ", ")
 
 
-def dominant_colors(pixels: DataFrame, k: int = 5, seed: int = 7) -> DataFrame:
-    """(image_id, colors array<array<int>>): centres of seeded k-means over at most PIXELS pixels (image_id, rgb) of each image, most common first."""
-    ranked = pixels.withColumn("u", F.xxhash64("image_id", "rgb", F.lit(seed)))
-    counted = ranked.groupBy("image_id", "rgb").agg(F.count("*").alias("n"), F.min("u").alias("u"))
+def dominant_colors(pixels: DataFrame, k: int = 5) -> DataFrame:
+    """(image_id, colors array<array<int>>): centres of k-means over all pixels (image_id, rgb) of each image, most common first.
+
+    Pixels are first added up in cells of 8 levels a channel, so an image is at most 32,768 weighted means however large it is.
+    """
+    channel = lambda i: F.get("rgb", F.lit(i))
+    cell = F.shiftright(channel(0), 3) * 1024 + F.shiftright(channel(1), 3) * 32 + F.shiftright(channel(2), 3)
+    counted = pixels.groupBy("image_id", cell.alias("cell")).agg(F.count("*").alias("n"), *(F.avg(channel(i)).alias(c) for i, c in enumerate("rgb")))
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("u").head(PIXELS)
-        x, n = np.array(pdf["rgb"].tolist(), float), pdf["n"].to_numpy(float)
-        centre = x[: min(k, len(x))].copy()
+        pdf = pdf.sort_values(["n", "cell"], ascending=[False, True])
+        x, n = pdf[["r", "g", "b"]].to_numpy(float), pdf["n"].to_numpy(float)
+        # The first centre is the most common cell; each next one the cell that weighs most by distance to those before.
+        centre, far = x[:1], ((x - x[0]) ** 2).sum(axis=1)
+        while len(centre) < min(k, len(x)) and (far * n).max() > 0:
+            centre = np.concatenate([centre, x[[(far * n).argmax()]]])
+            far = np.minimum(far, ((x - centre[-1]) ** 2).sum(axis=1))
         for _ in range(KMEANS_ROUNDS):
             own = ((x[:, None] - centre[None]) ** 2).sum(axis=2).argmin(axis=1)
             for c in range(len(centre)):
@@ -151,3 +177,9 @@ def dominant_colors(pixels: DataFrame, k: int = 5, seed: int = 7) -> DataFrame:
 def image_features(df: DataFrame, luma: str = "luma", width: str = "width", height: str = "height", palette: str = "color_palette") -> DataFrame:
     """Brightness, contrast, sharpness, geometry and average hue of each image row."""
     return image_geometry(sharpness(luma_stats(df, luma), luma, width, height), width, height).withColumn("average_hue", average_hue(F.col(palette)))
+
+
+def image_rows(df: DataFrame, pixels: DataFrame, k: int = 5) -> DataFrame:
+    """image_features() of df (image_id, luma, width, height), with color_palette, lab_spread and aesthetic found from all pixels (image_id, rgb)."""
+    found = df.join(dominant_colors(pixels, k).withColumnRenamed("colors", "color_palette"), "image_id", "left").join(lab_spread(pixels), "image_id", "left")
+    return image_features(found).withColumn("aesthetic", simple_aesthetic(F.col("aspect_ratio"), F.col("brightness"), F.coalesce("lab_spread", F.lit(0.0))))

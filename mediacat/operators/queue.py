@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediacat.functions.text import classify_error
+from mediacat.storage import row_numbers
 
 # Seconds before each retry.
 RETRY_DELAYS = (3, 9, 27)
@@ -39,9 +40,9 @@ def enqueue(ids: DataFrame, level: Column | int, as_of: Column) -> DataFrame:
 
 
 def requeue_all(files: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """(files with their flags reset, a new queue with one task each); the analysis table starts empty."""
+    """(files with their flags reset, a new queue with one task each, numbered in order of the files); the analysis table starts empty."""
     reset = files.withColumns({"processed": F.lit(False), "analyzed_at": F.lit(None).cast("timestamp"), "error": F.lit(None).cast("string")})
-    return reset, enqueue(files.select("id"), 1, as_of)
+    return reset, row_numbers(enqueue(files.select("id"), 1, as_of), ["file_id"], "id").withColumn("id", F.col("id").cast("long"))
 
 
 def apply_retry_policy(failed: DataFrame, max_retries: int, as_of: Column) -> DataFrame:

@@ -23,8 +23,6 @@ NAME_WORDS = {
     "financial": ("financial", "statement", "account", "transaction", "credit"),
     "personal": ("private", "confidential", "secret", "personal"),
 }
-# Thresholds by category. No rule reads them; they are kept for users who filter on confidence.
-THRESHOLDS = {"document": 0.7, "nudity": 0.8, "financial": 0.6, "personal_id": 0.9, "medical": 0.7}
 RESULT = "struct<category:string,confidence:double,matches:long,sample:string>"
 
 
@@ -76,9 +74,14 @@ def sensitivity_summary(scanned: DataFrame) -> DataFrame:
     return by.withColumn("scanned", F.sum("files").over(every)).withColumn("sensitive", F.coalesce(F.sum(F.when(F.col("category") != "safe", F.col("files"))).over(every), F.lit(0)))
 
 
+def _secret(df: DataFrame, key: str) -> Column:
+    """The key as a scalar subquery over one row: plans and event logs show the subquery, not its value."""
+    return df.sparkSession.createDataFrame([(key,)], "secret string").scalar()
+
+
 def quarantine(df: DataFrame, key: bytes | str, payload: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(safe rows, vault): sensitive rows carry category and the encrypted payload; the key is never written."""
-    secret = F.lit(key if isinstance(key, str) else key.decode())
+    """(safe rows, vault): sensitive rows carry category and the encrypted payload; the key is in no plan and no table."""
+    secret = _secret(df, key if isinstance(key, str) else key.decode())
     sensitive = F.col("result.category") != "safe"
     vault = df.where(sensitive).withColumn("category", F.col("result.category")).withColumn("payload", F.aes_encrypt(F.col(payload).cast("binary"), secret)).drop(payload, "result")
     return df.where(~sensitive).drop("result"), vault
@@ -86,5 +89,5 @@ def quarantine(df: DataFrame, key: bytes | str, payload: str = "text") -> tuple[
 
 def restore(vault: DataFrame, ids: DataFrame, key: str, id_col: str = "id", payload: str = "text") -> DataFrame:
     """The chosen rows in the clear: error null, processed false, name restored_<name>."""
-    rows = vault.join(ids, id_col, "left_semi").withColumn(payload, F.aes_decrypt("payload", F.lit(key)).cast("string"))
+    rows = vault.join(ids, id_col, "left_semi").withColumn(payload, F.aes_decrypt("payload", _secret(vault, key)).cast("string"))
     return rows.withColumn("name", F.concat(F.lit("restored_"), "name")).withColumn("processed", F.lit(False)).withColumn("error", F.lit(None).cast("string")).drop("payload", "category")

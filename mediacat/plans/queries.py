@@ -235,7 +235,8 @@ def _(spark, d):
     return dedup.near_duplicate_join(a, b, "fp", 0.9)
 
 
-@query("average_fingerprint")
+@query("average_fingerprint", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT vec_id, e, list_reduce(e, lambda a, x: a + x) AS total FROM v)
+  SELECT vec_id, array_to_string([lower(printf('%x', CASE WHEN e[4 * i + 1] * 64 > total THEN 8 ELSE 0 END + CASE WHEN e[4 * i + 2] * 64 > total THEN 4 ELSE 0 END + CASE WHEN e[4 * i + 3] * 64 > total THEN 2 ELSE 0 END + CASE WHEN e[4 * i + 4] * 64 > total THEN 1 ELSE 0 END)) for i in range(16)], '') AS fingerprint FROM s""")
 def _(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", vectors.doubles(F.col("embedding")).alias("v"))
     return e.select("vec_id", images.average_hash(F.col("v")).alias("fingerprint"))
@@ -316,9 +317,9 @@ def _(spark, d):
     return queue.enqueue(files(spark, d), 3, F.lit(_AS_OF).cast("timestamp")).select("file_id", "priority", "status")
 
 
-@query("requeue_all", f"SELECT id AS file_id, 10 AS priority, 'pending' AS status FROM {_FILES}")
+@query("requeue_all", f"SELECT row_number() OVER (ORDER BY id) AS id, id AS file_id, 10 AS priority, 'pending' AS status FROM {_FILES}")
 def _(spark, d):
-    return queue.requeue_all(files(spark, d), F.lit(_AS_OF).cast("timestamp"))[1].select("file_id", "priority", "status")
+    return queue.requeue_all(files(spark, d), F.lit(_AS_OF).cast("timestamp"))[1].select("id", "file_id", "priority", "status")
 
 
 @query("retry_policy", f"""SELECT id, retry_count + 1 AS retry_count, CASE WHEN coalesce(error LIKE '%No such file%', false) OR retry_count + 1 >= 3 THEN 'failed_final' ELSE 'failed_temp' END AS status,
@@ -515,6 +516,11 @@ def _(spark, d):
     return bursts.cull_actions(ranked(spark, d), ["burst"]).select("id", "burst", "action", "best")
 
 
+@query("culling_totals", f"SELECT count(DISTINCT burst) AS bursts, count(*) AS photos, count(*) FILTER (r <= 1) AS kept, count(*) FILTER (r > 1) AS culled FROM {_RANKED}")
+def _(spark, d):
+    return bursts.culling_totals(bursts.burst_summary(bursts.cull_actions(ranked(spark, d), ["burst"]), ["burst"]))
+
+
 @query("burst_summary", f"SELECT burst, count(*) AS photos, count(*) FILTER (r <= 1) AS kept, count(*) FILTER (r > 1) AS culled, max('/c/' || id) FILTER (r = 1) AS best FROM {_RANKED} GROUP BY burst")
 def _(spark, d):
     return bursts.burst_summary(bursts.cull_actions(ranked(spark, d), ["burst"]), ["burst"])
@@ -595,7 +601,7 @@ def _(spark, d):
 @query("search_approx")
 def _(spark, d):
     q, v = queries_and_vectors(spark, d)
-    return search.search_approx(q, v, 10, 1.3).select(_TOP)
+    return search.search_approx(q, v, 10, 2.0).select(_TOP)
 
 
 @query("normalize_vectors", "SELECT vec_id, round(2 * CAST(embedding[1] AS DOUBLE) / sqrt(4 * list_inner_product([CAST(x AS DOUBLE) for x in embedding], [CAST(x AS DOUBLE) for x in embedding])), 6) AS first FROM embeddings")
@@ -690,10 +696,17 @@ def _(spark, d):
     return images.luma_stats(e).select("vec_id", F.round("brightness", 6).alias("brightness"), F.round("contrast", 6).alias("contrast"))
 
 
-@query("sharpness")
+_LAPLACE = """(WITH p AS (SELECT vec_id, [CAST(x AS DOUBLE) * 128 + 128 for x in embedding] AS e FROM embeddings), l AS (
+  SELECT vec_id, [e[8 * abs(i // 8 - 1) + i % 8 + 1] + e[8 * (CASE WHEN i // 8 = 7 THEN 6 ELSE i // 8 + 1 END) + i % 8 + 1] + e[8 * (i // 8) + abs(i % 8 - 1) + 1] + e[8 * (i // 8) + (CASE WHEN i % 8 = 7 THEN 6 ELSE i % 8 + 1 END) + 1] - 4 * e[i + 1] for i in range(64)] AS v,
+    [coalesce(CASE WHEN i // 8 > 0 THEN e[i - 7] END, 0) + coalesce(CASE WHEN i // 8 < 7 THEN e[i + 9] END, 0) + coalesce(CASE WHEN i % 8 > 0 THEN e[i] END, 0) + coalesce(CASE WHEN i % 8 < 7 THEN e[i + 2] END, 0) - 4 * e[i + 1] for i in range(64)] AS z, e FROM p)
+  SELECT vec_id, list_var_pop(v) AS variance, list_avg([x / 255 * x / 255 for x in z]) AS energy, list_avg(e) / 255 AS brightness, list_stddev_pop(e) / 255 AS contrast FROM l)"""
+
+
+@query("sharpness", f"SELECT vec_id, round(least(1.0, variance / 500), 6) AS sharpness, CASE WHEN variance < 100 THEN 1e0 ELSE 0e0 END AS blur, round(least(1.0, energy / 0.02), 6) AS energy_form FROM {_LAPLACE}")
 def _(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 128 + 128).alias("luma"), F.lit(8).alias("width"), F.lit(8).alias("height"))
-    return images.sharpness(e).select("vec_id", F.round("sharpness", 6).alias("sharpness"), "blur")
+    both = images.sharpness(images.sharpness(e).withColumnsRenamed({"sharpness": "s", "blur": "b"}), form="energy")
+    return both.select("vec_id", F.round("s", 6).alias("sharpness"), F.col("b").alias("blur"), F.round("sharpness", 6).alias("energy_form"))
 
 
 @query("image_geometry", "SELECT p_partkey, p_size / 25.0 AS aspect_ratio, CASE WHEN p_size > 25 THEN 'landscape' WHEN p_size < 25 THEN 'portrait' ELSE 'square' END AS orientation FROM part")
@@ -803,7 +816,7 @@ def _(spark, d):
     return watch.debounce(file_events(spark, d), 600_000).select("event_type", "src_path", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), "n")
 
 
-@query("event_stats", f"SELECT (SELECT count(*) FROM events) AS received, CAST(sum(n - 1) AS BIGINT) AS debounced, count(*) AS processed, round(avg(n), 6) AS mean_batch FROM {_DEBOUNCED}")
+@query("event_stats", f"SELECT (SELECT count(*) FROM events) AS received, (SELECT count(*) FROM events) - CAST(sum(n) AS BIGINT) AS dropped, CAST(sum(n - 1) AS BIGINT) AS debounced, count(*) AS processed, round(avg(n), 6) AS mean_batch FROM {_DEBOUNCED}")
 def _(spark, d):
     e = file_events(spark, d)
     return watch.event_stats(e, watch.debounce(e, 600_000))
@@ -839,7 +852,10 @@ def _(spark, d):
     return jobs.ingest(listing, f.where("id % 3 = 0"), F.lit(_AS_OF).cast("timestamp"))[2].withColumn("errors", F.col("errors").cast("int"))
 
 
-@query("culling_job")
+@query("culling_job", f"""WITH p AS (SELECT b.id, b.burst, b.ts, round(0.3 * b.value / 1000 + 0.25 * coalesce(f.face, 0.3) + 0.2 * coalesce(f.eye, 0.5) + 0.15 * 0.5 + 0.05, 6) AS score, 0.3 * b.value / 1000 + 0.25 * coalesce(f.face, 0.3) + 0.2 * coalesce(f.eye, 0.5) AS full_score
+    FROM {_bursts(60_000_000)} b LEFT JOIN (SELECT file_id, 0.7 * avg(confidence) + 0.3 * least(1.0, count(*) / 10) AS face, coalesce(avg(eye_open_prob), 0.5) AS eye FROM {_FACES} GROUP BY file_id) f ON b.id = f.file_id),
+  r AS (SELECT *, '/c/' || id AS path, row_number() OVER (PARTITION BY burst ORDER BY round(full_score, 9) DESC, ts, '/c/' || id) AS r FROM p)
+  SELECT id, burst, score, CASE WHEN r <= 1 THEN 'keep' ELSE 'mark' END AS action, max(path) FILTER (r = 1) OVER (PARTITION BY burst) AS best FROM r""")
 def _(spark, d):
     photos = captures(spark, d).select("id", "path", "ts", (F.col("value") / 1000).alias("sharpness"), F.lit(0.5).alias("aesthetic"))
     return jobs.cull(photos, fixture(spark, d, FACES), gap=60.0).select("id", "burst", F.round("score", 6).alias("score"), "action", "best")
@@ -885,7 +901,10 @@ def _(spark, d):
     return named.select("id", "cluster", "person_id")
 
 
-@query("image_features")
+_HUE = "CASE WHEN label >= 90 THEN (CASE WHEN label = 30 THEN 0 ELSE 60 * (90 - 30) / (label - 30) END) ELSE 60 * (2 + (30 - label) / (90 - least(label, 30))) END"
+
+
+@query("image_features", f"SELECT vec_id, round(brightness, 6) AS brightness, round(contrast, 6) AS contrast, round(least(1.0, variance / 500), 6) AS sharpness, 1e0 AS aspect_ratio, round(CAST({_HUE} AS DOUBLE), 6) AS average_hue FROM {_LAPLACE} JOIN embeddings USING (vec_id)")
 def _(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 128 + 128).alias("luma"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.array(F.array(F.col("label"), F.lit(90), F.lit(30))).alias("color_palette"))
     return images.image_features(e).select("vec_id", *(F.round(c, 6).alias(c) for c in ("brightness", "contrast", "sharpness", "aspect_ratio", "average_hue")))

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediacat.functions.paths import glob_type, should_reprocess
+from mediacat.functions.paths import file_type, glob_type, mime_type, should_reprocess
 from mediacat.functions.text import event_key
 from mediacat.operators.ignore import is_ignored
+from mediacat.sources.library import read_table, write_table
 from mediacat.storage import stored
 
 # Priorities, and how much longer or shorter an event type is waited for.
@@ -88,11 +89,35 @@ def dedupe_stream(df: DataFrame, keys: list[str], delay: str = "1 hour") -> Data
 
 
 def event_stats(received: DataFrame, debounced: DataFrame) -> DataFrame:
-    """received, debounced (held back), processed, and mean events a processed row."""
+    """received, dropped (too late to be debounced at all), debounced (held back), processed, and mean events a processed row."""
     n = received.agg(F.count("*").alias("received"))
     d = debounced.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("debounced"), F.count("*").alias("processed"), F.round(F.coalesce(F.avg("n"), F.lit(0.0)), 6).alias("mean_batch"))
     both = n.unionByName(d, allowMissingColumns=True)  # one row each
-    return both.agg(*(F.max(c).alias(c) for c in both.columns))
+    both = both.agg(*(F.max(c).alias(c) for c in both.columns))
+    return both.withColumn("dropped", F.col("received") - F.col("debounced") - F.col("processed"))
+
+
+def catalog_sink(base: str, types: list[str] | None = None) -> Callable[[DataFrame, int], None]:
+    """For on_batch(): applies each batch of events to the files table under base.
+
+    New and moved-to paths become files to process, changed ones are processed again, deleted ones are marked and done. The last event
+    of a path in the batch counts; a batch given twice leaves the same table.
+    """
+
+    def apply(batch: DataFrame, _: int) -> None:
+        files = read_table(batch.sparkSession, base, "files")
+        last = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("ts"), "event_type"))
+        todo = apply_events(filter_events(batch), types).where("action <> 'none'").withColumn("__r", last).where("__r = 1")
+        todo = todo.select(F.col("path").alias("file_path"), "action", F.col("ts").alias("__ts"))
+        both = files.join(todo, "file_path", "full_outer")
+        gone, again = F.col("action") == "mark_deleted", F.col("action").isin("ingest", "reingest")
+        rows = both.where(F.col("id").isNotNull() | again).withColumns({
+            "file_type": F.coalesce("file_type", file_type(F.col("file_path"))), "mime_type": F.coalesce("mime_type", mime_type(F.col("file_path"))), "ingested_at": F.coalesce("ingested_at", F.col("__ts").cast("timestamp")),
+            "processed": F.when(gone, True).when(again, False).otherwise(F.col("processed")), "error": F.when(gone, "File not found").when(again, None).otherwise(F.col("error")), "id": F.coalesce("id", F.xxhash64("file_path")),
+        })
+        write_table(rows, base, "files")
+
+    return apply
 
 
 def on_batch(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str, event_type: str | None = None):

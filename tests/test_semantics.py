@@ -164,7 +164,7 @@ def test_images(spark):
     v, e = (images.sharpness(df, form=f).orderBy("id").collect() for f in ("variance", "energy"))
     assert v[0].sharpness == 1.0 and v[0].blur == 0.0 and v[1].sharpness is None and e[0].sharpness == 1.0
     grid = spark.createDataFrame([([float(i % 7) for i in range(1024)],)], "luma array<double>")
-    assert len(images.fingerprint(grid).collect()[0].perceptual_hash) == 33
+    assert len(images.fingerprint(grid).collect()[0].perceptual_hash) == 67
     hue = spark.createDataFrame([([[255, 0, 0], [0, 255, 0]],)], "p array<array<int>>").select(images.average_hue(F.col("p"))).first()[0]
     assert hue == 60.0
     px = spark.createDataFrame([(1, [10, 10, 10])] * 5 + [(1, [200, 0, 0])] * 3, "image_id long, rgb array<int>")
@@ -257,3 +257,50 @@ def test_content_classes_hold_every_file(spark):
     for i, h in rows:
         first.setdefault(h, i)
     assert sorted(map(tuple, got)) == sorted((i, h, first[h] if h else None, n.get(h)) for i, h in rows)
+
+
+def test_the_vault_key_is_in_no_plan(spark):
+    key = "0123456789abcdef"
+    docs = spark.createDataFrame([(1, "ssn 123-45-6789", "a.txt", True, False), (2, "hello", "b.txt", True, False)], "id long, text string, name string, contains_text boolean, is_sensitive boolean")
+    safe, vault = sensitivity.quarantine(sensitivity.detect_sensitive(docs), key)
+    back = sensitivity.restore(vault, vault.select("id"), key)
+    assert [r.text for r in back.collect()] == ["ssn 123-45-6789"] and safe.count() == 1
+    assert key not in vault._jdf.queryExecution().toString() + back._jdf.queryExecution().toString()
+
+
+def test_events_reach_the_catalog(spark, tmp_path):
+    base = str(tmp_path / "catalog")
+    files = spark.createDataFrame([(1, "/a.jpg", True), (2, "/b.nef", True), (3, "/c.jpg", True)], "id long, file_path string, processed boolean")
+    missing = [c for c in library.read_table.__globals__["TABLES"]["files"].split(", ") if c.split()[0] not in files.columns]
+    library.write_table(files.selectExpr("*", *(f"cast(null as {c.split()[1]}) as {c.split()[0]}" for c in missing)), base, "files")
+    events = [("created", "/new.jpg", None, 1), ("modified", "/b.nef", None, 2), ("modified", "/a.jpg", None, 2), ("deleted", "/c.jpg", None, 3), ("moved", "/x.jpg", "/y.jpg", 4), ("created", "/tmp.tmp", None, 5)]
+    rows = [(k, s, d, False, at(t)) for k, s, d, t in events]
+    spark.createDataFrame(rows, "event_type string, src_path string, dest_path string, is_directory boolean, ts timestamp").write.parquet(str(tmp_path / "log"))
+    stream = library.event_stream(spark, str(tmp_path / "log"), "event_type string, src_path string, dest_path string, is_directory boolean, ts timestamp", max_files=1)
+    for run in ("one", "two"):  # the second run gives all batches again
+        watch.on_batch(stream, watch.catalog_sink(base), str(tmp_path / run)).awaitTermination()
+        got = {r.file_path: (r.processed, r.error) for r in library.read_table(spark, base, "files").collect()}
+        assert got == {"/a.jpg": (True, None), "/b.nef": (False, None), "/c.jpg": (True, "File not found"), "/new.jpg": (False, None), "/y.jpg": (False, None)}
+
+
+def test_image_rows_from_pixels(spark):
+    rng = np.random.default_rng(1)
+    rgb = np.concatenate([rng.integers(0, 60, (300, 3)), np.tile([200, 30, 40], (500, 1))])
+    pixels = spark.createDataFrame([(1, [int(c) for c in p]) for p in rgb], "image_id long, rgb array<int>")
+    df = spark.createDataFrame([(1, [float(x) for x in range(64)], 8, 8)], "image_id long, luma array<double>, width int, height int")
+    row = images.image_rows(df, pixels).first()
+    assert row.color_palette[0] == [200, 30, 40] and 0 < row.aesthetic < 1 and row.lab_spread > 10
+    grey = spark.createDataFrame([(1, [v, v, v]) for v in range(0, 250, 10)], "image_id long, rgb array<int>")
+    assert images.lab_spread(grey).first().lab_spread < 1
+
+
+def test_approximate_search_finds_most(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (600, 16))
+    x[300:] = x[:300] + rng.normal(0, 0.2, (300, 16))
+    v = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "file_id long, embedding array<float>")
+    q = v.where("file_id % 20 = 0").select(F.col("file_id").alias("id"), "embedding")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = vectors.search_approx(q, v, k=10, distance=2.0).collect()
+    hits = sum(r.file_id in np.argsort(-(u @ u[r.query_id]), kind="stable")[:10] for r in got)
+    assert hits >= 0.9 * 30 * 10, hits
