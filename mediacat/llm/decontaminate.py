@@ -173,7 +173,8 @@ class Index:
         """
         w = words(text)
         none = len(self.term)
-        terms = np.fromiter(map(self.term.get, w, repeat(none)), np.int64, len(w))
+        numbers = list(map(self.term.get, w, repeat(none)))
+        terms = np.array(numbers, np.int64)
         if not len(w) or terms.min() == none:
             return []
         # Passages whose terms' largest impacts can't reach the threshold need no search.
@@ -185,9 +186,10 @@ class Index:
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
             if sums[b] - sums[a] < threshold - 1e-9:
                 continue
-            here = np.unique(terms[a:b])
+            here = set(numbers[a:b])
+            here.discard(none)
             have = None
-            for d, score in self.find(here[here < none], threshold):
+            for d, score in self.find(np.fromiter(here, np.int64, len(here)), threshold):
                 have = shingle_hashes(terms[a:b]) if have is None else have
                 q, x = (np.isin(s, have).mean() if len(s) else 0.0 for s in (self.question[d], self.answer[d]))
                 if q >= overlap and x >= overlap:
