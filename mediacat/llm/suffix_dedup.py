@@ -24,7 +24,8 @@ GRAM = 37
 GRAMS = LENGTH - GRAM + 1
 CHUNK = 1 << 18
 FLUSH = 1 << 24
-PARTS = 4
+#: Parts of the hash range to a task, and strings (about bytes of text) to a task.
+PARTS, TASK_STRINGS = 4, 1 << 25
 #: An anchor with this many distinct pieces is hot: its pieces go by their own hash, and its strings by theirs. Anchors count
 #: as candidates from LOCAL pieces in one flush on; at most MOST_HOT are taken, the most frequent (which ones only moves work).
 HOT, LOCAL, MOST_HOT = 20_000, 64, 100_000
@@ -112,10 +113,11 @@ def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ..
 
 
 def _frequent(least: int):
-    """(h, n) of anchors with many distinct pieces in one flush."""
+    """(h, n) of anchors with many distinct pieces in one flush, and how many strings it has with h null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, f, *_ in _flushes(batches):
+        for h, f, _, _, n in _flushes(batches):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([int(n.sum())], pa.int64())], ["h", "n"])
             h, f = h[order := np.lexsort((f, h))], f[order]
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (f[1:] != f[:-1])]) if len(h) else np.empty(0, bool)
             values, counts = np.unique(h[new], return_counts=True)
@@ -125,10 +127,11 @@ def _frequent(least: int):
     return run
 
 
-def hot_anchors(rows: DataFrame, hot: int, local: int) -> np.ndarray:
-    """Sorted hashes of the anchors with `hot` distinct pieces or more (of those that a flush meets `local` times)."""
-    found = rows.mapInArrow(_frequent(local), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= hot)
-    return np.sort(np.array([r.h for r in found.orderBy(F.desc("n"), "h").limit(MOST_HOT).collect()], np.int64).view(np.uint64))
+def hot_anchors(rows: DataFrame, hot: int, local: int) -> tuple[np.ndarray, int]:
+    """Sorted hashes of the anchors with `hot` distinct pieces or more (of those that a flush meets `local` times), and how many strings there are."""
+    found = rows.mapInArrow(_frequent(local), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where((F.col("n") >= hot) | F.col("h").isNull())
+    top = found.orderBy(F.col("h").isNotNull(), F.desc("n"), "h").limit(MOST_HOT + 1).collect()
+    return np.sort(np.array([r.h for r in top if r.h is not None], np.int64).view(np.uint64)), sum(r.n for r in top if r.h is None)
 
 
 def among(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -392,9 +395,12 @@ def dedup(docs: DataFrame, hot: int = HOT, local: int = LOCAL) -> DataFrame:
     empty. Other columns are ignored. hot, local: see HOT and LOCAL; they move work, not results.
     """
     spark = docs.sparkSession
-    rows, parts = numbered(docs), PARTS * partitions(spark)
-    frequent = spark.sparkContext.broadcast(hot_anchors(rows.select("rid", "text"), hot, local))
-    spread = lambda df: df.repartition(partitions(spark), F.when(F.col("part") >= 0, F.col("part")).otherwise(-1 - F.pmod(F.xxhash64("rid"), F.lit(parts)))).sortWithinPartitions("part")
+    rows = numbered(docs)
+    found, strings = hot_anchors(rows.select("rid", "text"), hot, local)
+    # A part is held by one task, so parts and tasks grow with the text.
+    tasks = max(partitions(spark), -(-strings // TASK_STRINGS))
+    parts, frequent = PARTS * tasks, spark.sparkContext.broadcast(found)
+    spread = lambda df: df.repartition(tasks, F.when(F.col("part") >= 0, F.col("part")).otherwise(-1 - F.pmod(F.xxhash64("rid"), F.lit(parts)))).sortWithinPartitions("part")
     sent = rows.select("rid", "text").mapInArrow(_send(parts, frequent), SENT)
     found = stored(spread(sent).mapInArrow(lambda it: _settle(it, frequent.value), FOUND), "pieces")
     asked = found.where("h is not null").groupBy("rid").agg(F.collect_list(F.struct("run", "h")).alias("asked"))
