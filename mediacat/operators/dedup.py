@@ -20,30 +20,103 @@ def part_matches(a: Column, b: Column, threshold: float = 0.9) -> Column:
     return (F.length(a) == F.length(b)) & (same * t.denominator >= F.length(a) * t.numerator)
 
 
+#: Keys at which more pairs of fingerprints than the square of this would meet are cut up further.
+HOT_KEY = 1000
+#: Rows of a hot key are dealt to so many tasks.
+SALTS = 32
+#: Buckets of an index of fingerprints.
+BUCKETS = 64
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    """Each row's free places in d + 1 groups; a row for each group with the group's characters in its key."""
+    groups = F.transform(F.sequence(F.lit(0), F.col("d")), lambda k: F.slice("free", F.floor(F.size("free") * k / (F.col("d") + 1)).cast("int") + 1, (F.floor(F.size("free") * (k + 1) / (F.col("d") + 1)) - F.floor(F.size("free") * k / (F.col("d") + 1))).cast("int")))
+    out = rows.select("*", F.posexplode(groups).alias("__k", "__g"))
+    bits = F.array_join(F.transform("__g", lambda p: F.substring(F.col("text"), p, F.lit(1))), "")
+    return out.withColumns({"key": F.concat_ws("|", "key", "__k", bits), "free": F.array_except("free", "__g")}).drop("__k", "__g")
+
+
+def banded(fingerprints: DataFrame, fp: str = "fp", threshold: float = 0.9) -> DataFrame:
+    """(fp, text, d, free, key) of distinct fingerprints: parts that match within d different characters share a key.
+
+    Of a part's characters at most d differ, so of d + 1 groups of places one is equal. free: the places that the key leaves open. Null and empty
+    fingerprints and empty parts have no row.
+    """
+    t = Fraction(str(threshold))
+    rows = fingerprints.where(F.col(fp).isNotNull() & (F.col(fp) != "")).select(F.col(fp).alias("fp")).distinct()
+    rows = rows.select("fp", F.size(F.split("fp", ":")).alias("n"), F.posexplode(F.split("fp", ":")).alias("part", "text"))
+    d = F.floor(F.length("text") * (t.denominator - t.numerator) / t.denominator).cast("int")
+    rows = rows.where(F.length("text") > 0).select("fp", "text", d.alias("d"), F.sequence(F.lit(1), F.length("text")).alias("free"), F.concat_ws(":", "n", "part", F.length("text")).alias("key"))
+    return _cut(rows)
+
+
+def near_links(left: DataFrame, right: DataFrame, threshold: float = 0.9, hot: int = HOT_KEY) -> DataFrame:
+    """(left_fp, right_fp) of banded() fingerprints with a matching part, equal ones too; each link once.
+
+    A key that many fingerprints of both sides share is cut up again by its free places: those that share it differ in at most d of them. So no key
+    grows with the table, unless at most d places are left, and then all that share it match.
+    """
+    match = lambda a, b: a.select(F.col("fp").alias("left_fp"), F.col("text").alias("left"), "key").join(b.select(F.col("fp").alias("right_fp"), F.col("text").alias("right"), "key"), "key").where(part_matches(F.col("left"), F.col("right"), threshold)).select("left_fp", "right_fp")
+    found = []
+    while True:
+        left, right = stored(left, "bands"), stored(right, "bands")
+        n = lambda df, c: df.where(F.size("free") > F.col("d")).groupBy("key").agg(F.count("*").alias(c))
+        many = stored(n(left, "l").join(n(right, "r"), "key").where(F.col("l") * F.col("r") > hot * hot).select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "hot-bands")
+        salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+        if many.isEmpty():
+            found.append(match(left, right))
+            return reduce(DataFrame.union, found).distinct()
+        cool = lambda df: salted(df).join(many, ["key", "salt"], "left_anti")
+        found.append(match(cool(left), cool(right)))
+        left, right = (_cut(salted(df).join(many, ["key", "salt"], "left_semi").drop("salt")).select("fp", "text", "d", "free", "key") for df in (left, right))
+
+
 def near_duplicate_join(left: DataFrame, right: DataFrame, fp: str = "perceptual_hash", threshold: float = 0.9) -> DataFrame:
     """(left_id, right_id) of fingerprints with a matching part; both have (id, fp). Parts are separated by colons and numbers of parts must agree.
 
-    Of len characters at most d may differ, so of d + 1 bands one is equal: candidates share a band and are then compared exactly.
+    All pairs of files: of copies there are as many as the square of their number. near_duplicate_classes() has a row for each file instead.
     """
-    t = Fraction(str(threshold))
+    links = near_links(banded(left, fp, threshold), banded(right, fp, threshold), threshold)
+    ids = lambda df, side: df.select(F.col(fp).alias(f"{side}_fp"), F.col("id").alias(f"{side}_id"))
+    pairs = links.join(ids(left, "left"), "left_fp").join(ids(right, "right"), "right_fp")
+    return pairs.where("left_id <> right_id").select("left_id", "right_id").distinct()
 
-    def banded(df: DataFrame, side: str) -> DataFrame:
-        parts = F.split(fp, ":")
-        rows = df.where(F.col(fp).isNotNull() & (F.col(fp) != "")).select(F.col("id").alias(f"{side}_id"), F.size(parts).alias("n"), F.posexplode(parts).alias("part", side)).where(F.length(side) > 0)
-        length = F.length(side)
-        bands = F.floor(length * (t.denominator - t.numerator) / t.denominator).cast("int") + 1
-        cut = lambda k: F.substring(F.col(side), F.floor(length * k / bands).cast("int") + 1, (F.floor(length * (k + 1) / bands) - F.floor(length * k / bands)).cast("int"))
-        return rows.withColumn("len", length).select("*", F.posexplode(F.transform(F.sequence(F.lit(0), bands - 1), cut)).alias("band", "bits"))
 
-    def distinct(df: DataFrame) -> DataFrame:
-        return df.where(F.col(fp).isNotNull()).select(F.col(fp).alias("id"), fp).distinct()
+def near_duplicate_classes(files: DataFrame, fp: str = "perceptual_hash", threshold: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """Near duplicates without all pairs of copies: (membership, links).
 
-    # Equal fingerprints meet once, however many files have them.
-    both = banded(distinct(left), "left").join(banded(distinct(right), "right"), ["n", "part", "len", "band", "bits"])
-    both = both.where(part_matches(F.col("left"), F.col("right"), threshold)).select("left_id", "right_id").distinct()
-    ids = lambda df, side: df.select(F.col(fp).alias(f"{side}_id"), F.col("id").alias(f"__{side}"))
-    pairs = both.join(ids(left, "left"), "left_id").join(ids(right, "right"), "right_id")
-    return pairs.where("__left <> __right").select(F.col("__left").alias("left_id"), F.col("__right").alias("right_id")).distinct()
+    membership (id, class_id, copies, links): a file's class is the smallest id of its fingerprint, with how many files share it and how many other
+    classes it links to; a file without a fingerprint is its own class. links (left_class, right_class): matching classes, each once, left the smaller.
+    """
+    known = files.select("id", F.when(F.col(fp) != "", F.col(fp)).alias("fp"))
+    classes = stored(known.where("fp is not null").groupBy("fp").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")), "classes")
+    rows = banded(classes, "fp", threshold)
+    links = near_links(rows, rows, threshold).where("left_fp <> right_fp")
+    name = lambda side: classes.select(F.col("fp").alias(f"{side}_fp"), F.col("class_id").alias(f"{side}_class"))
+    links = stored(links.join(name("left"), "left_fp").join(name("right"), "right_fp").select("left_class", "right_class"), "class-links")
+    degree = links.groupBy(F.col("left_class").alias("class_id")).agg(F.count("*").alias("links"))
+    member = known.join(classes, "fp", "left").join(degree, "class_id", "left")
+    member = member.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
+    return member, links.where("left_class < right_class")
+
+
+def write_fingerprints(files: DataFrame, path: str, fp: str = "perceptual_hash", threshold: float = 0.9) -> None:
+    """Add the fingerprints of files (id, fp) to the index under path: their keys, in folders by bucket and sorted, so that a few new files read few of them."""
+    least = files.where(F.col(fp).isNotNull() & (F.col(fp) != "")).groupBy(F.col(fp).alias("fp")).agg(F.min("id").alias("id"))
+    rows = banded(least, "fp", threshold).join(least, "fp").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
+    rows.repartition("bucket").sortWithinPartitions("bucket", "key").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def probe_fingerprints(files: DataFrame, path: str, fp: str = "perceptual_hash", threshold: float = 0.9) -> DataFrame:
+    """(fp, known_id): the smallest id in the index whose fingerprint matches, for each fingerprint of files that has one. Only keys of files are read from the index."""
+    spark = files.sparkSession
+    own = stored(banded(files, fp, threshold), "probe-bands")
+    index = spark.read.schema("fp string, text string, d int, free array<int>, key string, id long, bucket int").parquet(path)
+    asked = own.select("key", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int").alias("bucket")).distinct()
+    near = stored(index.join(asked, ["bucket", "key"], "left_semi"), "index-bands")
+    links = near_links(own, near.select("fp", "text", "d", "free", "key"), threshold)
+    ids = near.groupBy(F.col("fp").alias("right_fp")).agg(F.min("id").alias("known_id"))
+    return links.join(ids, "right_fp").groupBy(F.col("left_fp").alias("fp")).agg(F.min("known_id").alias("known_id"))
 
 
 #: Components of at most so many links are settled whole by one scan; of larger ones, so many files at a time.
@@ -111,21 +184,63 @@ def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__r = 1").drop("__r")
 
 
-def duplicates(files: DataFrame, order: list[str], threshold: float = 0.9) -> DataFrame:
+def duplicates(files: DataFrame, order: list[str], threshold: float = 0.9, known: DataFrame | None = None, index: str | None = None) -> DataFrame:
     """(id, keeper, duplicate_of, score): equal content first (1.0), then near fingerprints among what is left (0.9). files (id, file_hash, perceptual_hash, order columns).
 
-    Files of one fingerprint meet the others through the first of them: they match alike, and match each other.
+    known (id, file_hash, perceptual_hash): files already stored; they are kept whatever the new files are, so a new file that matches one is its
+    duplicate (the smallest matching id, before any new file). index: where write_fingerprints() put their fingerprints; without it they are cut into keys here.
+    Files of one fingerprint meet the others through the first of them: they match alike, and match each other. A null hash or fingerprint matches nothing.
     """
     cols = list(dict.fromkeys([*order, "id"]))
-    first_of = lambda c: F.when(F.col(c).isNotNull(), F.first_value("id").over(Window.partitionBy(c).orderBy(*cols))).otherwise(F.col("id"))
-    exact = stored(files.select(*cols, F.when(F.col("perceptual_hash") != "", F.col("perceptual_hash")).alias("perceptual_hash"), first_of("file_hash").alias("first")), "exact")
-    left = exact.where("id = first")
-    left = stored(left.select(*cols, "perceptual_hash", first_of("perceptual_hash").alias("rep")), "fingerprinted")
+    place = F.struct(*cols)
+
+    def with_first(df: DataFrame, by: str, name: str) -> DataFrame:
+        least = df.where(F.col(by).isNotNull()).groupBy(by).agg(F.min_by("id", place).alias("__first"))
+        return df.join(least, by, "left").withColumn(name, F.coalesce("__first", "id")).drop("__first")
+
+    print_ = F.when(F.col("perceptual_hash") != "", F.col("perceptual_hash")).alias("perceptual_hash")
+    exact = with_first(files.select(*cols, "file_hash", print_), "file_hash", "first")
+    if known is not None:
+        stored_hashes = known.where("file_hash is not null").groupBy("file_hash").agg(F.min("id").alias("__old"))
+        exact = exact.join(stored_hashes, "file_hash", "left")
+    else:
+        exact = exact.withColumn("__old", F.lit(None).cast("long"))
+    exact = stored(exact.drop("file_hash"), "exact")
+    left = exact.where("id = first and __old is null")
+    if left.where("perceptual_hash is not null").isEmpty():
+        near = left.select(F.col("id").alias("first"), F.lit(True).alias("__k"), F.lit(None).cast(left.schema["id"].dataType).alias("__d"))
+    else:
+        near = _near(left.select(*cols, "perceptual_hash"), cols, order, threshold, known, index)
+    # A copy of a file that is itself no keeper is compared like that file: it has the same fingerprint.
+    of = exact.where("__old is null").select("id", "first").join(near, "first")
+    own = F.col("id") == F.col("first")
+    of = of.select("id", (own & F.col("__k")).alias("keeper"), F.when(own, F.col("__d")).when(F.col("__k"), F.col("first")).otherwise(F.col("__d")).alias("duplicate_of"), F.when(own & F.col("__k"), None).when(~own & F.col("__k"), 1.0).otherwise(0.9).alias("score"))
+    return of.unionByName(exact.where("__old is not null").select("id", F.lit(False).alias("keeper"), F.col("__old").alias("duplicate_of"), F.lit(1.0).alias("score")))
+
+
+def _near(left: DataFrame, cols: list[str], order: list[str], threshold: float, known: DataFrame | None, index: str | None) -> DataFrame:
+    """(first, __k, __d): which of the files of different content stay, and whose duplicates the others are."""
+    place = F.struct(*cols)
+    left = stored(left, "contents")
+    if known is not None or index:
+        # Stored files are decided: what matches one goes before the others are elected.
+        if index:
+            hits = probe_fingerprints(left, index, "perceptual_hash", threshold)
+        else:
+            ids = known.where("perceptual_hash <> ''").groupBy(F.col("perceptual_hash").alias("right_fp")).agg(F.min("id").alias("known_id"))
+            links = near_links(banded(left, "perceptual_hash", threshold), banded(known, "perceptual_hash", threshold), threshold)
+            hits = links.join(ids, "right_fp").groupBy(F.col("left_fp").alias("fp")).agg(F.min("known_id").alias("known_id"))
+        left = stored(left.join(hits.withColumnRenamed("fp", "perceptual_hash"), "perceptual_hash", "left"), "seeded")
+    else:
+        left = left.withColumn("known_id", F.lit(None).cast(left.schema["id"].dataType))
+    seeded = left.where("known_id is not null").select(F.col("id").alias("first"), F.lit(False).alias("__k"), F.col("known_id").alias("__d"))
+    left = left.where("known_id is null")
+    least = left.where("perceptual_hash is not null").groupBy("perceptual_hash").agg(F.min_by("id", place).alias("__rep"))
+    left = stored(left.join(least, "perceptual_hash", "left").select(*cols, "perceptual_hash", F.coalesce("__rep", "id").alias("rep")), "fingerprinted")
     reps = left.where("id = rep")
     edges = stored(near_duplicate_join(reps, reps, "perceptual_hash", threshold), "near-edges")
     elected = stored(elect_keepers(reps.select(*cols), edges.where("left_id < right_id"), order), "near")
     # A later file of a fingerprint goes: to its first if that is kept, else to the smallest kept one before it that the first matches.
-    place = F.struct(*cols)
     kept = reps.join(elected.where("keeper").select("id"), "id", "left_semi").select(F.col("id").alias("left_id"), place.alias("__before"))
     others = left.where("id <> rep").select("id", F.col("rep").alias("right_id"), place.alias("__at"))
     of = others.join(edges.join(kept, "left_id"), "right_id").where("__before < __at").groupBy("id").agg(F.min("left_id").alias("__of"))
@@ -133,7 +248,4 @@ def duplicates(files: DataFrame, order: list[str], threshold: float = 0.9) -> Da
     own = F.col("id") == F.col("rep")
     near = left.select("id", "rep").join(state, "rep").join(of, "id", "left")
     near = near.select(F.col("id").alias("first"), (own & F.col("__rk")).alias("__k"), F.when(own, F.col("__rd")).when(F.col("__rk"), F.col("rep")).otherwise(F.col("__of")).alias("__d"))
-    # A copy of a file that is itself no keeper is compared like that file: it has the same fingerprint.
-    of = exact.select("id", "first").join(near, "first")
-    own = F.col("id") == F.col("first")
-    return of.select("id", (own & F.col("__k")).alias("keeper"), F.when(own, F.col("__d")).when(F.col("__k"), F.col("first")).otherwise(F.col("__d")).alias("duplicate_of"), F.when(own & F.col("__k"), None).when(~own & F.col("__k"), 1.0).otherwise(0.9).alias("score"))
+    return near.unionByName(seeded)

@@ -15,6 +15,7 @@ from mediacat.functions.text import caption_mood, caption_sensitive, caption_tag
 from mediacat.operators import bursts, catalog, dedup, queue, sensitivity
 from mediacat.operators.clustering import assign_clusters, cluster_vectors, person_rollup
 from mediacat.operators.ignore import filter_ignored
+from mediacat.storage import stored
 
 
 def score_with(df: DataFrame, make_fn: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: StructType) -> DataFrame:
@@ -36,17 +37,35 @@ def score_with(df: DataFrame, make_fn: Callable[[], Callable[[pd.DataFrame], pd.
     return df.mapInPandas(run, StructType([*schema.fields, StructField("error", StringType())]))
 
 
-def ingest(listing: DataFrame, files: DataFrame, as_of: Column, hash_col: str = "hash") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(new files with keeper and duplicate_of, their tasks, a summary row). listing (path, size, mtime, is_dir, hash, perceptual_hash).
+def ingest(listing: DataFrame, files: DataFrame, as_of: Column, hash_col: str = "hash", index: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new files with keeper, duplicate_of, score and error; their tasks; a summary row). listing (path, size, mtime, is_dir, hash, perceptual_hash).
 
-    Cheap tests first: ignored and known paths go, then equal content and near fingerprints are elected, oldest first.
+    Cheap tests first: ignored and known paths go. A file whose hash is null couldn't be read: it is an error, with the listing's error if it has
+    one. The others are held against the stored files (equal content, then near fingerprints) and then elected, oldest first. files: the catalog's
+    table; index: where write_fingerprints() keeps its fingerprints, so that only keys of new files are read.
     """
     fresh = catalog.new_files(filter_ignored(listing), files)
-    rows = fresh.select(F.xxhash64("path").alias("id"), F.col("path").alias("file_path"), F.col(hash_col).alias("file_hash"), "perceptual_hash", F.col("size").alias("file_size"), "mtime", file_type(F.col("path")).alias("file_type"), mime_type(F.col("path")).alias("mime_type"))
-    elected = rows.join(dedup.duplicates(rows.select("id", "file_hash", "perceptual_hash", "mtime", "file_path"), ["mtime", "file_path"]), "id")
+    said = F.col("error") if "error" in listing.columns else F.lit(None).cast("string")
+    error = F.when(F.col(hash_col).isNull(), F.coalesce(said, F.lit("content could not be read")))
+    rows = fresh.select(F.xxhash64("path").alias("id"), F.col("path").alias("file_path"), F.col(hash_col).alias("file_hash"), "perceptual_hash", F.col("size").alias("file_size"), "mtime", file_type(F.col("path")).alias("file_type"), mime_type(F.col("path")).alias("mime_type"), error.alias("error"))
+    rows = stored(rows, "ingest-rows")
+    held = dedup.duplicates(rows.where("error is null").select("id", "file_hash", "perceptual_hash", "mtime", "file_path"), ["mtime", "file_path"], known=files.select("id", "file_hash", "perceptual_hash"), index=index)
+    elected = stored(rows.join(held, "id", "left").withColumn("keeper", F.coalesce("keeper", F.lit(False))), "ingest-elected")
     tasks = queue.enqueue(elected.where("keeper").select("id"), 5, as_of)
-    summary = catalog.ingestion_summary(elected.select(F.when(F.col("keeper"), "ingested").otherwise("duplicate").alias("outcome"), F.col("file_size").alias("size")))
-    return elected, tasks, summary
+    outcome = F.when(F.col("error").isNotNull(), "error").when(F.col("keeper"), "ingested").otherwise("duplicate")
+    return elected, tasks, catalog.ingestion_summary(elected.select(outcome.alias("outcome"), F.col("file_size").alias("size")))
+
+
+def ingestion_log(summary: DataFrame, started: Column, finished: Column) -> DataFrame:
+    """The row of the ingestion_logs table for ingest()'s summary."""
+    counts = ("ingested", "duplicates", "errors")
+    details = F.create_map(*(x for c in counts for x in (F.lit(c), F.col(c).cast("long"))))
+    return summary.select(started.alias("started_at"), finished.alias("finished_at"), *(F.col(c).cast("int").alias(c) for c in counts), F.col("total_size").cast("long").alias("total_size"), details.alias("details"))
+
+
+def stored_rows(elected: DataFrame, as_of: Column) -> DataFrame:
+    """The rows of the files table for ingest()'s keepers."""
+    return elected.where("keeper").select("id", "file_path", "file_hash", "perceptual_hash", "file_size", "file_type", "mime_type", as_of.alias("ingested_at"), F.lit(None).cast("timestamp").alias("analyzed_at"), F.lit(False).alias("processed"), F.lit(None).cast("string").alias("error"))
 
 
 def cull(photos: DataFrame, faces: DataFrame, gap: float = 1.0, keep: int = 1, action: str = "mark", partition: str | None = None) -> DataFrame:

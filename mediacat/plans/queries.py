@@ -12,7 +12,7 @@ from mediacat.operators import bursts, catalog, clustering, dedup, ignore, image
 from mediacat.operators import vectors as search
 from mediacat.plans import jobs
 from mediacat.sources import library
-from mediacat.storage import table
+from mediacat.storage import fresh_dir, table
 from mediacat.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -242,11 +242,24 @@ def _(spark, d):
     return e.select("vec_id", images.average_hash(F.col("v")).alias("fingerprint"))
 
 
-@query("keepers", """WITH h AS (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r, min(doc_id) OVER (PARTITION BY text) AS m FROM documents)
-  SELECT doc_id AS id, r = 1 AS keeper, CASE WHEN r > 1 THEN m END AS duplicate_of FROM h""")
+#: Files of the documents: a document's text is the content; fingerprints fall into clusters within which all match and across which none do.
+_PRINTS = """SELECT doc_id AS id, md5(text) AS file_hash, concat('/lib/', source, '/', CAST(doc_id AS STRING), '.jpg') AS path, n_chars AS size, CAST(1704067200 + doc_id % 97 AS BIGINT) AS mtime,
+  CASE WHEN n_chars % 7 = 0 THEN NULL ELSE concat(substr(md5(CAST(n_chars % 150 AS STRING)), 1, 15), substr('0123456789abcdef', CAST(n_chars % 16 AS INT) + 1, 1)) END AS perceptual_hash,
+  CASE WHEN n_chars % 7 = 0 THEN NULL ELSE n_chars % 150 END AS near FROM {documents}"""
+_PRINTED = _PRINTS.replace("{documents}", "documents")
+
+
+@query("keepers", f"""WITH f AS ({_PRINTED}), h AS (SELECT *, min(id) OVER (PARTITION BY file_hash) AS first FROM f),
+  n AS (SELECT *, CASE WHEN near IS NULL THEN first ELSE min(first) OVER (PARTITION BY near) END AS kept FROM h)
+  SELECT id, id = kept AS keeper, CASE WHEN id <> kept THEN kept END AS duplicate_of, CASE WHEN id = kept THEN NULL WHEN first = kept THEN 1.0 ELSE 0.9 END::DOUBLE AS score FROM n""")
+def _(spark, d):
+    return dedup.duplicates(fixture(spark, d, _PRINTS), ["id"])
+
+
+@query("near_duplicate_classes", f"""WITH f AS ({_PRINTED}), c AS (SELECT perceptual_hash AS fp, near, min(id) AS class_id, count(*) AS copies FROM f WHERE perceptual_hash IS NOT NULL GROUP BY ALL)
+  SELECT f.id, coalesce(c.class_id, f.id) AS class_id, coalesce(c.copies, 1) AS copies, CASE WHEN c.near IS NULL THEN 0 ELSE (SELECT count(*) FROM c o WHERE o.near = c.near) - 1 END AS links FROM f LEFT JOIN c ON f.perceptual_hash = c.fp""")
 def _(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.content_hash(F.col("text")).alias("file_hash"), F.lit(None).cast("string").alias("perceptual_hash"))
-    return dedup.duplicates(docs, ["id"]).select("id", "keeper", "duplicate_of")
+    return dedup.near_duplicate_classes(fixture(spark, d, _PRINTS))[0]
 
 
 @query("first_per_key", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
@@ -845,16 +858,51 @@ def _(spark, d):
 
 
 # Jobs.
-@query("ingest_job", f"SELECT count(*) FILTER (k) AS ingested, count(*) FILTER (NOT k) AS duplicates, 0 AS errors, CAST(sum(file_size) FILTER (k) AS BIGINT) AS total_size FROM (SELECT file_size, row_number() OVER (PARTITION BY file_hash ORDER BY mtime, file_path) = 1 AS k FROM {_FILES} WHERE id % 3 <> 0 AND file_path NOT LIKE '%.tmp' AND file_path NOT IN (SELECT file_path FROM {_FILES} WHERE id % 3 = 0))")
+# A third of the documents is stored; the others are found by a scan, some with a known path, some unreadable.
+_STORED_PATH = "CASE WHEN id % 30 = 0 THEN concat('/lib/seen/', CAST(id + 1 AS STRING), '.jpg') ELSE path END"
+_FOUND_PATH = "CASE WHEN id % 30 = 1 THEN concat('/lib/seen/', CAST(id AS STRING), '.jpg') WHEN id % 30 = 2 THEN concat('/lib/', CAST(id AS STRING), '.tmp') ELSE path END"
+_INGEST = f"""WITH f AS ({_PRINTED}), s AS (SELECT *, {_STORED_PATH} AS p FROM f WHERE id % 3 = 0),
+  l AS (SELECT *, {_FOUND_PATH} AS p FROM f WHERE id % 3 <> 0 AND id % 30 <> 2), x AS (SELECT *, id % 31 = 4 AS bad FROM l WHERE p NOT IN (SELECT p FROM s)),
+  o AS (SELECT x.*, (SELECT min(s.id) FROM s WHERE s.file_hash = x.file_hash) AS old FROM x WHERE NOT bad),
+  e AS (SELECT *, min(struct_pack(m := mtime, p := p)) OVER (PARTITION BY file_hash) AS first FROM o),
+  n AS (SELECT e.*, CASE WHEN e.near IS NOT NULL THEN (SELECT min(s.id) FROM s WHERE s.near = e.near) END AS seed FROM e),
+  k AS (SELECT *, CASE WHEN near IS NULL THEN first ELSE min(first) FILTER (old IS NULL AND seed IS NULL) OVER (PARTITION BY near) END AS kept FROM n),
+  r AS (SELECT p AS file_path, size, bad, NOT bad AND old IS NULL AND seed IS NULL AND kept.p = p AS keeper,
+      CASE WHEN old IS NOT NULL THEN (SELECT s.p FROM s WHERE s.id = old) WHEN seed IS NOT NULL THEN (SELECT s.p FROM s WHERE s.id = seed) WHEN kept.p <> p THEN kept.p END AS duplicate_of,
+      CASE WHEN old IS NOT NULL THEN 1.0 WHEN seed IS NOT NULL THEN 0.9 WHEN kept.p = p THEN NULL WHEN first = kept THEN 1.0 ELSE 0.9 END::DOUBLE AS score FROM k
+    UNION ALL SELECT p, size, bad, false, NULL, NULL FROM x WHERE bad)"""
+
+
+def _ingested(spark, d, index: str | None = None):
+    f = fixture(spark, d, _PRINTS)
+    known = f.where("id % 3 = 0").withColumn("file_path", F.expr(_STORED_PATH))
+    listing = f.where("id % 3 <> 0").select(F.expr(_FOUND_PATH).alias("path"), "size", "mtime", F.lit(False).alias("is_dir"), F.when(F.expr("id % 31 <> 4"), F.col("file_hash")).alias("hash"), "perceptual_hash")
+    return known, jobs.ingest(listing, known, F.lit(_AS_OF).cast("timestamp"), index=index)
+
+
+@query("ingest_job", f"{_INGEST} SELECT count(*) FILTER (keeper) AS ingested, count(*) FILTER (NOT keeper AND NOT bad) AS duplicates, count(*) FILTER (bad) AS errors, CAST(coalesce(sum(size) FILTER (keeper), 0) AS BIGINT) AS total_size FROM r")
 def _(spark, d):
-    f = files(spark, d)
-    listing = f.where("id % 3 <> 0").select(F.col("file_path").alias("path"), F.col("file_size").alias("size"), "mtime", F.lit(False).alias("is_dir"), F.col("file_hash").alias("hash"), F.lit(None).cast("string").alias("perceptual_hash"))
-    return jobs.ingest(listing, f.where("id % 3 = 0"), F.lit(_AS_OF).cast("timestamp"))[2].withColumn("errors", F.col("errors").cast("int"))
+    return _ingested(spark, d)[1][2]
+
+
+@query("ingest_elected", f"{_INGEST} SELECT file_path, keeper, duplicate_of, score, CASE WHEN bad THEN 'content could not be read' END AS error FROM r")
+def _(spark, d):
+    base = fresh_dir(spark, "fingerprints")
+    dedup.write_fingerprints(fixture(spark, d, _PRINTS).where("id % 3 = 0"), base)
+    known, (elected, _, _) = _ingested(spark, d, base)
+    names = known.select("id", "file_path").union(elected.select("id", "file_path")).select(F.col("id").alias("duplicate_of"), F.col("file_path").alias("of"))
+    return elected.join(names, "duplicate_of", "left").select("file_path", "keeper", F.col("of").alias("duplicate_of"), "score", "error")
+
+
+@query("ingestion_log", f"{_INGEST} SELECT CAST('{_AS_OF}' AS TIMESTAMP) AS started_at, CAST(count(*) FILTER (keeper) AS INTEGER) AS ingested, CAST(count(*) FILTER (bad) AS INTEGER) AS errors, count(*) FILTER (NOT keeper AND NOT bad) AS details_duplicates FROM r")
+def _(spark, d):
+    log = jobs.ingestion_log(_ingested(spark, d)[1][2], F.lit(_AS_OF).cast("timestamp_ntz"), F.lit(_AS_OF).cast("timestamp_ntz"))
+    return log.select("started_at", "ingested", "errors", F.col("details")["duplicates"].alias("details_duplicates"))
 
 
-@query("culling_job", f"""WITH p AS (SELECT b.id, b.burst, b.ts, round(0.3 * b.value / 1000 + 0.25 * coalesce(f.face, 0.3) + 0.2 * coalesce(f.eye, 0.5) + 0.15 * 0.5 + 0.05, 6) AS score, 0.3 * b.value / 1000 + 0.25 * coalesce(f.face, 0.3) + 0.2 * coalesce(f.eye, 0.5) AS full_score
-    FROM {_bursts(60_000_000)} b LEFT JOIN (SELECT file_id, 0.7 * avg(confidence) + 0.3 * least(1.0, count(*) / 10) AS face, coalesce(avg(eye_open_prob), 0.5) AS eye FROM {_FACES} GROUP BY file_id) f ON b.id = f.file_id),
-  r AS (SELECT *, '/c/' || id AS path, row_number() OVER (PARTITION BY burst ORDER BY round(full_score, 9) DESC, ts, '/c/' || id) AS r FROM p)
+@query("culling_job", f"""WITH p AS (SELECT b.id, b.burst, b.ts, round(full_score, 6) AS score, full_score FROM (SELECT b.*, 5e-1 * 1e-1 + b.value / 1000 * 3e-1 + coalesce(f.face, 3e-1) * 2.5e-1 + coalesce(f.eye, 5e-1) * 2e-1 + 5e-1 * 1.5e-1 AS full_score
+    FROM {_bursts(60_000_000)} b LEFT JOIN (SELECT file_id, 0.7 * avg(confidence) + 0.3 * least(1.0, count(*) / 10) AS face, coalesce(avg(eye_open_prob), 0.5) AS eye FROM {_FACES} GROUP BY file_id) f ON b.id = f.file_id) b),
+  r AS (SELECT *, '/c/' || id AS path, row_number() OVER (PARTITION BY burst ORDER BY full_score DESC, ts, '/c/' || id) AS r FROM p)
   SELECT id, burst, score, CASE WHEN r <= 1 THEN 'keep' ELSE 'mark' END AS action, max(path) FILTER (r = 1) OVER (PARTITION BY burst) AS best FROM r""")
 def _(spark, d):
     photos = captures(spark, d).select("id", "path", "ts", (F.col("value") / 1000).alias("sharpness"), F.lit(0.5).alias("aesthetic"))
