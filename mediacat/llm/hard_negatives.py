@@ -152,7 +152,8 @@ def build(rows: DataFrame) -> tuple[DataFrame, Tree]:
     sample = marked.where("narrow").where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) < share).select("v").limit(2 * SAMPLE).collect() if n else []
     roots = {}
     for dim in most:
-        own, counter = np.array([r.v for r in sample if len(r.v) == dim], np.float64).reshape(-1, dim), [0]
+        of_dim, counter = [r.v for r in sample if len(r.v) == dim], [0]
+        own = np.array(of_dim, np.float64).reshape(len(of_dim), dim)
         roots[dim] = (fitted(lengthened(own, most[dim]), counter), max(1, counter[0]))
     shared = spark.sparkContext.broadcast(Tree(roots, most))
 
