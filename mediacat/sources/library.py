@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from mediacat.functions.paths import basename, normalize_path
-from mediacat.schemas import TABLES
+from mediacat.functions.text import content_hash
+from mediacat.sources.versioned import Catalog
 
 SYSTEM_NAMES = ("Thumbs.db", "desktop.ini", ".DS_Store")
 
@@ -45,19 +46,33 @@ def find_files(df: DataFrame, patterns: list[str], min_size: int = 0, max_size:
 
 
 def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    return spark.read.schema(TABLES[name]).parquet(f"{base}/{name}")
+    return Catalog(spark, base).read(name)
 
 
 def write_table(df: DataFrame, base: str, name: str) -> None:
-    """Overwrite a catalog table with its fixed schema. The new rows are written beside it first, so df may read the table itself."""
-    spark, schema = df.sparkSession, StructType.fromDDL(TABLES[name])
-    staging = f"{base}/.{name}-{uuid.uuid4().hex}"
-    df.select(*(F.col(f.name).cast(f.dataType) for f in schema.fields)).write.parquet(staging)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(staging), target)
+    """Replace a catalog table, with its fixed schema, by one commit: readers see the old rows or the new ones. df may read the table itself."""
+    Catalog(df.sparkSession, base).commit(replaces={name: df})
+
+
+def describe_files(spark: SparkSession, paths: DataFrame, algorithm: str = "sha256") -> DataFrame:
+    """(path, size, mtime, is_dir, hash, perceptual_hash, error) of the paths (path) of one batch, read by Spark; files that aren't there carry an error.
+
+    The batch's folders are listed, but only files of the batch's names are opened.
+    """
+    asked = [r.path for r in paths.select("path").where("path is not null").distinct().collect()]  # a batch, whose size the stream bounds
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    folders = [f for f in sorted({p.rsplit("/", 1)[0] or "/" for p in asked}) if at(f).getFileSystem(conf).exists(at(f))]
+    plain = F.regexp_replace("path", "^file:(//)?/", "/")
+    wanted = spark.createDataFrame([(p,) for p in asked], "path string").select(plain.alias("path"), F.col("path").alias("asked"))
+    rows = wanted.select("asked", F.lit(None).cast("long").alias("size"), F.lit(None).cast("timestamp").alias("mtime"), F.lit(None).cast("string").alias("hash"))
+    if folders:
+        names = sorted({n for p in asked for n in (p.rsplit("/", 1)[-1], quote(p.rsplit("/", 1)[-1]))})
+        found = spark.read.format("binaryFile").load(folders).where(F.col("_metadata.file_name").isin(names))
+        found = found.select(plain.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), content_hash(F.col("content"), algorithm).alias("hash"))
+        rows = wanted.join(found, "path", "left")
+    error = F.when(F.col("hash").isNull(), "File not found")
+    return rows.select(F.col("asked").alias("path"), "size", "mtime", F.lit(False).alias("is_dir"), "hash", F.lit(None).cast("string").alias("perceptual_hash"), error.alias("error"))
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mediacat.functions.paths import file_type, glob_type, mime_type, should_reprocess
+from mediacat.functions.paths import glob_type, should_reprocess
 from mediacat.functions.text import event_key
+from mediacat.operators import queue
 from mediacat.operators.ignore import is_ignored
-from mediacat.sources.library import read_table, write_table
+from mediacat.plans import jobs
+from mediacat.sources.library import describe_files
+from mediacat.sources.versioned import Catalog
 from mediacat.storage import stored
 
 # Priorities, and how much longer or shorter an event type is waited for.
@@ -30,14 +33,19 @@ def event_priority(event_type: Column) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for kv in PRIORITY.items() for x in kv))[event_type], F.lit(5))
 
 
-def debounce(df: DataFrame, base_ms: int = 2000, delay: str = DROP_AFTER) -> DataFrame:
-    """One row for each key once it has been quiet for its type's time: first_seen, last_seen, n. On a stream, later rows than the delay are dropped."""
+def session_wait(base_ms: int) -> Column:
+    """How long an event's type is waited for, as the gap of a session window."""
     wait = F.lit(f"{base_ms} milliseconds")
     for k, w in WAIT.items():
         wait = F.when(F.col("event_type") == k, F.lit(f"{int(base_ms * w)} milliseconds")).otherwise(wait)
+    return wait
+
+
+def debounce(df: DataFrame, base_ms: int = 2000, delay: str = DROP_AFTER) -> DataFrame:
+    """One row for each key once it has been quiet for its type's time: first_seen, last_seen, n. On a stream, later rows than the delay are dropped."""
     rows = df.withColumn("key", event_key(F.col("event_type"), F.col("src_path"), F.col("dest_path")))
     rows = rows.withWatermark("ts", delay) if df.isStreaming else rows
-    return rows.groupBy("key", "event_type", "src_path", "dest_path", F.session_window("ts", wait)).agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("n")).drop("session_window")
+    return rows.groupBy("key", "event_type", "src_path", "dest_path", F.session_window("ts", session_wait(base_ms))).agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("n")).drop("session_window")
 
 
 def batch_events(df: DataFrame, key: str = "source", idle: str = "5 seconds", size: int = 100, least_modified: int = 3, bucket_seconds: int = 600) -> DataFrame:
@@ -97,25 +105,38 @@ def event_stats(received: DataFrame, debounced: DataFrame) -> DataFrame:
     return both.withColumn("dropped", F.col("received") - F.col("debounced") - F.col("processed"))
 
 
-def catalog_sink(base: str, types: list[str] | None = None) -> Callable[[DataFrame, int], None]:
-    """For on_batch(): applies each batch of events to the files table under base.
+def catalog_sink(base: str, types: list[str] | None = None, describe: Callable[[SparkSession, DataFrame], DataFrame] = describe_files, stream: str = "events", index: str | None = None) -> Callable[[DataFrame, int], None]:
+    """For on_batch(): takes each batch of events (event_type, src_path, dest_path, is_directory, ts) into the catalog under base, in one commit.
 
-    New and moved-to paths become files to process, changed ones are processed again, deleted ones are marked and done. The last event
-    of a path in the batch counts; a batch given twice leaves the same table.
+    The last event of a path in the batch counts. New and moved-to paths are described (size, mtime, hash, perceptual_hash, error), held against the stored
+    files and elected as by jobs.ingest(): keepers become rows of files with a task each, duplicates and unreadable files only count in ingestion_logs. Changed
+    files that are stored get their new hash and size and a new task; deleted ones are marked and done. Only buckets that the
+    batch touches are written, and a batch given twice changes nothing. describe: another way to look at files, with fingerprints say.
     """
 
-    def apply(batch: DataFrame, _: int) -> None:
-        files = read_table(batch.sparkSession, base, "files")
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        catalog = Catalog(spark, base)
+        if catalog.manifest()["batches"].get(stream, -1) >= number:
+            return
         last = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("ts"), "event_type"))
         todo = apply_events(filter_events(batch), types).where("action <> 'none'").withColumn("__r", last).where("__r = 1")
-        todo = todo.select(F.col("path").alias("file_path"), "action", F.col("ts").alias("__ts"))
-        both = files.join(todo, "file_path", "full_outer")
-        gone, again = F.col("action") == "mark_deleted", F.col("action").isin("ingest", "reingest")
-        rows = both.where(F.col("id").isNotNull() | again).withColumns({
-            "file_type": F.coalesce("file_type", file_type(F.col("file_path"))), "mime_type": F.coalesce("mime_type", mime_type(F.col("file_path"))), "ingested_at": F.coalesce("ingested_at", F.col("__ts").cast("timestamp")),
-            "processed": F.when(gone, True).when(again, False).otherwise(F.col("processed")), "error": F.when(gone, "File not found").when(again, None).otherwise(F.col("error")), "id": F.coalesce("id", F.xxhash64("file_path")),
-        })
-        write_table(rows, base, "files")
+        todo = stored(todo.select(F.col("path").alias("file_path"), "action", F.col("ts").cast("timestamp").alias("__ts")), "sink-todo")
+        files = catalog.read("files")
+        ours = files.join(todo, "file_path")
+        gone = ours.where("action = 'mark_deleted'").withColumns({"processed": F.lit(True), "error": F.lit("File not found")})
+        seen = stored(describe(spark, todo.where("action <> 'mark_deleted'").select(F.col("file_path").alias("path"))), "sink-seen")
+        now = F.current_timestamp()
+        again = ours.where("action <> 'mark_deleted'").drop("file_hash", "file_size", "perceptual_hash", "error").join(
+            seen.select(F.col("path").alias("file_path"), F.col("hash").alias("file_hash"), F.col("size").alias("file_size"), "perceptual_hash", "error"), "file_path"
+        ).withColumn("processed", F.col("error").isNotNull())
+        elected, tasks, summary = jobs.ingest(seen.join(todo.where("action = 'ingest'").select(F.col("file_path").alias("path"), "__ts"), "path"), files, now, index=index)
+        fresh = jobs.stored_rows(elected, now)
+        columns = files.columns
+        changes = stored(gone.select(columns).unionByName(again.select(columns)).unionByName(fresh.select(columns)), "sink-files")
+        redo = queue.enqueue(again.where("error is null").select("id"), 5, now)
+        tasks = tasks.unionByName(redo).withColumns({"id": F.xxhash64("file_id", F.lit(stream), F.lit(number)), "retry_count": F.lit(0), **{c: F.lit(None).cast(t) for c, t in (("started_at", "timestamp"), ("completed_at", "timestamp"), ("error", "string"))}})
+        catalog.commit(upserts={"files": changes}, appends={"processing_queue": tasks, "ingestion_logs": jobs.ingestion_log(summary, now, now)}, stream=stream, batch=number)
 
     return apply
 

@@ -268,21 +268,6 @@ def test_the_vault_key_is_in_no_plan(spark):
     assert key not in vault._jdf.queryExecution().toString() + back._jdf.queryExecution().toString()
 
 
-def test_events_reach_the_catalog(spark, tmp_path):
-    base = str(tmp_path / "catalog")
-    files = spark.createDataFrame([(1, "/a.jpg", True), (2, "/b.nef", True), (3, "/c.jpg", True)], "id long, file_path string, processed boolean")
-    missing = [c for c in library.read_table.__globals__["TABLES"]["files"].split(", ") if c.split()[0] not in files.columns]
-    library.write_table(files.selectExpr("*", *(f"cast(null as {c.split()[1]}) as {c.split()[0]}" for c in missing)), base, "files")
-    events = [("created", "/new.jpg", None, 1), ("modified", "/b.nef", None, 2), ("modified", "/a.jpg", None, 2), ("deleted", "/c.jpg", None, 3), ("moved", "/x.jpg", "/y.jpg", 4), ("created", "/tmp.tmp", None, 5)]
-    rows = [(k, s, d, False, at(t)) for k, s, d, t in events]
-    spark.createDataFrame(rows, "event_type string, src_path string, dest_path string, is_directory boolean, ts timestamp").write.parquet(str(tmp_path / "log"))
-    stream = library.event_stream(spark, str(tmp_path / "log"), "event_type string, src_path string, dest_path string, is_directory boolean, ts timestamp", max_files=1)
-    for run in ("one", "two"):  # the second run gives all batches again
-        watch.on_batch(stream, watch.catalog_sink(base), str(tmp_path / run)).awaitTermination()
-        got = {r.file_path: (r.processed, r.error) for r in library.read_table(spark, base, "files").collect()}
-        assert got == {"/a.jpg": (True, None), "/b.nef": (False, None), "/c.jpg": (True, "File not found"), "/new.jpg": (False, None), "/y.jpg": (False, None)}
-
-
 def test_image_rows_from_pixels(spark):
     rng = np.random.default_rng(1)
     rgb = np.concatenate([rng.integers(0, 60, (300, 3)), np.tile([200, 30, 40], (500, 1))])
