@@ -3,7 +3,8 @@
 The items are the indexed collection, every passage of every training document is a query. A term's weight in an item is
 its BM25 impact divided by the item's own total, so a score is the share of the item (0 to 1) that the passage covers
 and one threshold serves all items. Postings carry their largest impact by blocks of items. Items come in portions of bounded
-size, each broadcast in turn, whatever the size of the benchmark; document frequencies count all items.
+size, each broadcast in turn, whatever the size of the benchmark; document frequencies count all items. How long passages are
+hangs on the item's own length alone, so neither other items nor the portions change what is found.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ SHINGLE = 5
 K1, B = 1.2, 0.75
 #: Items that share a block maximum: few, as items are long queries' worth of terms and bounds of many add up to anything.
 BLOCK = 4
+#: Items of at most SPAN words, of at most GROWTH times that, and so on, are searched with passages of twice as many words.
+SPAN, GROWTH = 64, 4
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 16_000_000
 WORD = re.compile(r"\w+")
@@ -49,6 +52,14 @@ def parts(item: list[str], text: str) -> tuple[list[str], list[str]]:
     return item[: len(item) - answer], item[len(item) - answer :]
 
 
+def span_of(n: int) -> int:
+    """Half the length of the passages that an item of n words is searched with."""
+    span = SPAN
+    while span < n:
+        span *= GROWTH
+    return span
+
+
 def shingles(w: list[str], width: int = SHINGLE) -> set[tuple[str, ...]]:
     return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
 
@@ -68,7 +79,7 @@ def shingle_hashes(terms: np.ndarray, width: int = SHINGLE) -> np.ndarray:
 
 
 class Index:
-    """Inverted index of a block of items: flat postings by term, and the largest impact of each term in each block of items that has it.
+    """Inverted index of items of one span: flat postings by term, and the largest impact of each term in each block of items that has it.
 
     Its size goes with the postings (a term in an item): 12 bytes each, as much for the block maxima, 8 for each shingle.
     """
@@ -88,7 +99,7 @@ class Index:
             docs.extend([d] * len(own))
             impacts.extend(x / total for x in own.values())
             self.ids.append(name)
-            self.span = max(self.span, len(w))
+            self.span = max(self.span, span_of(len(w)))
             for held, part in zip((self.question, self.answer), parts(w, text), strict=True):
                 held.append(np.unique(shingle_hashes(np.array([self.term[x] for x in part], np.int64))))
         term = np.frombuffer(terms, np.int32) if terms else np.empty(0, np.int32)
@@ -166,12 +177,11 @@ class Index:
             lists = moved
         return found
 
-    def hits(self, text: str | None, threshold: float, overlap: float) -> list[tuple]:
-        """(item_id, score, question overlap, answer overlap) of the items that the whole text leaks, best passage each.
+    def hits(self, w: list[str], threshold: float, overlap: float) -> list[tuple]:
+        """(item_id, score, question overlap, answer overlap) of the items that the whole text (its words) leaks, best passage each.
 
-        Passages are as long as two of the longest items and half of that apart, so each item fits into one.
+        Passages are two spans long and one apart, so each item fits into one.
         """
-        w = words(text)
         none = len(self.term)
         numbers = list(map(self.term.get, w, repeat(none)))
         terms = np.array(numbers, np.int64)
@@ -197,6 +207,14 @@ class Index:
         return [(self.ids[d], *x) for d, x in sorted(found.items())]
 
 
+def indexes(items: list[tuple], df: dict[str, int], n: int, mean: float) -> list[Index]:
+    """An index of each span's items."""
+    by_span: dict[int, list[tuple]] = {}
+    for name, text in items:
+        by_span.setdefault(span_of(len(words(text))), []).append((name, text))
+    return [Index(by_span[s], df, n, mean) for s in sorted(by_span)]
+
+
 def _blocks(items: DataFrame) -> Iterator[list[tuple]]:
     """The items, read one block of bounded size at a time."""
     numbered = items.withColumn("size", F.length("text")).repartitionByRange(max(1, -(-items.count() // BLOCK_ITEMS)), "item_id", "text")
@@ -223,7 +241,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
     """(doc_id, item_id, score, question_overlap, answer_overlap): every item that a document holds.
 
     A passage must score `threshold` or more of the item's own BM25 total, and hold `overlap` or more of the 5-word shingles
-    of its question and of its answer (an item or part of fewer words is one shingle). Null or wordless texts and items
+    of its question and of its answer (an item or part of fewer words is one shingle). What one item finds doesn't depend on the others but for its
+    terms' weights, nor on how items fall into portions. Null or wordless texts and items
     match nothing; an empty table gives no rows. Rows that share a doc_id are each searched; equal (item_id, text) rows of the
     benchmark count once. Other columns are ignored.
     """
@@ -238,17 +257,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
         own = {x for _, t in block for x in words(t)}
         vocabulary = spark.createDataFrame([(x,) for x in own or {""}], "t string")  # of one block
         df = {r.t: r["count"] for r in frequency.join(F.broadcast(vocabulary), "t").collect()}
-        shared = spark.sparkContext.broadcast(Index(block, df, n, mean))
+        shared = spark.sparkContext.broadcast(indexes(block, df, n, mean))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for b in batches:
-                out = [(name, *hit) for name, text in zip(b.column(0).to_pylist(), b.column(1), strict=True) for hit in index.hits(text.as_py(), threshold, overlap)]
+                out = []
+                for name, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    w = words(text.as_py())
+                    out += [(name, *hit) for index in shared.value for hit in index.hits(w, threshold, overlap)]
                 cols = list(zip(*out, strict=True)) or [[]] * 5
                 kinds = [pa.int64()] * 2 + [pa.float64()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        found.append(rows.mapInArrow(run, f"doc_id long, {FOUND}"))
+        # One portion after another: its hits are written before the next is broadcast.
+        found.append(stored(rows.mapInArrow(run, f"doc_id long, {FOUND}"), "leaks"))
+        shared.destroy()
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], f"doc_id long, {FOUND}")
 
 

@@ -24,7 +24,7 @@ RANKS = 200
 #: A block has this many words of 64 terms; a tile of levels is compared with all others at once.
 WORDS, TILE = 4, 256
 #: Bytes of text whose terms are counted together in a task.
-BATCH_BYTES = 1 << 24
+BATCH_BYTES = 1 << 23
 #: What a byte is part of, in lower case: a letter, or a byte of a character beyond ASCII; 32 is between terms.
 LOWER = np.full(256, 32, np.uint8)
 LOWER[65:91] = LOWER[97:123] = range(97, 123)

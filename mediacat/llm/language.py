@@ -23,31 +23,34 @@ from mediacat.llm.common import partitions, stored, table
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLE = 1500
 ROUNDS = 3
-LONGEST = 12
 SMOOTH = 0.1
 CACHED = 200_000
 UNKNOWN = "und"
 MARK = "▁"
-#: A word; longer runs of letters are cut.
-LETTERS = re.compile(r"[^\W\d_]{1,1000}")
+#: Characters that count as numbers and are neither digits nor letters, such as those for a half or a square.
+NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+#: A word, of letters only, whatever its length.
+LETTERS = re.compile(f"[^\\W\\d_{NUMBERS}]+")
 
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str | None = None) -> tuple[int, dict[str, int]]:
     """How many pieces there are, and a trie: piece to number, and -1 for what only starts pieces.
 
-    The pieces are those of the public vocabulary, lower-cased, of at most LONGEST characters.
+    The pieces are those of the public vocabulary, lower-cased.
     """
     import public_tokenizers
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(VOCABULARY))
     pieces = (model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i)))
-    return trie(p for p in pieces if len(p) <= LONGEST)
+    return trie(pieces)
 
 
 def trie(pieces: Iterable[str]) -> tuple[int, dict[str, int]]:
     numbers = {p: i for i, p in enumerate(dict.fromkeys(pieces))}
+    if max(map(len, numbers), default=0) > 255:
+        raise ValueError("a piece of more than 255 characters")
     return len(numbers), {p[:k]: -1 for p in numbers for k in range(1, len(p))} | numbers
 
 
@@ -69,20 +72,20 @@ def lattice(words: list[str], pieces: tuple[int, dict[str, int]]) -> tuple[np.nd
         n = len(s)
         for i in range(n):
             p = get(s[i], -1)
-            add((p if p >= 0 else none) << 20 | i << 10 | 1)
-            for j in range(i + 2, min(n, i + LONGEST) + 1):
+            add((p if p >= 0 else none) << 44 | i << 8 | 1)
+            for j in range(i + 2, n + 1):
                 p = get(s[i:j])
                 if p is None:
                     break
                 if p >= 0:
-                    add(p << 20 | i << 10 | j - i)
+                    add(p << 44 | i << 8 | j - i)
         ends.append(len(arcs))
     a = np.array(arcs, np.int64)
     w = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
-    i = a >> 10 & 1023
-    j = i + (a & 1023)
+    i = a >> 8 & (1 << 36) - 1
+    j = i + (a & 255)  # no piece is longer
     order = np.argsort(j, kind="stable")
-    return w[order], i[order], j[order], (a >> 20)[order], np.fromiter(map(len, words), np.int64, len(words)) + 1
+    return w[order], i[order], j[order], (a >> 44)[order], np.fromiter(map(len, words), np.int64, len(words)) + 1
 
 
 def _slices(to: np.ndarray) -> list[slice]:
@@ -212,7 +215,7 @@ class Scorer:
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | None = None) -> DataFrame:
     """docs with lang_pred and score (the language's posterior, 0 to 1); und and 0 for a null text, one without letters, or no language learned.
 
-    Only the text is looked at. Columns of docs that have these two names already are replaced.
+    Of languages with one probability the first in code-point order is taken. Only the text is looked at. Columns of docs that have these two names already are replaced.
     """
     langs, logp = model
     shared = docs.sparkSession.sparkContext.broadcast((langs, logp.astype(np.float32)))
@@ -241,7 +244,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_language(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.5) -> DataFrame:
-    """docs whose language is found with at least this score; all their columns as they were."""
+    """docs whose language is found with at least this score; all their columns as they were.
+
+    Null texts and texts without letters go. Rows are judged each for itself, so rows that repeat stay or go together; an empty table stays empty, and
+    without a learned language nothing stays.
+    """
     kept = identify(docs.withColumnsRenamed({c: f"c_{c}" for c in docs.columns}).withColumn("text", F.col("c_text")), model)
     kept = kept.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return kept.select(*(F.col(f"`c_{c}`").alias(c) for c in docs.columns))

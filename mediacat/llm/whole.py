@@ -19,7 +19,7 @@ def scaled(vector: Column, scale: int) -> Column:
     """array<double> of floor(scale * x); null for vectors that are null or hold a null or non-finite component, also after scaling."""
     x = F.transform(vector, lambda c: c.cast("double") * scale)
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    down = lambda c: c - c % 1.0 - F.when(c % 1.0 < 0, 1.0).otherwise(0.0)  # noqa: E731  floor() gives a long
+    down = lambda c: c - c % 1.0 - F.when(c % 1.0 < 0, 1.0).otherwise(0.0) + 0.0  # noqa: E731  floor() gives a long; no minus zero
     return F.when(fine, F.transform(x, down))
 
 

@@ -253,3 +253,34 @@ def test_queries_against_sql(spark, name):
     names = [x[0] for x in r.description]
     df = queries.QUERIES[name](spark, DATA)
     assert sorted(map(tuple, df.select(names).collect())) == sorted(r.fetchall())
+
+
+# 10
+def test_words_are_letters_only():
+    from mediacat.llm import language
+
+    assert language.words_of("x² ½ ① 12 ab_c Ⅳ 一二 é٣") == {"x": 1, "ab": 1, "c": 1, "一二": 1, "é": 1}
+    long = "ab" * 2000
+    assert language.words_of(long) == {long: 1}
+    for w in language.words_of("²½ naïve straße 日本語 ⑨z x́"):
+        assert w.isalpha()
+
+
+def test_all_pieces_of_the_vocabulary_count():
+    import sentencepiece
+
+    from mediacat.llm import language
+
+    n, known = language.vocabulary()
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    names = {model.id_to_piece(i).lower() for i in range(259, model.get_piece_size())}
+    assert n == len(names) and names == {p for p, i in known.items() if i >= 0}
+    logp = np.full((n + 1, 1), -np.log(n + 1))
+    words = ["responsibilities", "ab" * 3000]
+    found = language.forward(words, (n, known), logp)
+    for w, got in zip(words, found[:, 0], strict=True):  # the sum over all segmentations, plainly
+        s, total = "▁" + w, [0.0]
+        for j in range(1, len(s) + 1):
+            arcs = [total[i] + logp[0, 0] for i in range(max(0, j - 20), j) if j - i == 1 or known.get(s[i:j], -1) >= 0]
+            total.append(np.logaddexp.reduce(arcs))
+        assert abs(total[-1] - got) < 1e-6 * abs(total[-1])

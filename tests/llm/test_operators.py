@@ -66,20 +66,22 @@ def test_index_of_a_full_portion_stays_small():
     df = Counter(w for _, t in items for w in set(t.split()))
     index = decontaminate.Index(items, df, len(items), 60.0)
     assert len(pickle.dumps(index)) < 64e6
-    assert [d for d, *_ in index.hits("a b " + items[77][1] + " c", 0.6, 0.8)] == [77]
+    assert [d for d, *_ in index.hits(("a b " + items[77][1] + " c").split(), 0.6, 0.8)] == [77]
 
 
 def plain_leaks(text, items, threshold, overlap):
     """Item ids that the text leaks, by the definition."""
     ws = {i: decontaminate.words(t) for i, t in items if decontaminate.words(t)}
     df, n, mean = Counter(x for w in ws.values() for x in set(w)), len(ws), sum(map(len, ws.values())) / len(ws)
-    span, out = max(map(len, ws.values())), set()
+    out = set()
     w = decontaminate.words(text)
-    for a in range(0, max(1, len(w) - span), span):
-        passage = w[a : a + 2 * span]
-        have = decontaminate.shingles(passage)
-        for i, t in items:
-            if i in ws:
+    for span in (4, 16, 64):
+        for a in range(0, max(1, len(w) - span), span):
+            passage = w[a : a + 2 * span]
+            have = decontaminate.shingles(passage)
+            for i, t in items:
+                if i not in ws or not span // 4 < max(len(ws[i]), 2) <= span:
+                    continue
                 tf = Counter(ws[i])
                 own = {x: np.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(ws[i]) / mean)) for x, c in tf.items()}
                 q, x = (decontaminate.shingles(part) for part in decontaminate.parts(ws[i], t))
@@ -89,7 +91,8 @@ def plain_leaks(text, items, threshold, overlap):
     return out
 
 
-def test_leaks_equal_the_definition(spark):
+def test_leaks_equal_the_definition(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SPAN", 4)  # items of this test in three spans
     rng = random.Random(9)
     words = [f"t{i}" for i in range(40)]
     prose = lambda n: [rng.choice(words) for _ in range(n)]
@@ -108,6 +111,23 @@ def test_leaks_equal_the_definition(spark):
         want = {(i, x) for i, t in docs for x in plain_leaks(t, items, threshold, overlap)}
         df = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), threshold, overlap)
         assert {(r.doc_id, r.item_id) for r in df.collect()} == want and len(want) > 30
+    # Portions, and long items beside, change nothing but weights.
+    d, b = spark.createDataFrame(docs[:40], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: sorted((r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in decontaminate.leaks(d, b).collect())
+    one = found()
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
+    assert found() == one and one
+
+
+def test_a_long_item_doesnt_hide_a_short_one(spark):
+    rng = random.Random(12)
+    some = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    short, long = some(20), some(800)
+    text = some(70) + " " + " ".join(short.split()[:18]) + " " + some(70)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    alone = decontaminate.leaks(docs, spark.createDataFrame([(1, short)], "item_id long, text string")).count()
+    both = decontaminate.leaks(docs, spark.createDataFrame([(1, short), (2, long)], "item_id long, text string")).count()
+    assert alone == both
 
 
 def test_leaks(spark):
@@ -256,7 +276,7 @@ def plain_search(rows):
     for a, (i, e) in enumerate(known):
         if i is not None and i % 50 == 0:
             near = sorted((-sum(x * y for x, y in zip(e, f, strict=True)), j is None, j) for b, (j, f) in enumerate(known) if b != a and len(f) == len(e))[:5]
-            yield from ((i, r + 1, j, max(-(1 << 63) + 1, min((1 << 63) - 1, -s))) for r, (s, _, j) in enumerate(near))
+            yield from ((i, r + 1, j, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, _, j) in enumerate(near))
 
 
 def test_search(spark):
@@ -273,6 +293,7 @@ def test_search(spark):
 def test_search_beyond_longs(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 10.0 ** rng.integers(-3, 12), 3)]) for i in range(200)]
+    rows += [(200, [1e15, 0.0, 0.0]), (201, [1e16, 0.0, 0.0]), (250, [1.0, 0.0, 0.0]), (202, [1e35, 1.0, 0.0]), (203, [1e35, -1e30, 2.0])]  # far beyond a long
     v = va_file.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     assert sorted(map(tuple, va_file.search(v, v.where("vec_id % 50 = 0")).collect()), key=repr) == sorted(plain_search(rows), key=repr)
 
