@@ -71,7 +71,7 @@ def _each_tile(blocks: DataFrame, pairs: DataFrame, work, schema: str) -> DataFr
     """work(ids, v, core, ids, v, core, same block) on both blocks of every pair, a pair to a group."""
     ends = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side")))).alias("e"))
     ends = ends.select("a", "b", "e.block", "e.side").where("a <> b or side = 0")
-    rows = blocks.join(F.broadcast(ends), "block")
+    rows = blocks.join(ends, "block")  # the pairs of blocks may be many: no broadcast
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sides = []
@@ -86,13 +86,15 @@ def _each_tile(blocks: DataFrame, pairs: DataFrame, work, schema: str) -> DataFr
 def cluster_vectors(df: DataFrame, eps: float = 0.5, min_samples: int = 2, id: str = "id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, cluster): density clusters of standardised vectors, numbered by their first core row; noise gets -1, -2, ... in order of id.
 
-    Distances up to eps count, a point counts itself. A border point joins the lowest-numbered cluster next to it. One vector alone is cluster 0.
+    df (id, embedding). Rows whose vector is null or holds a null or NaN have no cluster (null), and count nowhere. Distances up to eps count, a point counts itself. A border point joins the lowest-numbered cluster next to it. One vector alone is cluster 0.
     Blocks of points are compared pair by pair, unless their boxes lie apart; each pair gives counts, then a forest of links between
     its core points and, for its other points, the trees they touch: never all pairs of points.
     """
-    points = stored(standardize(df, id), "points")
+    fine = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x))
+    odd = df.where(~fine | fine.isNull()).select(F.col(id).alias("id"), F.lit(None).cast("long").alias("cluster"))
+    points = stored(standardize(df.where(fine), id), "points")
     if points.count() < 2:
-        return points.select("id", F.lit(0).cast("long").alias("cluster"))
+        return points.select("id", F.lit(0).cast("long").alias("cluster")).unionByName(odd)
     kind = points.schema["id"].dataType.simpleString()
     blocks = stored(_blocks(points, block_rows).withColumn("core", F.lit(False)), "blocks")
     pairs = stored(_tile_pairs(blocks, eps), "tiles")
@@ -125,7 +127,7 @@ def cluster_vectors(df: DataFrame, eps: float = 0.5, min_samples: int = 2, id: s
     border = found.where("not inner").join(labelled.select(F.col("id").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("near"))
     all_ = stored(points.select("id").join(labelled, "id", "left").join(border, "id", "left").select("id", F.coalesce("cluster", "near").alias("cluster")), "clusters")
     noise = row_numbers(all_.where("cluster is null").select("id"), ["id"], "n").select("id", (-F.col("n")).cast("long").alias("cluster"))
-    return all_.where("cluster is not null").unionByName(noise)
+    return all_.where("cluster is not null").unionByName(noise).unionByName(odd)
 
 
 def person_rollup(faces: DataFrame, files: DataFrame) -> DataFrame:

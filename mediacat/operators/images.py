@@ -66,8 +66,8 @@ def average_hash(luma8x8: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(61), F.lit(4)), lambda i: F.lower(F.conv(F.array_join(F.slice(bits, i, 4), ""), 2, 16))), "")
 
 
-def fingerprint(df: DataFrame, luma: str = "luma", size: int = 32) -> DataFrame:
-    """df with perceptual_hash a:p:d:w from size x size luminance, 16 hex digits each.
+def fingerprint(df: DataFrame, luma: str = "luma", size: int = 32, parts: int = 2) -> DataFrame:
+    """df with perceptual_hash from size x size luminance, 16 hex digits each: a:p, as the catalog keeps them, or with 4 parts a:p:d:w.
 
     a: block means over their mean; p: low cosine terms over their median; d: each of 8 rows of 9 area means, which grow to
     the right; w: block means over their median (the low Haar wavelet terms, whose common part cancels).
@@ -91,7 +91,7 @@ def fingerprint(df: DataFrame, luma: str = "luma", size: int = 32) -> DataFrame:
                 small = img.reshape(8, size // 8, 8, size // 8).mean(axis=(1, 3))
                 low = basis @ img @ basis.T
                 wide = img.reshape(8, size // 8, size).mean(axis=1) @ nine.T
-                out.append(":".join(map(digits, (small > small.mean(), low > np.median(low), wide[:, 1:] > wide[:, :-1], small > np.median(small)))))
+                out.append(":".join(map(digits, (small > small.mean(), low > np.median(low), wide[:, 1:] > wide[:, :-1], small > np.median(small))[:parts])))
             yield b.assign(perceptual_hash=out)
 
     return df.mapInPandas(run, StructType([*df.schema.fields]).add("perceptual_hash", "string"))

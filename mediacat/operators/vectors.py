@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediacat.functions.vectors import doubles, norm, normalize, similarity
+from mediacat.functions.vectors import doubles, norm, similarity
+from mediacat.storage import stored
 
 QUERY_BYTES = 32 << 20
+#: Rows that centroids are fitted on, rounds of fitting, and rows of the sample whose neighbours decide how many lists are probed.
+SAMPLE, ROUNDS, JUDGES = 20_000, 8, 200
+#: Candidates that are scored exactly, for each of the k asked for.
+EXACT = 4
+
+
+def _bytes(df: DataFrame, v: str) -> int:
+    return int(df.agg(F.sum(F.size(v) * 8 + 32)).first()[0] or 0)
+
+
+def _sides(queries: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, q) and (file_id, v) of the rows that have a length."""
+    q = queries.select(F.col("id").alias("query_id"), doubles(F.col("embedding")).alias("q")).where(norm(F.col("q")) > 0)
+    return q, vectors.select("file_id", doubles(F.col("embedding")).alias("v")).where(norm(F.col("v")) > 0)
 
 
 def _scored(queries: DataFrame, vectors: DataFrame, metric: str) -> DataFrame:
     """(query_id, file_id, similarity) of all pairs; rows of zero length take no part.
 
-    The queries are a stated set: they are broadcast while they stay under QUERY_BYTES, and else joined in blocks of that size.
+    The smaller side is broadcast while it stays under QUERY_BYTES. The queries are a stated set: if neither side is so small, they are joined in
+    blocks of that size.
     """
-    q = queries.select(F.col("id").alias("query_id"), doubles(F.col("embedding")).alias("q")).where(norm(F.col("q")) > 0)
-    v = vectors.select("file_id", doubles(F.col("embedding")).alias("v")).where(norm(F.col("v")) > 0)
-    size = q.agg(F.sum(F.size("q") * 8 + 32)).first()[0] or 0
+    q, v = _sides(queries, vectors)
+    size, other = _bytes(q, "q"), _bytes(v, "v")
+    if other < size and other <= QUERY_BYTES:
+        pairs = q.join(F.broadcast(v), F.size("v") == F.size("q"))
+        return pairs.select("query_id", "file_id", F.round(similarity(F.col("q"), F.col("v"), metric), 6).alias("similarity"))
     blocks = int(size // QUERY_BYTES) + 1
     pairs = None
     for k in range(blocks):
@@ -42,20 +62,146 @@ def find_similar(queries: DataFrame, vectors: DataFrame, threshold: float = 0.6)
     return _scored(queries, vectors, "cosine").where(F.col("similarity") >= threshold)
 
 
-def search_approx(queries: DataFrame, vectors: DataFrame, k: int = 10, distance: float = 1.0, bucket_length: float = 0.5, tables: int = 8, seed: int = 7) -> DataFrame:
-    """Approximate top-k: random-projection buckets on unit vectors find candidates, which are ranked exactly."""
-    unit = lambda df, name: df.select(F.col(name).alias("id"), array_to_vector(normalize(F.col("embedding"))).alias("unit"))
-    lsh = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed)
-    q, v = unit(queries, "id"), unit(vectors, "file_id")
-    pairs = lsh.fit(v).approxSimilarityJoin(q, v, distance, "d").select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("file_id"), F.round(1 - F.col("d") * F.col("d") / 2, 6).alias("similarity"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "file_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-300)[:, None]
+
+
+def fit_lists(vectors: DataFrame, lists: int | None = None, recall: float = 0.95, k: int = 10, seed: int = 7) -> tuple[np.ndarray, int]:
+    """(centroids, probes) of vectors (file_id, embedding): directions that k-means finds in a bounded sample, and the fewest lists next to a query that hold
+    `recall` of the neighbours of the sample's own rows. lists: the square root of the number of rows, unless given. Vectors have one number of components.
+    """
+    v = vectors.select("file_id", doubles(F.col("embedding")).alias("v")).where(norm(F.col("v")) > 0)
+    n = v.count()
+    share = int((1 << 30) * min(1.0, SAMPLE / max(1, n)))
+    rows = v.where(F.pmod(F.xxhash64("file_id", "v"), F.lit(1 << 30)) < share).select("v").limit(2 * SAMPLE).collect() if n else []
+    if not rows:
+        return np.zeros((0, 0)), 0
+    x, rng = _unit(np.array([r.v for r in rows])), np.random.default_rng(seed)
+    lists = min(len(x), lists or max(1, int(n**0.5)))
+    centres = x[rng.choice(len(x), lists, replace=False)]
+    for _ in range(ROUNDS):
+        own = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        centres = np.where(np.bincount(own, minlength=lists)[:, None] > 0, _unit(sums), centres)
+    own, judges = (x @ centres.T).argmax(axis=1), rng.choice(len(x), min(JUDGES, len(x)), replace=False)
+    place = np.argsort(np.argsort(-(x[judges] @ centres.T), axis=1), axis=1)  # how near each list is to each judge
+    scores = x[judges] @ x.T
+    scores[np.arange(len(judges)), judges] = -np.inf
+    near = np.argsort(-scores, axis=1)[:, : min(k, len(x) - 1)]
+    reached = np.sort(np.take_along_axis(place, own[near], axis=1).ravel())
+    return centres, int(reached[min(len(reached) - 1, int(np.ceil(recall * len(reached))) - 1)]) + 1 if len(reached) else 1
+
+
+def file_in_lists(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """(list, file_id, code) of all vectors (file_id, embedding) with a length: the nearest centroid, and the direction in a byte a component; sorted by list."""
+    v = vectors.select(F.col("file_id").cast("long").alias("file_id"), doubles(F.col("embedding")).alias("v")).where(norm(F.col("v")) > 0)
+    shared = v.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _unit(np.array(b.column(1).to_pylist(), np.float64)) if b.num_rows else np.zeros((0, shared.value.shape[1]))
+            codes = np.rint(x * 127).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array((x @ shared.value.T).argmax(axis=1) if len(x) else [], pa.int32()), b.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], ["list", "file_id", "code"])
 
+    filed = v.mapInArrow(run, "list int, file_id long, code binary")
+    return stored(filed.repartitionByRange("list", "file_id").sortWithinPartitions("list", "file_id"), "lists")
 
-def match_persons(faces: DataFrame, gallery: DataFrame, threshold: float = 0.6, best: bool = True) -> DataFrame:
-    """(face_id, person_id, similarity): the best hit of each person from the threshold on, best first; or, best=False, only the first person by id with any hit."""
-    hits = _scored(faces, gallery.select(F.col("person_id").alias("file_id"), "embedding"), "cosine").where(F.col("similarity") >= threshold)
-    persons = hits.groupBy(F.col("query_id").alias("face_id"), F.col("file_id").alias("person_id")).agg(F.max("similarity").alias("similarity"))
+
+def approx_candidates(queries: DataFrame, filed: DataFrame, centres: np.ndarray, probes: int, n: int) -> DataFrame:
+    """(query_id, file_id): the n best of each query by their codes, of the rows in the `probes` lists next to it. queries (id, embedding) are a stated set, in blocks of QUERY_BYTES."""
+    q = queries.select(F.col("id").cast("long").alias("query_id"), doubles(F.col("embedding")).alias("q")).where(norm(F.col("q")) > 0)
+    blocks, found = _bytes(q, "q") // QUERY_BYTES + 1, None
+    for at in range(blocks if len(centres) else 0):
+        rows = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == at)).collect()  # one block
+        if not rows:
+            continue
+        x = _unit(np.array([r.q for r in rows]))
+        near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
+        by_list = [np.flatnonzero((near == c).any(axis=1)) for c in range(len(centres))]
+        shared = filed.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in rows]), x.astype(np.float32), by_list))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, x, by_list = shared.value
+            best_id, best = np.zeros((len(ids), n), np.int64), np.full((len(ids), n), -np.inf, np.float32)
+            for b in batches:
+                lists, files = b.column(0).to_numpy(), b.column(1).to_numpy()
+                codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int8).reshape(b.num_rows, -1).astype(np.float32)
+                for c in np.unique(lists).tolist():
+                    here, who = np.flatnonzero(lists == c), by_list[c]
+                    for part in (here[i : i + 4096] for i in range(0, len(here), 4096)):
+                        scores = np.concatenate([best[who], x[who] @ codes[part].T], axis=1)
+                        names = np.concatenate([best_id[who], np.broadcast_to(files[part], (len(who), len(part)))], axis=1)
+                        top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+                        best[who], best_id[who] = np.take_along_axis(scores, top, axis=1), np.take_along_axis(names, top, axis=1)
+            i, j = np.nonzero(best > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(best_id[i, j]), pa.array(best[i, j])], ["query_id", "file_id", "near"])
+
+        part = filed.mapInArrow(run, "query_id long, file_id long, near float")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return filed.sparkSession.createDataFrame([], "query_id long, file_id long")
+    w = Window.partitionBy("query_id").orderBy(F.desc("near"), "file_id")
+    return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).select("query_id", "file_id")
+
+
+def search_approx(queries: DataFrame, vectors: DataFrame, k: int = 10, lists: int | None = None, probes: int | None = None, recall: float = 0.95, exact: int = EXACT) -> DataFrame:
+    """(query_id, file_id, similarity, rank): approximate top-k by cosine. queries (id, embedding), vectors (file_id, embedding) of one number of components.
+
+    Every vector is filed in the list of its nearest centroid. Of the lists next to a query only small codes are read, and exact * k candidates are
+    compared exactly. probes: how many lists; without it, what the sample needs for `recall`, which is few where vectors have a structure and most where they have none.
+    """
+    centres, needed = fit_lists(vectors, lists, recall, k)
+    candidates = stored(approx_candidates(queries, file_in_lists(vectors, centres), centres, probes or needed, exact * k), "candidates")
+    q, v = _sides(queries, vectors)
+    pairs = candidates.join(v, "file_id").join(q, "query_id").select("query_id", "file_id", F.round(similarity(F.col("q"), F.col("v"), "cosine"), 6).alias("similarity"))
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "file_id"))).where(F.col("rank") <= k)
+
+
+def _hits_by_blocks(faces: DataFrame, gallery: DataFrame, threshold: float, block_bytes: int) -> DataFrame:
+    """(face_id, person_id, similarity) of two large sides: each pair of blocks meets in a group of its own, which gives the best of each face and person."""
+    q, v = _sides(faces, gallery)
+    n = {"i": _bytes(q, "q") // block_bytes + 1, "j": _bytes(v, "v") // block_bytes + 1}
+    dealt = lambda df, own, other, key: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n[own])).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n[other] - 1))))
+    q, v = dealt(q, "i", "j", "q"), dealt(v, "j", "i", "v")
+    schema = f"face_id {q.schema['query_id'].dataType.simpleString()}, person_id {v.schema['file_id'].dataType.simpleString()}, similarity double"
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = {"face_id": [], "person_id": [], "similarity": []}
+        left, right = (t.column(c).to_pylist() for t, c in ((a, "q"), (b, "v")))
+        for dim in {len(x) for x in left} & {len(x) for x in right}:
+            i, j = (np.array([n for n, x in enumerate(side) if len(x) == dim]) for side in (left, right))
+            persons = b.column("file_id").take(pa.array(j)).combine_chunks().dictionary_encode()
+            order = np.argsort(persons.indices.to_numpy(), kind="stable")
+            of = persons.indices.to_numpy()[order]
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            y = _unit(np.array([right[k] for k in j[order]]))
+            for at in range(0, len(i), 1024):
+                rows = i[at : at + 1024]
+                best = np.maximum.reduceat(np.round(_unit(np.array([left[k] for k in rows])) @ y.T, 6), first, axis=1)
+                f, p = np.nonzero(best >= threshold)
+                out["face_id"].append(a.column("query_id").take(pa.array(rows[f])).combine_chunks())
+                out["person_id"].append(persons.dictionary.take(pa.array(of[first][p])))
+                out["similarity"].append(pa.array(best[f, p]))
+        kinds = (a.schema.field("query_id").type, b.schema.field("file_id").type, pa.float64())
+        return pa.table({name: pa.chunked_array(parts, kind) for (name, parts), kind in zip(out.items(), kinds, strict=True)})
+
+    return q.groupBy("i", "j").cogroup(v.groupBy("i", "j")).applyInArrow(run, schema)
+
+
+def match_persons(faces: DataFrame, gallery: DataFrame, threshold: float = 0.6, best: bool = True, block_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(face_id, person_id, similarity): the best hit of each person from the threshold on, best first; or, best=False, only the first person by id with any hit.
+
+    faces (id, embedding), gallery (person_id, embedding). The smaller side is broadcast if it is under block_bytes; two large sides meet block by block, each pair of
+    blocks in a task, which gives the best of each face and person in it.
+    """
+    named = gallery.select(F.col("person_id").alias("file_id"), "embedding")
+    q, v = _sides(faces, named)
+    if min(_bytes(q, "q"), _bytes(v, "v")) > block_bytes:
+        hits = _hits_by_blocks(faces, named, threshold, block_bytes)
+    else:
+        hits = _scored(faces, named, "cosine").where(F.col("similarity") >= threshold).select(F.col("query_id").alias("face_id"), F.col("file_id").alias("person_id"), "similarity")
+    persons = hits.groupBy("face_id", "person_id").agg(F.max("similarity").alias("similarity"))
     order = [F.desc("similarity"), F.col("person_id")] if best else [F.col("person_id")]
     ranked = persons.withColumn("rank", F.row_number().over(Window.partitionBy("face_id").orderBy(*order)))
     return ranked if best else ranked.where("rank = 1")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from inspect import Parameter, Signature
 
+import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from mediacat.functions.paths import file_type, mime_type
 from mediacat.functions.records import metadata_projection
@@ -37,6 +40,48 @@ def score_with(df: DataFrame, make_fn: Callable[[], Callable[[pd.DataFrame], pd.
     return df.mapInPandas(run, StructType([*schema.fields, StructField("error", StringType())]))
 
 
+def predict_with(df: DataFrame, make_predict: Callable[[], Callable[..., np.ndarray]], inputs: list[str], batch_size: int = 256, output: str = "prediction") -> DataFrame:
+    """df with a numeric model's prediction (double) and error (string) for each row. make_predict() loads the model once in a Python worker and gives a function of
+    arrays, one for each input column (numbers, or arrays of numbers of one length), to an array of numbers.
+
+    Where a batch fails, its rows are tried one by one, and a row that fails has its error and no prediction. Rows with a null input aren't given to the model.
+    """
+
+    def make() -> Callable[..., list[dict]]:
+        predict = make_predict()
+
+        def run(*columns: np.ndarray) -> list[dict]:
+            try:
+                return [{"value": float(x), "error": ""} for x in predict(*columns)]
+            except Exception:  # noqa: BLE001 - one row's fault must not end the job
+                out = []
+                for i in range(len(columns[0])):
+                    try:
+                        out.append({"value": float(predict(*(c[i : i + 1] for c in columns))[0]), "error": ""})
+                    except Exception as e:  # noqa: BLE001
+                        out.append({"value": float("nan"), "error": str(e) or type(e).__name__})
+                return out
+
+        # The number of inputs is read off the function.
+        run.__signature__ = Signature([Parameter(f"c{n}", Parameter.POSITIONAL_ONLY) for n in range(len(inputs))])
+        return run
+
+    fields = df.schema
+    shapes = {}
+    for n, c in enumerate(inputs):
+        if isinstance(fields[c].dataType, ArrayType):
+            size = df.where(F.col(c).isNotNull()).agg(F.max(F.size(c))).first()[0] or 1
+            shapes[n] = [int(size)]
+    types = StructType([StructField("value", DoubleType()), StructField("error", StringType())])
+    score = predict_batch_udf(make, return_type=types, batch_size=batch_size, input_tensor_shapes=shapes or None)
+    given = F.lit(True)
+    for c in inputs:
+        given = given & F.col(c).isNotNull()
+    asked, rest = df.where(given), df.where(~given)
+    done = asked.withColumn("__p", score(*inputs)).select(*df.columns, F.when(F.col("__p.error") == "", F.col("__p.value")).alias(output), F.nullif("__p.error", F.lit("")).alias("error"))
+    return done.unionByName(rest.select(*df.columns, F.lit(None).cast("double").alias(output), F.lit("a null input").alias("error")))
+
+
 def ingest(listing: DataFrame, files: DataFrame, as_of: Column, hash_col: str = "hash", index: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new files with keeper, duplicate_of, score and error; their tasks; a summary row). listing (path, size, mtime, is_dir, hash, perceptual_hash).
 

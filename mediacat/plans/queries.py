@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediacat.functions import geo, paths, records, text, vectors
-from mediacat.operators import bursts, catalog, clustering, dedup, ignore, images, places, queue, sensitivity, video
+from mediacat.operators import bursts, catalog, clustering, dedup, ignore, images, places, queue, sensitivity, vault, video
 from mediacat.operators import vectors as search
 from mediacat.plans import jobs
 from mediacat.sources import library
+from mediacat.sources.versioned import Catalog
 from mediacat.storage import fresh_dir, table
 from mediacat.streaming import watch
 
@@ -171,10 +173,9 @@ def _(spark, d):
     return catalog.mark_orphans(f, f.where("id % 3 = 0").select(F.col("file_path").alias("path")), "/lib/d3").select("id", "processed")
 
 
-@query("exact_matches", f"SELECT a.id AS left_id, b.id AS right_id FROM {_FILES} a JOIN {_FILES} b ON a.file_hash = b.file_hash AND a.file_path <> b.file_path WHERE a.id % 10 = 0")
+@query("exact_matches", f"SELECT a.id AS left_id, b.id AS right_id FROM {_FILES} a JOIN {_FILES} b ON a.file_hash = b.file_hash AND a.file_path <> b.file_path")
 def _(spark, d):
-    f = files(spark, d)
-    return catalog.exact_matches(f.where("id % 10 = 0"), f)
+    return catalog.exact_matches(files(spark, d), files(spark, d))
 
 
 @query("content_classes", f"SELECT a.id, a.file_hash, b.class_id, b.class_size FROM {_FILES} a LEFT JOIN (SELECT file_hash, min(id) AS class_id, count(*) AS class_size FROM {_FILES} GROUP BY file_hash) b ON a.file_hash = b.file_hash")
@@ -306,11 +307,37 @@ def _(spark, d):
     return catalog.media_stats(files(spark, d).select(paths.file_type(F.col("file_path")).alias("file_type"), (F.col("id") % 4).alias("faces"), F.when(F.col("id") % 9 == 0, "x").alias("error")))
 
 
+@query("predict_with", "SELECT vec_id, round(sqrt(list_inner_product([CAST(x AS DOUBLE) for x in embedding], [CAST(x AS DOUBLE) for x in embedding])) * label, 6) AS prediction FROM embeddings")
+def _(spark, d):
+    def load():
+        return lambda v, label: np.sqrt((v * v).sum(axis=1)) * label
+
+    e = table(spark, d, "embeddings").select("vec_id", vectors.doubles(F.col("embedding")).alias("v"), F.col("label").cast("double").alias("label"))
+    return jobs.predict_with(e, load, ["v", "label"]).select("vec_id", F.round("prediction", 6).alias("prediction"))
+
+
 @query("unprocessed", f"SELECT id FROM {_DOCS} WHERE NOT processed")
 def _(spark, d):
     return catalog.unprocessed(fixture(spark, d, DOCS)).select("id")
 
 
+@query("unprocessed_since", f"SELECT id FROM {_TASKS} WHERE status <> 'completed' AND created_at >= TIMESTAMP '1996-01-01'")
+def _(spark, d):
+    rows = fixture(spark, d, TASKS).select("id", (F.col("status") == "completed").alias("processed"), F.col("created_at").cast("timestamp").alias("ingested_at"))
+    return catalog.unprocessed(rows, F.lit("1996-01-01").cast("timestamp")).select("id")
+
+
+@query("recent", f"SELECT id FROM {_TASKS} WHERE created_at >= TIMESTAMP '1997-06-01' - INTERVAL 720 HOUR AND created_at <= TIMESTAMP '1997-06-01'")
+def _(spark, d):
+    return catalog.recent(fixture(spark, d, TASKS).select("id", F.col("created_at").cast("timestamp").alias("analyzed_at")), F.lit("1997-06-01").cast("timestamp"), 720).select("id")
+
+
+@query("vaulted", f"SELECT id, coalesce(error LIKE 'Vaulted:%', false) AS yes FROM (SELECT id, CASE WHEN id % 3 = 0 THEN 'Vaulted: pii' WHEN id % 3 = 1 THEN error END AS error FROM {_TASKS})")
+def _(spark, d):
+    rows = fixture(spark, d, TASKS).select("id", F.when(F.col("id") % 3 == 0, "Vaulted: pii").when(F.col("id") % 3 == 1, F.col("error")).alias("error"))
+    return catalog.vaulted(rows).select("id", F.lit(True).alias("yes")).unionByName(catalog.vaulted(rows, False).select("id", F.lit(False).alias("yes")))
+
+
 @query("next_tasks", f"SELECT id, priority FROM {_TASKS} WHERE status = 'pending' ORDER BY priority DESC, created_at, id LIMIT 25")
 def _(spark, d):
     return queue.next_tasks(fixture(spark, d, TASKS), 25).select("id", "priority")
@@ -480,6 +507,16 @@ def _(spark, d):
     return back.select("id", F.md5("text").alias("hash"), "name")
 
 
+@query("vault_listing", f"SELECT a.id, a.name, c.category FROM {_DOCS} a JOIN ({_CASCADE}) c ON a.id = c.id WHERE c.category <> 'safe' AND a.id % 4 <> 0")
+def _(spark, d):
+    base, when = fresh_dir(spark, "vault"), lambda day: F.lit(f"2024-01-0{day}").cast("timestamp")
+    scanned = sensitivity.detect_sensitive(fixture(spark, d, DOCS))
+    for _again in range(2):  # what lies there already is not put in again
+        vault.deposit(scanned, base, _KEY, when(1))
+    vault.take_out(scanned.where("id % 4 = 0").select("id"), base, _KEY, when(2))
+    return vault.listing(vault.read_ledger(spark, base)).select("id", "name", "category")
+
+
 @query("quarantine_safe", f"SELECT id FROM ({_CASCADE}) WHERE category = 'safe'")
 def _(spark, d):
     return sensitivity.quarantine(sensitivity.detect_sensitive(fixture(spark, d, DOCS)), _KEY)[0].select("id")
@@ -614,7 +651,7 @@ def _(spark, d):
 @query("search_approx")
 def _(spark, d):
     q, v = queries_and_vectors(spark, d)
-    return search.search_approx(q, v, 10, 2.0).select(_TOP)
+    return search.search_approx(q, v, 10).select(_TOP)
 
 
 @query("normalize_vectors", "SELECT vec_id, round(2 * CAST(embedding[1] AS DOUBLE) / sqrt(4 * list_inner_product([CAST(x AS DOUBLE) for x in embedding], [CAST(x AS DOUBLE) for x in embedding])), 6) AS first FROM embeddings")
@@ -655,10 +692,10 @@ def _(spark, d):
     return clustering.centroids(table(spark, d, "embeddings"), "label").select("label", F.round(F.get("embedding", F.lit(0)), 6).alias("first"), F.round(F.get("embedding", F.lit(63)), 6).alias("last"))
 
 
-@query("assign_clusters", "SELECT DISTINCT CAST(label AS BIGINT) AS cluster, CAST(label AS BIGINT) AS person_id, false AS is_new FROM embeddings")
+@query("assign_clusters", "SELECT DISTINCT CAST(label AS BIGINT) AS cluster, CAST(CASE WHEN label % 3 < 2 THEN 100 + label ELSE 109 + (label + 1) // 3 END AS BIGINT) AS person_id, label % 3 = 2 AS is_new FROM embeddings")
 def _(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("cluster"), "embedding")
-    return clustering.assign_clusters(e, e.select(F.col("cluster").alias("person_id"), "embedding"), 0.999)
+    return clustering.assign_clusters(e, e.where("cluster % 3 < 2").select((F.col("cluster") + 100).alias("person_id"), "embedding"), 0.999)
 
 
 # Places.
@@ -675,11 +712,10 @@ def _(spark, d):
     return fixture(spark, d, POINTS).select("id", F.round(geo.haversine_km(F.col("lat"), F.col("lon"), F.lit(48.85), F.lit(2.35)), 6).alias("km"))
 
 
-@query("lookup_places", f"SELECT a.id, b.name AS place FROM {_POINTS} a LEFT JOIN (SELECT lat, lon, max(concat('s', lpad(CAST(id AS STRING), 9, '0'))) AS name FROM {_CENTERS} WHERE id % 10 < 7 GROUP BY lat, lon) b ON a.lat = b.lat AND a.lon = b.lon")
+@query("lookup_places", f"SELECT a.id, b.name AS place FROM {_POINTS} a LEFT JOIN (SELECT lat, lon, max(concat('s', lpad(CAST(id AS STRING), 9, '0'))) AS name FROM {_CENTERS} WHERE id % 10 < 7 OR id % 20 = 17 GROUP BY lat, lon) b ON a.lat = b.lat AND a.lon = b.lon")
 def _(spark, d):
     as_of = F.lit("2024-01-10 00:00:00").cast("timestamp")
-    c = fixture(spark, d, CENTERS).select(F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.concat(F.lit("s"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("name"), F.timestamp_micros(F.unix_micros(as_of) - (F.col("id") % 10) * 86_400_000_000 + F.col("id")).alias("timestamp"))
-    c = c.where("pmod(int(substring(name, 2)), 10) <> 7")
+    c = fixture(spark, d, CENTERS).select(F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.concat(F.lit("s"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("name"), F.timestamp_micros(F.unix_micros(as_of) - (F.col("id") % 10) * 86_400_000_000 + F.when(F.col("id") % 20 == 7, 0).otherwise(F.col("id"))).alias("timestamp"))  # some are of just that age
     return places.lookup_places(fixture(spark, d, POINTS), c, as_of).select("id", "place")
 
 
@@ -751,10 +787,10 @@ def _(spark, d):
 
 
 @query("scene_changes", """WITH f AS (SELECT label, vec_id, embedding AS e, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings), g AS (SELECT label, vec_id, unnest(e) AS x, unnest(p) AS y FROM f WHERE p IS NOT NULL)
-  SELECT label AS video_id, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS total FROM (SELECT label, vec_id, avg(abs(CAST(x AS DOUBLE) - CAST(y AS DOUBLE))) AS diff FROM g GROUP BY label, vec_id) WHERE diff * 128 > 0.07 * 255 GROUP BY label""")
+  SELECT v.label AS video_id, count(h.vec_id) AS n, CAST(coalesce(sum(h.vec_id), 0) AS BIGINT) AS total FROM (SELECT DISTINCT label FROM embeddings) v LEFT JOIN (SELECT label, vec_id, avg(abs(CAST(x AS DOUBLE) - CAST(y AS DOUBLE))) AS diff FROM g GROUP BY label, vec_id) h ON v.label = h.label AND h.diff * 128 > 0.07 * 255 GROUP BY v.label""")
 def _(spark, d):
     f = table(spark, d, "embeddings").select(F.col("label").alias("video_id"), F.col("vec_id").cast("double").alias("frame_ts"), F.transform("embedding", lambda x: x.cast("double") * 128).alias("luma"))
-    return video.scene_changes(f, 0.07).where(F.size("scene_changes") > 0).select("video_id", F.size("scene_changes").cast("long").alias("n"), F.aggregate("scene_changes", F.lit(0.0), lambda s, x: s + x).cast("long").alias("total"))
+    return video.scene_changes(f, 0.07).select("video_id", F.size("scene_changes").cast("long").alias("n"), F.aggregate("scene_changes", F.lit(0.0), lambda s, x: s + x).cast("long").alias("total"))
 
 
 @query("stable_files", """WITH s AS (SELECT user_id AS path, epoch_us(ts) AS t, event_id, CAST(floor(value / 40) AS INT) AS size FROM events), c AS (SELECT *, CASE WHEN size = lag(size) OVER w THEN 0 ELSE 1 END AS n FROM s WINDOW w AS (PARTITION BY path ORDER BY t, event_id)),
@@ -782,9 +818,9 @@ def _(spark, d):
     return records.parse_probe(table(spark, d, "part").withColumn("probe", probe)).select("p_partkey", "duration", "size", "fps")
 
 
-@query("metadata_projection", "SELECT doc_id, substr(text, 1, 1000) AS caption, concat('Mood: ', lang) AS mood, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CAST(CAST(floor((doc_id % 11) / 2) AS INT) AS STRING) END AS rating FROM documents WHERE text <> ''")
+@query("metadata_projection", "SELECT doc_id, CASE WHEN text <> '' THEN substr(text, 1, 1000) END AS caption, CASE WHEN lang <> '' THEN concat('Mood: ', lang) END AS mood, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CAST(CAST(floor((doc_id % 11) / 2) AS INT) AS STRING) END AS rating FROM documents")
 def _(spark, d):
-    docs = table(spark, d, "documents").where("text <> ''").select("doc_id", F.col("text").alias("caption"), F.array("source").alias("tags"), F.col("lang").alias("mood"), (F.col("doc_id") % 11).cast("double").alias("aesthetic_score"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("caption"), F.array("source").alias("tags"), F.col("lang").alias("mood"), (F.col("doc_id") % 11).cast("double").alias("aesthetic_score"))
     m = records.metadata_projection(docs)
     return m.select("doc_id", F.element_at("metadata", "XPComment").alias("caption"), F.element_at("metadata", "UserComment").alias("mood"), F.element_at("metadata", "Rating").alias("rating"))
 
@@ -795,9 +831,9 @@ def _(spark, d):
     return records.verify_metadata(records.metadata_projection(docs)).select("doc_id", F.coalesce("has_description", F.lit(False)).alias("has_description"), F.coalesce("has_rating", F.lit(False)).alias("has_rating"))
 
 
-@query("analysis_json", "SELECT doc_id, concat('{\"doc_id\":', doc_id, ',\"lang\":\"', lang, '\"}') AS json FROM documents WHERE lang IS NOT NULL")
+@query("analysis_json", "SELECT doc_id, concat('{\"doc_id\":', doc_id, CASE WHEN lang IS NULL THEN '' ELSE concat(',\"lang\":\"', lang, '\"') END, '}') AS json FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").where("lang is not null").select("doc_id", records.analysis_json(["doc_id", "lang"]).alias("json"))
+    return table(spark, d, "documents").select("doc_id", records.analysis_json(["doc_id", "lang"]).alias("json"))
 
 
 # File events.
@@ -846,6 +882,47 @@ def _(spark, d):
     return watch.apply_events(file_events(spark, d)).select("event_id", "action")
 
 
+# Sources and sinks: written to the shared folder and read back.
+@query("scan_library", "SELECT o_orderstatus AS status, count(*) > 0 AS found, CAST(sum(octet_length(encode(o_orderpriority)) + 1) AS BIGINT) AS bytes FROM orders GROUP BY o_orderstatus")
+def _(spark, d):
+    base = fresh_dir(spark, "library")
+    table(spark, d, "orders").select("o_orderstatus", "o_orderpriority").write.partitionBy("o_orderstatus").text(base)
+    found = library.scan_library(spark, base, extensions=["txt"]).select(F.regexp_extract("path", "o_orderstatus=(.)", 1).alias("status"), "size")
+    return found.groupBy("status").agg((F.count("*") > 0).alias("found"), F.sum("size").alias("bytes"))
+
+
+@query("catalog_tables", "SELECT concat('k', CAST(c_custkey AS STRING)) AS key, CASE WHEN c_custkey % 5 = 0 THEN 'new' WHEN c_custkey % 3 = 0 THEN 'old' END AS value FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 3 = 0")
+def _(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("key"), F.lit(None).cast("timestamp").alias("updated_at"))
+    kept = Catalog(spark, fresh_dir(spark, "catalog"), buckets=8)
+    kept.commit(upserts={"settings": rows.where("c_custkey % 3 = 0").withColumn("value", F.lit("old"))})
+    for _again in range(2):  # a batch given twice
+        kept.commit(upserts={"settings": rows.where("c_custkey % 5 = 0").withColumn("value", F.lit("new"))}, stream="s", batch=0)
+    return kept.read("settings").select("key", "value")
+
+
+@query("export_metadata", "SELECT doc_id AS file_id, concat('Mood: ', lang) AS mood FROM documents WHERE lang <> ''")
+def _(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.lit("").alias("caption"), F.array().cast("array<string>").alias("tags"), F.col("lang").alias("mood"), F.lit(None).cast("double").alias("aesthetic_score"), "source")
+    base = fresh_dir(spark, "export")
+    library.export_metadata(records.metadata_projection(docs).where(F.size("metadata") > 0), base, ["source"])
+    back = spark.read.schema("file_id long, metadata map<string,string>").json(base)
+    return back.select("file_id", F.element_at("metadata", "UserComment").alias("mood"))
+
+
+@query("stream_callbacks", f"SELECT event_type, count(*) AS n, 4 AS most_batches, true AS bounded FROM {_EVENTS} WHERE event_type IN ('created', 'deleted') GROUP BY event_type")
+def _(spark, d):
+    base, log = fresh_dir(spark, "callbacks"), fresh_dir(spark, "event-log")
+    for k in range(4):
+        file_events(spark, d).where(F.col("event_id") % 4 == k if k else F.col("event_id") % 4 == 0).coalesce(1).write.mode("append").parquet(log)
+    schema = spark.read.parquet(log).schema
+    for kind in ("created", "deleted"):
+        count = lambda b, n: b.groupBy("event_type").count().withColumn("batch", F.lit(n)).write.mode("append").parquet(base)
+        watch.on_batch(library.event_stream(spark, log, schema, max_files=1), count, fresh_dir(spark, "callback-state"), kind).awaitTermination()
+    found = spark.read.schema("event_type string, count long, batch int").parquet(base).groupBy("event_type").agg(F.sum("count").alias("n"), F.max("batch").alias("b"))
+    return found.select("event_type", "n", F.lit(4).alias("most_batches"), (F.col("b") < 4).alias("bounded"))
+
+
 @query("burst_windows", """WITH s AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 600000000 THEN 0 ELSE 1 END AS n FROM events), b AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY t) AS g FROM s)
   SELECT user_id, min(t) AS start_us, max(t) AS end_us, count(*) AS n FROM b GROUP BY user_id, g HAVING count(*) >= 2""")
 def _(spark, d):

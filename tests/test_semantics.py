@@ -164,7 +164,7 @@ def test_images(spark):
     v, e = (images.sharpness(df, form=f).orderBy("id").collect() for f in ("variance", "energy"))
     assert v[0].sharpness == 1.0 and v[0].blur == 0.0 and v[1].sharpness is None and e[0].sharpness == 1.0
     grid = spark.createDataFrame([([float(i % 7) for i in range(1024)],)], "luma array<double>")
-    assert len(images.fingerprint(grid).collect()[0].perceptual_hash) == 67
+    assert len(images.fingerprint(grid, parts=4).collect()[0].perceptual_hash) == 67
     hue = spark.createDataFrame([([[255, 0, 0], [0, 255, 0]],)], "p array<array<int>>").select(images.average_hue(F.col("p"))).first()[0]
     assert hue == 60.0
     px = spark.createDataFrame([(1, [10, 10, 10])] * 5 + [(1, [200, 0, 0])] * 3, "image_id long, rgb array<int>")
@@ -279,13 +279,52 @@ def test_image_rows_from_pixels(spark):
     assert images.lab_spread(grey).first().lab_spread < 1
 
 
-def test_approximate_search_finds_most(spark):
+def recall_of(got, q, x, k):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {int(i): set(np.argsort(-(u @ u[i]), kind="stable")[:k].tolist()) for i in q}
+    return sum(r.file_id in want[r.query_id] for r in got) / (k * len(want))
+
+
+def test_approximate_search_reads_few_lists_where_there_is_structure(spark):
     rng = np.random.default_rng(2)
-    x = rng.normal(0, 1, (600, 16))
-    x[300:] = x[:300] + rng.normal(0, 0.2, (300, 16))
-    v = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "file_id long, embedding array<float>")
-    q = v.where("file_id % 20 = 0").select(F.col("file_id").alias("id"), "embedding")
+    x = rng.normal(0, 1, (40, 64))[rng.integers(0, 40, 4000)] + rng.normal(0, 0.3, (4000, 64))
+    v = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "file_id long, embedding array<double>")
+    q = v.where("file_id % 100 = 0").select(F.col("file_id").alias("id"), "embedding")
+    centres, probes = vectors.fit_lists(v)
+    filed = vectors.file_in_lists(v, centres)
+    sizes = {r.list: r["count"] for r in filed.groupBy("list").count().collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    got = vectors.search_approx(q, v, k=10, distance=2.0).collect()
-    hits = sum(r.file_id in np.argsort(-(u @ u[r.query_id]), kind="stable")[:10] for r in got)
-    assert hits >= 0.9 * 30 * 10, hits
+    read = sum(sizes.get(int(c), 0) for i in range(0, 4000, 100) for c in np.argsort(-(u[i] @ centres.T))[:probes])
+    assert sum(sizes.values()) == 4000 and read < 0.1 * 40 * 4000
+    assert recall_of(vectors.search_approx(q, v, 10).collect(), range(0, 4000, 100), x, 10) >= 0.9
+
+
+def test_approximate_search_of_the_test_tables(spark):
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("file_id"), "embedding")
+    q = v.where("file_id % 50 = 0").select(F.col("file_id").alias("id"), "embedding")
+    x = np.array([r.embedding for r in v.orderBy("file_id").collect()])
+    centres, probes = vectors.fit_lists(v)
+    pairs = vectors.approx_candidates(q, vectors.file_in_lists(v, centres), centres, probes, 4 * 10)
+    assert pairs.count() < 0.1 * q.count() * v.count()  # compared exactly; without structure most lists are read, as codes
+    assert recall_of(vectors.search_approx(q, v, 10).collect(), range(0, len(x), 50), x, 10) >= 0.9
+    assert vectors.search_approx(q.limit(0), v, 10).collect() == [] and vectors.search_approx(q, v.limit(0), 10).collect() == []
+
+
+def test_faces_and_persons_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(0, 1, (9, 8))
+    make = lambda n: [(i, [float(c) for c in centre[i % 9] + rng.normal(0, 0.6, 8)]) for i in range(n)]
+    faces, gallery = spark.createDataFrame([*make(300), (300, [0.0] * 8)], "id long, embedding array<double>"), spark.createDataFrame([(i % 20, e) for i, e in make(200)] + [(77, [1.0, 2.0])], "person_id long, embedding array<double>")
+    for best in (True, False):
+        want = sorted(map(tuple, vectors.match_persons(faces, gallery, 0.5, best).collect()))
+        assert sorted(map(tuple, vectors.match_persons(faces, gallery, 0.5, best, block_bytes=2000).collect())) == want and len(want) > 100
+    plan = vectors.match_persons(faces, gallery, 0.5)._jdf.queryExecution().executedPlan().toString()
+    build = plan.split("BroadcastExchange")[1]
+    assert "person_id" in build.split("BroadcastExchange")[0] and "BuildRight" in plan  # the gallery is smaller
+
+
+def test_vectors_without_values_have_no_cluster(spark):
+    rows = [(1, [0.0, 0.0]), (2, [0.0, 0.1]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [9.0, 9.0]), (7, [9.0, 9.1])]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    got = {r.id: r.cluster for r in clustering.cluster_vectors(df, 0.5).collect()}
+    assert got == {1: 0, 2: 0, 3: None, 4: None, 5: None, 6: 1, 7: 1}
