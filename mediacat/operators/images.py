@@ -89,8 +89,8 @@ def fingerprint(df: DataFrame, luma: str = "luma", size: int = 32, parts: int =
                     continue
                 img = np.asarray(x, float).reshape(size, size)
                 small = img.reshape(8, size // 8, 8, size // 8).mean(axis=(1, 3))
-                low = basis @ img @ basis.T
-                wide = img.reshape(8, size // 8, size).mean(axis=1) @ nine.T
+                low = np.round(basis @ img @ basis.T, 6)  # what rounding leaves of equal terms is no bit
+                wide = np.round(img.reshape(8, size // 8, size).mean(axis=1) @ nine.T, 6)
                 out.append(":".join(map(digits, (small > small.mean(), low > np.median(low), wide[:, 1:] > wide[:, :-1], small > np.median(small))[:parts])))
             yield b.assign(perceptual_hash=out)
 
