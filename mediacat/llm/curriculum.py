@@ -7,6 +7,8 @@ and the inverse of that gives each document's position. Sums run over buckets of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,47 +52,59 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_PASSES, slop
 
     passes: how often the mix takes the whole document; part: words of it taken in the last, partial pass (at most one
     document of a source is taken in part). position: that of its first pass, null if nothing is taken. A null text has
-    size 0; a null source is a source; rows that share a doc_id are each mixed, next to each other. buckets: hex
-    digits of the order that make a bucket.
+    size 0; a null source is a source; rows that share a doc_id, or have none, are each mixed, and only those of one doc_id and
+    text stand next to each other. buckets: hex digits of the order that make a bucket. The columns of docs may have any names but __mix.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    rows = docs.withColumn("__source", F.col("source").cast("string")).withColumn("__size", n_words(F.col("text"))).withColumn("__key", key).withColumn("__bucket", F.substring("__key", 1, buckets))
-    # Never null, so that the join and the window deal the rows out alike, once. Rows of one doc_id and size are told apart by their text.
-    name = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c)), F.lit("null"))
-    rows = rows.withColumn("__name", name("__source")).withColumn("__tie", F.xxhash64("text"))
-    sums = stored(rows.groupBy("__source", "__bucket").agg(F.sum("__size").alias("words")), "mix-sums")  # at most a row for each source and bucket
-    goal = targets(sums.groupBy(F.col("__source").alias("source")).agg(F.sum("words").alias("source_size")), weights, most)
-    before = F.sum("words").over(Window.partitionBy("__source").orderBy("__bucket")) - F.col("words")
+    own_names = _names(docs)
+    source, size, key, bucket, name, goal_, before_ = map(own_names, ("source", "size", "key", "bucket", "name", "p", "own"))
+    order = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    # Never null, so that the join and the window deal the rows out alike, once.
+    full = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c)), F.lit("null"))
+    rows = docs.withColumn(source, F.col("source").cast("string")).withColumn(size, n_words(F.col("text"))).withColumn(key, order)
+    rows = rows.withColumn(bucket, F.substring(key, 1, buckets)).withColumn(name, full(source))
+    sums = stored(rows.groupBy(F.col(source).alias("of"), F.col(bucket).alias("bucket")).agg(F.sum(size).alias("words")), "mix-sums")  # at most a row for each source and bucket
+    goal = targets(sums.groupBy(F.col("of").alias("source")).agg(F.sum("words").alias("source_size")), weights, most)
+    before = F.sum("words").over(Window.partitionBy("of").orderBy("bucket")) - F.col("words")
     slope = F.element_at(F.array(*map(F.lit, slopes)), (F.col("place") % len(slopes) + 1).cast("int"))
-    plan = sums.withColumn("before", before).join(goal, F.col("__source").eqNullSafe(F.col("source")))
-    plan = plan.select(name("__source").alias("__name"), "__bucket", F.struct("before", "source_size", "target", slope.alias("slope")).alias("__p"))
-    own = F.sum("__size").over(Window.partitionBy("__name", "__bucket").orderBy("__key", "doc_id", "__size", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.join(plan, ["__name", "__bucket"]).withColumn("__own", own - F.col("__size"))
-    of = lambda c: F.col(f"__p.{c}")
-    at = of("before") + F.col("__own")
+    plan = sums.withColumn("before", before).join(goal, F.col("of").eqNullSafe(F.col("source")))
+    plan = plan.select(full("of").alias(name), F.col("bucket").alias(bucket), F.struct("before", "source_size", "target", slope.alias("slope")).alias(goal_))
+    own = F.sum(size).over(Window.partitionBy(name, bucket).orderBy(key, "doc_id", size).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.join(plan, [name, bucket]).withColumn(before_, own - F.col(size))
+    of = lambda c: F.col(f"{goal_}.{c}")
+    at = of("before") + F.col(before_)
     whole = F.floor(of("target"))
     passes = F.when(of("source_size") > 0, F.floor(whole / of("source_size"))).otherwise(0).cast("long")
-    part = F.least(F.col("__size"), F.greatest(F.lit(0), whole - passes * of("source_size") - at)).cast("long")
-    taken = passes * F.col("__size") + part
+    part = F.least(F.col(size), F.greatest(F.lit(0), whole - passes * of("source_size") - at)).cast("long")
+    taken = passes * F.col(size) + part
     when = F.when(taken > 0, F.round(position(at / of("target"), of("slope")), 9))
-    out = F.struct(F.col("__size").alias("size"), of("source_size").alias("source_size"), of("target").alias("target"), taken.alias("taken"), passes.alias("passes"), part.alias("part"), when.alias("position"), at.alias("at"), of("slope").alias("slope"))
+    out = F.struct(F.col(size).alias("size"), of("source_size").alias("source_size"), of("target").alias("target"), taken.alias("taken"), passes.alias("passes"), part.alias("part"), when.alias("position"), at.alias("at"), of("slope").alias("slope"))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns], out.alias("__mix"))
 
 
+def _names(docs: DataFrame) -> Callable[[str], str]:
+    """Names for columns of our own that docs doesn't have."""
+    front = "__"
+    while any(c.lower().startswith(front) for c in docs.columns):
+        front += "_"
+    return lambda n: front + n
+
+
 def mixed_copies(docs: DataFrame, whole: bool = False, **options) -> DataFrame:
     """The mix itself, in training order: each pass over a document is a row at its own position; columns as in docs.
 
     A document taken in part in the last pass comes with its first words only, joined by spaces; or as it is if `whole`,
     and then a source may pass its target by less than that document.
     """
+    own_names = _names(docs)
+    nth, at = own_names("pass"), own_names("at")
     m = mix(docs, **options)
     copies = F.sequence(F.lit(0).cast("long"), F.col("__mix.passes") - F.when(F.col("__mix.part") > 0, 0).otherwise(1))
-    m = m.where("__mix.taken > 0").withColumn("__pass", F.explode(copies))
-    m = m.withColumn("__at", position((F.col("__pass") * F.col("__mix.source_size") + F.col("__mix.at")) / F.col("__mix.target"), F.col("__mix.slope")))
-    cut = (F.col("__pass") == F.col("__mix.passes")) & (F.col("__mix.part") < F.col("__mix.size")) & F.lit(not whole)
+    m = m.where("__mix.taken > 0").withColumn(nth, F.explode(copies))
+    m = m.withColumn(at, position((F.col(nth) * F.col("__mix.source_size") + F.col("__mix.at")) / F.col("__mix.target"), F.col("__mix.slope")))
+    cut = (F.col(nth) == F.col("__mix.passes")) & (F.col("__mix.part") < F.col("__mix.size")) & F.lit(not whole)
     words = F.filter(F.split("text", f"[{SPACE}]+"), lambda w: w != "")
     text = F.when(cut, F.array_join(F.slice(words, 1, F.col("__mix.part").cast("int")), " ")).otherwise(F.col("text"))
-    return m.withColumn("text", text).orderBy("__at", "doc_id", F.xxhash64("text")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return m.withColumn("text", text).orderBy(at, "doc_id", F.xxhash64("text")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +115,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k,
+  SELECT doc_id, source, md5(concat(coalesce(CAST(doc_id AS VARCHAR), 'null'), ':', md5(coalesce(text, '')))) AS k,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
   FROM documents
 ), s AS (

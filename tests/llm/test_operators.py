@@ -255,6 +255,17 @@ def test_mix(spark):
     assert curriculum.mix(none(spark)).count() == 0 and curriculum.mixed_copies(none(spark)).count() == 0
 
 
+def test_mix_leaves_columns_of_any_name_and_spreads_rows_without_ids(spark):
+    rows = [(None, f"w{i} x y", "s", i, "k", 7) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __key long, __size string, ___p int")
+    got = curriculum.mix(docs).collect()
+    assert sorted((r.text, r["__key"], r["__size"], r["___p"]) for r in got) == sorted((t, k, z, p) for _, t, _, k, z, p in rows)
+    key = F.md5(F.concat_ws(":", F.lit("null"), F.md5("text")))
+    assert docs.groupBy(F.substring(key, 1, 3)).count().agg(F.max("count")).first()[0] < 10
+    kept = curriculum.mixed_copies(docs)
+    assert kept.columns == docs.columns and {r["__key"] for r in kept.collect()} <= set(range(3000))
+
+
 def test_targets_reshare_the_excess(spark):
     s = spark.createDataFrame([("a", 1000), ("b", 10), ("c", 10), (None, 1), ("d", 0)], "source string, source_size long")
     got = {r.source: r.target for r in curriculum.targets(s).collect()}

@@ -72,7 +72,7 @@ def plain(docs, items):
     out = []
     for s in names:
         rest = int(round(goal[s], 6))
-        order = sorted(by[s], key=lambda d: (hashlib.md5(str(d["doc_id"]).encode()).hexdigest(), d["doc_id"]))
+        order = sorted(by[s], key=lambda d: (hashlib.md5(f"{d["doc_id"]}:{hashlib.md5(d["text"].encode()).hexdigest()}".encode()).hexdigest(), d["doc_id"]))
         while rest > 0:
             for d in order:
                 if rest > 0 and (n := len(words(d))):  # the last document comes whole
