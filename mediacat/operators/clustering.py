@@ -36,22 +36,30 @@ def standardize(df: DataFrame, id: str = "id") -> DataFrame:
     return df.select(F.col(id).alias("id"), scaled.alias("v"))
 
 
-def _blocks(points: DataFrame, rows: int) -> DataFrame:
-    """points (id, v) with block: ranges of the axis of largest spread, of about `rows` rows each."""
+def _blocks(points: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """points (id, v) with block, ranges of about `rows` rows of the axis of largest spread; and that axis."""
     spread = points.select(F.posexplode("v").alias("dim", "x")).groupBy("dim").agg((F.max("x") - F.min("x")).alias("s")).orderBy(F.desc("s"), "dim").first()
     placed = points.withColumn("__x", F.get("v", F.lit(spread.dim)))
-    return row_numbers(placed, ["__x", "id"], "__n").select("id", "v", F.floor((F.col("__n") - 1) / rows).alias("block"))
+    return row_numbers(placed, ["__x", "id"], "__n").select("id", "v", F.floor((F.col("__n") - 1) / rows).alias("block")), spread.dim
 
 
-def _tile_pairs(blocks: DataFrame, eps: float) -> DataFrame:
-    """(a, b), a <= b: blocks whose boxes come within eps of each other. blocks: (id, v, block)."""
+def _tile_pairs(blocks: DataFrame, axis: int, eps: float) -> DataFrame:
+    """(a, b), a <= b: blocks whose boxes come within eps of each other. blocks: (id, v, block), ranges of the axis.
+
+    Blocks meet in cells of the axis, of which there are about as many as blocks: a block lies in those that it reaches, and looks eps further.
+    """
     box = blocks.select("block", F.posexplode("v").alias("dim", "x")).groupBy("block", "dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     corner = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("dim", c))), lambda s: s[c]).alias(c)
     box = stored(box.groupBy("block").agg(corner("lo"), corner("hi")), "boxes")  # a row for each block
-    one, two = (box.select(F.col("block").alias(n), F.col("lo").alias(f"lo_{n}"), F.col("hi").alias(f"hi_{n}")) for n in "ab")
+    low, high = F.get("lo", F.lit(axis)), F.get("hi", F.lit(axis))
+    n, least, most = box.agg(F.count("*"), F.min(low), F.max(high)).first()
+    width = max(eps, (most - least) / n) or 1.0
+    cell = lambda x: F.floor((x - least) / width).cast("long")
+    one = box.select(F.col("block").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.explode(F.sequence(cell(low), cell(high + eps * (1 + 1e-9)))).alias("cell"))
+    two = box.select(F.col("block").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.explode(F.sequence(cell(low), cell(high))).alias("cell"))
     apart = F.zip_with(F.zip_with("lo_a", "hi_b", lambda x, y: x - y), F.zip_with("lo_b", "hi_a", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
     near = F.aggregate(apart, F.lit(0.0), lambda s, x: s + x * x) <= eps * eps * (1 + 1e-9)
-    return one.join(F.broadcast(two), (F.col("a") <= F.col("b")) & near).select("a", "b")
+    return one.join(two, "cell").where((F.col("a") <= F.col("b")) & near).select("a", "b").distinct()
 
 
 def _near(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
@@ -96,8 +104,9 @@ def cluster_vectors(df: DataFrame, eps: float = 0.5, min_samples: int = 2, id: s
     if points.count() < 2:
         return points.select("id", F.lit(0).cast("long").alias("cluster")).unionByName(odd)
     kind = points.schema["id"].dataType.simpleString()
-    blocks = stored(_blocks(points, block_rows).withColumn("core", F.lit(False)), "blocks")
-    pairs = stored(_tile_pairs(blocks, eps), "tiles")
+    placed, axis = _blocks(points, block_rows)
+    blocks = stored(placed.withColumn("core", F.lit(False)), "blocks")
+    pairs = stored(_tile_pairs(blocks, axis, eps), "tiles")
 
     def counts(i, x, _, j, y, __, same):
         near = _near(x, y, eps)

@@ -676,7 +676,21 @@ def _(spark, d):
     return e.select("vec_id", F.round(vectors.aesthetic_score(F.col("e"), prompt[0], prompt[1]), 6).alias("score"))
 
 
-@query("cluster_vectors")
+# Clusters of the standardised vectors: cores by counts, chains of cores by recursion, borders to the lowest cluster, noise by id.
+_CLUSTERED = """WITH RECURSIVE x AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings),
+  s AS (SELECT dim, avg(x) AS mean, stddev_pop(x) AS dev FROM x GROUP BY dim),
+  v AS (SELECT id, list((x - mean) / CASE WHEN dev > 0 THEN dev ELSE 1 END ORDER BY dim) AS v FROM x JOIN s USING (dim) GROUP BY id),
+  near AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON list_distance(a.v, b.v) <= 9.5),
+  core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 2),
+  link AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+  reach(id, root) AS (SELECT id, id FROM core UNION SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.id WHERE reach.root < link.b),
+  root AS (SELECT id, min(root) AS root FROM reach GROUP BY id), num AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster FROM (SELECT DISTINCT root FROM root)),
+  lab AS (SELECT id, cluster FROM root JOIN num USING (root)),
+  every AS (SELECT v.id, coalesce(lab.cluster, (SELECT min(l.cluster) FROM near n JOIN lab l ON n.b = l.id WHERE n.a = v.id)) AS cluster FROM v LEFT JOIN lab ON v.id = lab.id),
+  clustered AS (SELECT id, CAST(CASE WHEN cluster IS NOT NULL THEN cluster ELSE -row_number() OVER (PARTITION BY cluster IS NULL ORDER BY id) END AS BIGINT) AS cluster FROM every)"""
+
+
+@query("cluster_vectors", f"{_CLUSTERED} SELECT id, cluster FROM clustered")
 def _(spark, d):
     return clustering.cluster_vectors(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 9.5)
 
@@ -1019,7 +1033,11 @@ def _(spark, d):
     return jobs.score_with(table(spark, d, "documents").select("doc_id", "text"), make, schema).select("doc_id", "score")
 
 
-@query("face_job")
+@query("face_job", f"""{_CLUSTERED}, unit AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+  hit AS (SELECT DISTINCT f.id, CAST(g.label AS BIGINT) AS person FROM unit f JOIN unit g ON g.id % 7 = 0 AND round(list_inner_product(f.e, g.e) / (f.n * g.n), 6) >= 0.7),
+  known AS (SELECT c.cluster, min(hit.person) AS person FROM clustered c LEFT JOIN hit ON c.id = hit.id GROUP BY c.cluster),
+  named AS (SELECT cluster, coalesce(person, (SELECT max(label) FROM unit WHERE id % 7 = 0) + row_number() OVER (PARTITION BY person IS NULL ORDER BY cluster)) AS person FROM known)
+  SELECT c.id, c.cluster, CAST(named.person AS BIGINT) AS person_id FROM clustered c JOIN named USING (cluster)""")
 def _(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 100).alias("file_id"), "embedding", F.col("label").cast("long").alias("person_id"))
     named, _ = jobs.identify_faces(e.drop("person_id"), e.where("id % 7 = 0").select("person_id", "embedding"), files(spark, d).withColumn("ingested_at", F.timestamp_seconds("mtime")), 9.5)
