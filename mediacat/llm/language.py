@@ -27,10 +27,9 @@ SMOOTH = 0.1
 CACHED = 200_000
 UNKNOWN = "und"
 MARK = "▁"
-#: Characters that count as numbers and are neither digits nor letters, such as those for a half or a square.
-NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
-#: A word, of letters only, whatever its length.
-LETTERS = re.compile(f"[^\\W\\d_{NUMBERS}]+")
+#: A run of letters, and of numbers that are no digits, such as those for a half or a square; and a word: letters only, whatever its length.
+RUN = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile("[^" + "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha()) + "]+")
 
 
 @lru_cache(maxsize=2)
@@ -56,7 +55,12 @@ def trie(pieces: Iterable[str]) -> tuple[int, dict[str, int]]:
 
 def words_of(text: str) -> Counter:
     """The words of the whole text, lower-cased, and how often each comes."""
-    return Counter(LETTERS.findall(text.lower()))
+    found = Counter(RUN.findall(text.lower()))
+    for run in [w for w in found if not w.isalpha()]:
+        n = found.pop(run)
+        for word in LETTERS.findall(run):
+            found[word] += n
+    return found
 
 
 def lattice(words: list[str], pieces: tuple[int, dict[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
