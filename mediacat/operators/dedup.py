@@ -57,18 +57,21 @@ def near_links(left: DataFrame, right: DataFrame, threshold: float = 0.9, hot: i
     grows with the table, unless at most d places are left, and then all that share it match.
     """
     match = lambda a, b: a.select(F.col("fp").alias("left_fp"), F.col("text").alias("left"), "key").join(b.select(F.col("fp").alias("right_fp"), F.col("text").alias("right"), "key"), "key").where(part_matches(F.col("left"), F.col("right"), threshold)).select("left_fp", "right_fp")
-    found = []
+    found, same = [], left is right
     while True:
-        left, right = stored(left, "bands"), stored(right, "bands")
+        left = stored(left, "bands")
+        right = left if same else stored(right, "bands")
         n = lambda df, c: df.where(F.size("free") > F.col("d")).groupBy("key").agg(F.count("*").alias(c))
-        many = stored(n(left, "l").join(n(right, "r"), "key").where(F.col("l") * F.col("r") > hot * hot).select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "hot-bands")
+        both = n(left, "l").withColumn("r", F.col("l")) if same else n(left, "l").join(n(right, "r"), "key")
+        many = stored(both.where(F.col("l") * F.col("r") > hot * hot).select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "hot-bands")
         salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
         if many.isEmpty():
             found.append(match(left, right))
             return reduce(DataFrame.union, found).distinct()
         cool = lambda df: salted(df).join(many, ["key", "salt"], "left_anti")
         found.append(match(cool(left), cool(right)))
-        left, right = (_cut(salted(df).join(many, ["key", "salt"], "left_semi").drop("salt")).select("fp", "text", "d", "free", "key") for df in (left, right))
+        cut = lambda df: _cut(salted(df).join(many, ["key", "salt"], "left_semi").drop("salt")).select("fp", "text", "d", "free", "key")
+        left, right = cut(left), cut(right)
 
 
 def near_duplicate_join(left: DataFrame, right: DataFrame, fp: str = "perceptual_hash", threshold: float = 0.9) -> DataFrame:
@@ -76,7 +79,8 @@ def near_duplicate_join(left: DataFrame, right: DataFrame, fp: str = "perceptual
 
     All pairs of files: of copies there are as many as the square of their number. near_duplicate_classes() has a row for each file instead.
     """
-    links = near_links(banded(left, fp, threshold), banded(right, fp, threshold), threshold)
+    rows = banded(left, fp, threshold)
+    links = near_links(rows, rows if right is left else banded(right, fp, threshold), threshold)
     ids = lambda df, side: df.select(F.col(fp).alias(f"{side}_fp"), F.col("id").alias(f"{side}_id"))
     pairs = links.join(ids(left, "left"), "left_fp").join(ids(right, "right"), "right_fp")
     return pairs.where("left_id <> right_id").select("left_id", "right_id").distinct()

@@ -156,9 +156,12 @@ def _(spark, d):
     return ignore.filter_ignored(files(spark, d).withColumn("is_dir", F.lit(False)), "file_path").select("id")
 
 
-@query("matching_rules", f"SELECT id, CASE WHEN file_path LIKE '%.tmp' THEN '*.tmp' ELSE '' END AS rules FROM {_FILES}")
+_RULE_NAMES = "CASE WHEN id % 23 = 0 THEN 'Thumbs.db' WHEN id % 23 = 1 THEN '.old.SWP' WHEN id % 23 = 2 THEN '._x.cache' WHEN id % 23 = 3 THEN '/a/.git' WHEN id % 23 = 4 THEN 'x.mtppp' WHEN id % 23 = 5 THEN 'desktop.ini' ELSE regexp_replace(file_path, '^.*/', '') END"
+
+
+@query("matching_rules", f"SELECT id, CASE n WHEN 'Thumbs.db' THEN 'Thumbs.db,thumb*.db' WHEN '.old.SWP' THEN '.*,*.swp' WHEN '._x.cache' THEN '.*,*.cache,._*' WHEN '/a/.git' THEN '*/.*' WHEN 'x.mtppp' THEN '.mtp+' WHEN 'desktop.ini' THEN 'desktop.ini' ELSE CASE WHEN n LIKE '%.tmp' THEN '*.tmp' WHEN n LIKE '~%' THEN '~*' ELSE '' END END AS rules FROM (SELECT id, {_RULE_NAMES} AS n FROM {_FILES})")
 def _(spark, d):
-    return ignore.matching_rules(files(spark, d), "file_path").select("id", F.array_join("rules", ",").alias("rules"))
+    return ignore.matching_rules(files(spark, d).withColumn("file_path", F.expr(_RULE_NAMES)), "file_path").select("id", F.array_join("rules", ",").alias("rules"))
 
 
 @query("new_files", f"SELECT id FROM {_FILES} WHERE id % 3 <> 0 AND file_path NOT IN (SELECT file_path FROM {_FILES} WHERE id % 3 = 0)")
@@ -400,12 +403,23 @@ def _(spark, d):
     return catalog.get_embedding(e, 17, "image").select("vec_id", F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm2"))
 
 
-@query("merge_analysis", "SELECT coalesce(n.doc_id, o.doc_id) AS file_id, CASE WHEN n.doc_id IS NOT NULL AND n.doc_id % 2 = 0 THEN 'new' ELSE CASE WHEN o.doc_id IS NOT NULL THEN 'old' END END AS caption, CASE WHEN n.doc_id IS NOT NULL THEN 2e0 ELSE 1e0 END AS sharpness FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) o FULL JOIN (SELECT doc_id FROM documents WHERE doc_id % 5 <> 0) n ON o.doc_id = n.doc_id")
+_MERGED = ", ".join([*(f"CASE WHEN n.doc_id % 2 = 0 THEN {new} WHEN o.doc_id IS NOT NULL THEN {old} END AS {c}" for c, new, old in (("caption", "'new'", "'old'"), ("tags", "'a,b'", "'c'"), ("objects", "'p'", "'q'"), ("mood", "'up'", "'down'"), ("contains_text", "true", "false"), ("is_sensitive", "false", "true"))), "CASE WHEN n.doc_id % 3 = 0 THEN 2.5e0 WHEN o.doc_id IS NOT NULL THEN 1.5e0 END AS video_duration",
+  *(f"CASE WHEN n.doc_id % 7 < 3 THEN {new} WHEN o.doc_id IS NOT NULL THEN {old} END AS {c}" for c, new, old in (("latitude", "2e0", "1e0"), ("longitude", "2.5e0", "1.5e0"), ("altitude", "2e2", "1e2"))),
+  *(f"CASE WHEN n.doc_id IS NOT NULL THEN {new} ELSE {old} END AS {c}" for c, new, old in (("aesthetic_score", "9e0", "5e0"), ("sharpness", "2e0", "1e0"), ("location_name", "CASE WHEN n.doc_id % 4 > 0 THEN 'there' END", "'here'"), ("scene_changes", "CASE WHEN n.doc_id % 5 = 1 THEN '7' ELSE '' END", "'3'"), ("analysis_version", "'2'", "'1'")))])
+
+
+@query("merge_analysis", f"SELECT coalesce(n.doc_id, o.doc_id) AS file_id, {_MERGED} FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) o FULL JOIN (SELECT doc_id FROM documents WHERE doc_id % 5 <> 0) n ON o.doc_id = n.doc_id")
 def _(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"))
-    old = docs.where("file_id % 3 <> 0").select("file_id", F.lit("old").alias("caption"), F.lit(1.0).alias("sharpness"))
-    new = docs.where("file_id % 5 <> 0").select("file_id", F.when(F.col("file_id") % 2 == 0, "new").alias("caption"), F.lit(2.0).alias("sharpness"))
-    return catalog.merge_analysis(old, new)
+    i, words = F.col("file_id"), lambda *xs: F.array(*map(F.lit, xs))
+    old = docs.where("file_id % 3 <> 0").select(i, *(F.lit(v).alias(c) for c, v in (("caption", "old"), ("mood", "down"), ("contains_text", False), ("is_sensitive", True), ("video_duration", 1.5), ("latitude", 1.0), ("longitude", 1.5), ("altitude", 100.0), ("aesthetic_score", 5.0), ("sharpness", 1.0), ("location_name", "here"), ("analysis_version", "1"))), words("c").alias("tags"), words("q").alias("objects"), F.array(F.lit(3.0)).alias("scene_changes"))
+    image, place = i % 2 == 0, i % 7 < 3
+    new = docs.where("file_id % 5 <> 0").select(
+        i, *(F.when(image, F.lit(v)).alias(c) for c, v in (("caption", "new"), ("mood", "up"), ("contains_text", True), ("is_sensitive", False))), F.when(i % 3 == 0, 2.5).alias("video_duration"), *(F.when(place, v).alias(c) for c, v in (("latitude", 2.0), ("longitude", 2.5), ("altitude", 200.0))),
+        F.lit(9.0).alias("aesthetic_score"), F.lit(2.0).alias("sharpness"), F.when(i % 4 > 0, "there").alias("location_name"), F.lit("2").alias("analysis_version"), F.when(image, words("a", "b")).alias("tags"), F.when(image, words("p")).alias("objects"), F.when(i % 5 == 1, F.array(F.lit(7.0))).alias("scene_changes"),
+    )
+    merged = catalog.merge_analysis(old, new)
+    return merged.withColumns({c: F.array_join(c, ",") for c in ("tags", "objects")} | {"scene_changes": F.array_join(F.transform("scene_changes", lambda x: x.cast("int").cast("string")), ",")})
 
 
 @query("append_faces", f"SELECT id, CAST(confidence * 100 AS INT) AS bbox_x1, CASE WHEN id % 3 = 0 THEN NULL ELSE CAST(id % 3 AS INT) END AS age FROM {_FACES}")
@@ -452,9 +466,11 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.coalesce(text.contains_text(F.col("text")), F.lit(False)).alias("has"), F.coalesce(text.contains_text(F.col("lang")), F.lit(False)).alias("lang_has"))
 
 
-@query("event_key", "SELECT event_id, md5(concat(event_type, '|', 'user' || user_id)) AS k FROM events")
+@query("event_key", "SELECT event_id, md5(concat(event_type, '|', 'user' || user_id, CASE WHEN event_id % 3 = 0 THEN '|to' || user_id ELSE '' END)) AS k FROM events")
 def _(spark, d):
-    return table(spark, d, "events").select("event_id", text.event_key(F.col("event_type"), F.concat(F.lit("User"), F.col("user_id").cast("string")), F.lit(None)).alias("k"))
+    user = F.col("user_id").cast("string")
+    to = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("To"), user)).when(F.col("event_id") % 3 == 1, "")
+    return table(spark, d, "events").select("event_id", text.event_key(F.col("event_type"), F.concat(F.lit("User"), user), to).alias("k"))
 
 
 @query("object_labels", f"""SELECT file_id, string_agg(l, ',' ORDER BY l) AS labels FROM (SELECT DISTINCT file_id, l FROM (SELECT file_id, concat('p', CAST(person_id AS STRING)) AS l, row_number() OVER (PARTITION BY file_id ORDER BY id, concat('p', CAST(person_id AS STRING)), confidence) AS r FROM {_FACES} WHERE confidence >= 0.5) WHERE r <= 3) GROUP BY file_id""")
@@ -784,10 +800,13 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", images.palette_hex(c).alias("hex"))
 
 
-@query("dominant_colors")
+@query("dominant_colors", """SELECT image_id, concat('[', string_agg(color, ',' ORDER BY red), ']') AS colors FROM (SELECT l_orderkey % 50 AS image_id, CASE WHEN l_linenumber <= 3 THEN '[200,0,17]' WHEN l_linenumber <= 5 THEN '[40,240,9]' ELSE '[0,0,255]' END AS color, CASE WHEN l_linenumber <= 3 THEN 200 WHEN l_linenumber <= 5 THEN 40 ELSE 0 END AS red
+  FROM lineitem GROUP BY ALL) GROUP BY image_id""")
 def _(spark, d):
-    pixels = table(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("image_id"), F.array(F.col("l_quantity").cast("int"), (F.col("l_tax") * 100).cast("int"), (F.col("l_discount") * 100).cast("int")).alias("rgb"))
-    return images.dominant_colors(pixels).select("image_id", F.to_json("colors").alias("colors"))
+    color = lambda *c: F.array(*map(F.lit, c))
+    rgb = F.when(F.col("l_linenumber") <= 3, color(200, 0, 17)).when(F.col("l_linenumber") <= 5, color(40, 240, 9)).otherwise(color(0, 0, 255))
+    pixels = table(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("image_id"), rgb.alias("rgb"))
+    return images.dominant_colors(pixels).select("image_id", F.to_json(F.array_sort("colors")).alias("colors"))
 
 
 @query("keyframe_times", "SELECT p_partkey, unnest(range(0, p_size, 10)) AS frame_time FROM part WHERE p_size >= 1")
