@@ -284,3 +284,39 @@ def test_all_pieces_of_the_vocabulary_count():
             arcs = [total[i] + logp[0, 0] for i in range(max(0, j - 20), j) if j - i == 1 or known.get(s[i:j], -1) >= 0]
             total.append(np.logaddexp.reduce(arcs))
         assert abs(total[-1] - got) < 1e-6 * abs(total[-1])
+
+
+# 3
+def test_expectation_maximisation_equals_the_plain_one(spark):
+    import math
+
+    from mediacat.llm import pii
+
+    rng = random.Random(2)
+    rows = [(no, *(rng.choice([-1, 0, 1]) if rng.random() < 0.4 else (1 if i % 3 else -1) for _ in range(3)), rng.randrange(3), rng.randrange(3), rng.randrange(2)) for no in (4, 5) for i in range(400)]
+    names = ("no", *pii.VOTES, *pii.SHAPE)
+
+    def ratios(y, cols):
+        out = {}
+        for no in (4, 5):
+            for c in cols:
+                at, sums = names.index(c), {}
+                for r, p in zip(rows, y, strict=True):
+                    if r[0] == no:
+                        s = sums.setdefault(r[at], [1.0, 1.0])
+                        s[0] += p
+                        s[1] += 1 - p
+                yes, no_ = (sum(s[k] for s in sums.values()) for k in (0, 1))
+                out |= {(no, c, v): math.log(s[0] / yes) - math.log(s[1] / no_) for v, s in sums.items()}
+                if c == cols[0]:
+                    out[no, "prior"] = math.log(yes / no_)
+        return out
+
+    y = [1 / (1 + math.exp(1 - 2 * sum(r[1:4]))) for r in rows]
+    for _ in range(pii.ROUNDS):
+        known = ratios(y, pii.VOTES)
+        y = [1 / (1 + math.exp(-known[r[0], "prior"] - sum(known[r[0], c, r[names.index(c)]] for c in pii.VOTES))) for r in rows]
+    want = ratios(y, (*pii.VOTES, *pii.SHAPE))
+    df = spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names)).select(F.array(F.struct(*names)).alias("spans"))
+    got = pii.train(df)
+    assert {k: round(v, 9) for k, v in got.items()} == {":".join(map(str, k)): round(v, 9) for k, v in want.items()}
