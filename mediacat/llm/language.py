@@ -33,7 +33,7 @@ LETTERS = re.compile("[^" + "".join(c for c in map(chr, range(0x110000)) if c.is
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str | None = None) -> tuple[int, dict[str, int]]:
+def vocabulary(path: str | None = None) -> Trie:
     """How many pieces there are, and a trie: piece to number, and -1 for what only starts pieces.
 
     The pieces are those of the public vocabulary, lower-cased.
@@ -46,11 +46,29 @@ def vocabulary(path: str | None = None) -> tuple[int, dict[str, int]]:
     return trie(pieces)
 
 
-def trie(pieces: Iterable[str]) -> tuple[int, dict[str, int]]:
-    numbers = {p: i for i, p in enumerate(dict.fromkeys(pieces))}
-    if max(map(len, numbers), default=0) > 255:
-        raise ValueError("a piece of more than 255 characters")
-    return len(numbers), {p[:k]: -1 for p in numbers for k in range(1, len(p))} | numbers
+class Trie(tuple):
+    """(how many pieces, piece to number with -1 for what only starts pieces), and the same as arrays: sorted edges (node, character) to nodes, and their pieces."""
+
+    def __new__(cls, pieces: Iterable[str]) -> Trie:
+        numbers = {p: i for i, p in enumerate(dict.fromkeys(pieces))}
+        known = {p[:k]: -1 for p in numbers for k in range(1, len(p))} | numbers
+        own = super().__new__(cls, (len(numbers), known))
+        node = {"": 0} | {p: i for i, p in enumerate(known, 1)}
+        edges = sorted((node[p[:-1]] << 21 | ord(p[-1]), node[p]) for p in known)
+        own.edges = np.array([*(e for e, _ in edges), 1 << 62], np.int64)
+        own.to = np.array([*(n for _, n in edges), -1], np.int64)
+        own.piece = np.array([-1, *known.values()], np.int64)
+        return own
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The nodes after one more character; -1 if there is none."""
+        key = node << 21 | char
+        at = np.searchsorted(self.edges, key)
+        return np.where(self.edges[at] == key, self.to[at], -1)
+
+
+def trie(pieces: Iterable[str]) -> Trie:
+    return Trie(pieces)
 
 
 def words_of(text: str) -> Counter:
@@ -63,33 +81,33 @@ def words_of(text: str) -> Counter:
     return found
 
 
-def lattice(words: list[str], pieces: tuple[int, dict[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def lattice(words: list[str], pieces: Trie) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All arcs of the words' segmentations: (word, from, to, piece), sorted by "to"; and the words' lengths.
 
-    Each word starts with the mark of a word; a character that is no piece is an arc of the unknown piece.
+    Each word starts with the mark of a word; a character that is no piece is an arc of the unknown piece. All places of all words walk down
+    the trie side by side, a character at a time.
     """
-    none, known = pieces
-    get, arcs, ends = known.get, [], []
-    add = arcs.append
-    for word in words:
-        s = MARK + word
-        n = len(s)
-        for i in range(n):
-            p = get(s[i], -1)
-            add((p if p >= 0 else none) << 44 | i << 8 | 1)
-            for j in range(i + 2, n + 1):
-                p = get(s[i:j])
-                if p is None:
-                    break
-                if p >= 0:
-                    add(p << 44 | i << 8 | j - i)
-        ends.append(len(arcs))
-    a = np.array(arcs, np.int64)
-    w = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
-    i = a >> 8 & (1 << 36) - 1
-    j = i + (a & 255)  # no piece is longer
-    order = np.argsort(j, kind="stable")
-    return w[order], i[order], j[order], (a >> 44)[order], np.fromiter(map(len, words), np.int64, len(words)) + 1
+    n = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    chars = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    ends = np.cumsum(n)
+    word = np.repeat(np.arange(len(words)), n)
+    at = np.arange(len(chars))
+    node, length = pieces.step(np.zeros(len(chars), np.int64), chars), 1
+    piece = np.where(node >= 0, pieces.piece[node], -1)
+    arcs = [(at, np.ones(len(at), np.int64), np.where(piece >= 0, piece, pieces[0]))]
+    while len(at):
+        go = (node >= 0) & (at + length < ends[word[at]])
+        at, node = at[go], node[go]
+        node = pieces.step(node, chars[at + length])
+        length += 1
+        piece = np.where(node >= 0, pieces.piece[node], -1)
+        hit = piece >= 0
+        arcs.append((at[hit], np.full(int(hit.sum()), length), piece[hit]))
+    at, size, piece = (np.concatenate(x) for x in zip(*arcs, strict=True))
+    w = word[at]
+    i = at - (ends - n)[w]
+    order = np.lexsort((i, w, i + size))
+    return w[order], i[order], (i + size)[order], piece[order], n
 
 
 def _slices(to: np.ndarray) -> list[slice]:
@@ -97,7 +115,7 @@ def _slices(to: np.ndarray) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def forward(words: list[str], pieces: tuple[int, dict[str, int]], logp: np.ndarray) -> np.ndarray:
+def forward(words: list[str], pieces: Trie, logp: np.ndarray) -> np.ndarray:
     """(word, language): log of the word's probability, over all segmentations. logp: (piece, language), unknown piece last."""
     out = np.empty((len(words), logp.shape[1]))
     by_length = sorted(range(len(words)), key=lambda w: len(words[w]))
@@ -127,7 +145,7 @@ def _forward(arcs: tuple, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return alpha[base[1:] - 1], alpha
 
 
-def expected(words: list[str], counts: np.ndarray, pieces: tuple[int, dict[str, int]], logp: np.ndarray) -> np.ndarray:
+def expected(words: list[str], counts: np.ndarray, pieces: Trie, logp: np.ndarray) -> np.ndarray:
     """How often each piece is expected in the words, each so many times, in one language (forward-backward)."""
     found = np.zeros(pieces[0] + 1)
     for at in range(0, len(words), 4000):

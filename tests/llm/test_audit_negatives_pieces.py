@@ -271,13 +271,14 @@ def test_all_pieces_of_the_vocabulary_count():
 
     from mediacat.llm import language
 
-    n, known = language.vocabulary()
+    vocabulary = language.vocabulary()
+    n, known = vocabulary
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
     names = {model.id_to_piece(i).lower() for i in range(259, model.get_piece_size())}
     assert n == len(names) and names == {p for p, i in known.items() if i >= 0}
     logp = np.full((n + 1, 1), -np.log(n + 1))
     words = ["responsibilities", "ab" * 3000]
-    found = language.forward(words, (n, known), logp)
+    found = language.forward(words, vocabulary, logp)
     for w, got in zip(words, found[:, 0], strict=True):  # the sum over all segmentations, plainly
         s, total = "▁" + w, [0.0]
         for j in range(1, len(s) + 1):
