@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +50,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, gram: int = GRAM, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Pieces of concatenated documents: (anchor hash, piece hash, document, first start, number of starts), starts within data."""
+    """Pieces of concatenated documents: (anchor hash, piece hash, document, first start, number of starts), starts within data.
+
+    The piece hash is XXH64 of the piece's bytes, seeded by the anchor's place: it has nothing in common with the anchor hash.
+    """
     powers, inverse = _powers()
     n, grams = len(data), length - gram + 1
     none = (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 3
@@ -72,9 +76,10 @@ def anchors(data: np.ndarray, ends: np.ndarray, gram: int = GRAM, length: int =
     first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1])]))
     count = np.diff(np.concatenate([first, [len(start)]]))
     begin, place = start[first], a[first]
-    whole = (sums[begin + count - 1 + length] - sums[begin]) * powers[begin]
-    shape = (place - begin).astype(np.uint64) << np.uint64(8) | count.astype(np.uint64)
-    return h[place], mixed(mixed(whole) ^ shape * np.uint64(0xD6E8FEB86659FD93)), d[first], begin, count
+    text, digest = data.tobytes(), xxhash.xxh64_intdigest
+    spans = zip(begin.tolist(), (begin + count - 1 + length).tolist(), (place - begin).tolist(), strict=True)
+    whole = np.fromiter((digest(text[i:j], at) for i, j, at in spans), np.uint64, len(begin))
+    return h[place], whole, d[first], begin, count
 
 
 def _later(h: np.ndarray, f: np.ndarray, rid: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

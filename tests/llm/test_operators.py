@@ -372,6 +372,18 @@ def test_column_bwt_sorts_all_suffixes():
         assert suffix_dedup.column_bwt(np.frombuffer(b"".join(parts), np.uint8), ends).tolist() == [w[2] for w in want]
 
 
+def test_pieces_are_told_apart():
+    texts = [bytes(random.Random(i % 40).choices(b"ab \xc3\xa9", k=300 + i % 40)) for i in range(60)]
+    h, f, d, start, n = suffix_dedup.anchors(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]))
+    begins = np.cumsum([0] + [len(t) for t in texts])
+    assert {i: int(n[d == i].sum()) for i in range(60)} == {i: len(t) - 99 for i, t in enumerate(texts)}
+    piece = [texts[i][s - begins[i] : s - begins[i] + k + 99] for i, s, k in zip(d, start, n)]
+    of = {}
+    for key, p in zip(zip(h.tolist(), f.tolist()), piece):
+        assert of.setdefault(key, p) == p
+    assert len(of) == len(set(piece)) < len(piece)
+
+
 def test_suffix_dedup(spark):
     rng = random.Random(7)
     base = ["".join(rng.choice("abcdefghij ") for _ in range(400)) for _ in range(4)]
