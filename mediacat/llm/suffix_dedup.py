@@ -267,9 +267,10 @@ def column_bwt(pieces: np.ndarray, ends: np.ndarray) -> np.ndarray:
     starts = np.concatenate([[0], ends[:-1]])
     m = len(ends)
     live, rank = np.arange(m), np.arange(m)
-    # Symbol 0 stands for the end of a piece, bytes for themselves plus 1.
-    symbols = np.append(pieces.astype(np.int16) + 1, np.int16(0))
-    before = np.where(ends > starts, symbols[np.maximum(ends - 1, 0)], 0).astype(np.int16)
+    # Symbol 0 stands for the end of a piece, bytes for themselves plus 1: UTF-8 has no byte 255, so one byte holds a symbol and sorts in one pass.
+    narrow = np.uint8 if not len(pieces) or pieces.max() < 255 else np.int16
+    symbols = np.append(pieces.astype(narrow) + narrow(1), narrow(0))
+    before = np.where(ends > starts, symbols[np.maximum(ends - 1, 0)], narrow(0))
     bwt, place = before, ends.astype(np.int64)
     depth = 0
     while len(live):
@@ -278,17 +279,18 @@ def column_bwt(pieces: np.ndarray, ends: np.ndarray) -> np.ndarray:
         live, at, rank = live[at >= starts[live]], at[at >= starts[live]], rank[at >= starts[live]]
         if not len(live):
             break
-        # Order of all symbols in the transform: each place's rank among suffixes that start with its symbol.
+        # Order of all symbols in the transform: a place in it is the rank among suffixes that start with its symbol.
         order = np.argsort(bwt, kind="stable")
-        ends_of_pieces = int(np.searchsorted(bwt[order], 1))
-        lf = np.empty(len(bwt), np.int64)
-        lf[order] = np.arange(len(bwt)) - ends_of_pieces + m
-        new = lf[rank]
-        symbol = np.where(at > starts[live], symbols[np.maximum(at - 1, 0)], 0).astype(np.int16)
+        ends_of_pieces = len(bwt) - int(np.count_nonzero(bwt))
+        going = np.zeros(len(bwt), bool)
+        going[rank] = True
+        hits, new = np.flatnonzero(going[order]), np.empty(len(rank), np.int64)
+        new[np.argsort(rank)] = hits[np.argsort(order[hits])] - ends_of_pieces + m
+        symbol = np.where(at > starts[live], symbols[np.maximum(at - 1, 0)], narrow(0))
         total = len(bwt) + len(live)
         fill = np.ones(total, bool)
         fill[new] = False
-        grown, where = np.empty(total, np.int16), np.empty(total, np.int64)
+        grown, where = np.empty(total, narrow), np.empty(total, np.int64)
         grown[new], where[new] = symbol, at
         grown[fill], where[fill] = bwt, place
         bwt, place, rank = grown, where, new
