@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from mediacat.storage import stored
 
@@ -11,6 +12,8 @@ from mediacat.storage import stored
 WEIGHTS = {"sharpness": 0.3, "face": 0.25, "eye": 0.2, "aesthetic": 0.15}
 COMPOSITION, COMPOSITION_WEIGHT = 0.5, 0.1
 BUCKET_SECONDS = 3600
+#: Rows of photos that a task sorts, as long as no bucket or burst has more.
+TASK_ROWS = 100_000
 
 
 def detect_bursts(df: DataFrame, ts: str = "ts", path: str = "path", gap: float = 1.0, partition: str | None = None, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
@@ -24,22 +27,28 @@ def detect_bursts(df: DataFrame, ts: str = "ts", path: str = "path", gap: float
     limit = F.lit(round(gap * 1_000_000))
     if partition:
         w = Window.partitionBy(partition).orderBy("__t", path)
-        rows = rows.withColumn("__new", F.coalesce((F.col("__t") - F.lag("__t").over(w) > limit).cast("long"), F.lit(1).cast("long")))
-        rows = rows.withColumn("burst", F.sum("__new").over(w))
-        keys = [partition, "burst"]
+        before, after = F.lag("__t").over(w), F.lead("__t").over(w)
     else:
         rows = rows.withColumn("__b", F.floor(F.col("__t") / (bucket_seconds * 1_000_000)))
-        ends = rows.groupBy("__b").agg(F.max("__t").alias("__last"))
-        before = stored(ends.select("__b", F.lag("__last").over(Window.orderBy("__b")).alias("__prev")), "buckets")  # a row for each bucket
+        ends = rows.groupBy("__b").agg(F.min("__t").alias("__first"), F.max("__t").alias("__last"), F.count("*").alias("__rows"))
+        order = Window.orderBy("__b")  # a row for each bucket
+        around = stored(ends.select("__b", "__rows", F.lag("__last").over(order).alias("__prev"), F.lead("__first").over(order).alias("__next")), "buckets")
+        rows = rows.repartition(_tasks(around.agg(F.sum("__rows")).first()[0] or 0), "__b").join(F.broadcast(around.drop("__rows")), "__b")
         w = Window.partitionBy("__b").orderBy("__t", path)
-        rows = rows.join(before, "__b").withColumn("__p", F.coalesce(F.lag("__t").over(w), F.col("__prev")))
-        rows = rows.withColumn("__new", F.coalesce((F.col("__t") - F.col("__p") > limit).cast("long"), F.lit(1).cast("long"))).drop("__p", "__prev")
-        starts = rows.groupBy("__b").agg(F.sum("__new").alias("__n"))
-        base = starts.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__base"))
-        rows = rows.join(base, "__b").withColumn("burst", F.col("__base") + F.sum("__new").over(w)).drop("__b", "__base")
-        keys = ["burst"]
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__size")).where("__size >= 2").drop("__size")
-    return rows.drop("__t", "__new").join(sizes, keys, "left_semi")
+        before, after = F.coalesce(F.lag("__t").over(w), F.col("__prev")), F.coalesce(F.lead("__t").over(w), F.col("__next"))
+    # A row starts a run if the one before is too far off; it is alone if the one after starts one as well.
+    starts = lambda t, last: F.coalesce((t - last > limit).cast("long"), F.lit(1).cast("long"))
+    rows = rows.withColumns({"__new": starts(F.col("__t"), before), "__over": starts(after, F.col("__t"))}).withColumn("burst", F.sum("__new").over(w))
+    if not partition:
+        base = rows.groupBy("__b").agg(F.sum("__new").alias("__n")).select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__base"))
+        rows = rows.join(F.broadcast(base), "__b").withColumn("burst", F.col("__base") + F.col("burst")).drop("__b", "__base", "__prev", "__next")
+    rows = rows.where("__new = 0 or __over = 0").drop("__t", "__new", "__over")
+    return stored(rows.select(*([partition] if partition else []), "burst", *(c for c in df.columns if c != partition)), "bursts")
+
+
+def _tasks(rows: int) -> int:
+    """So many tasks that none sorts many more than TASK_ROWS."""
+    return rows // TASK_ROWS + 1
 
 
 def burst_id(df: DataFrame, keys: list[str], ts: str = "ts", path: str = "path") -> DataFrame:
@@ -71,20 +80,21 @@ def photo_score(sharpness: Column, face: Column, eye: Column, aesthetic: Column)
     return total
 
 
-def _ranked(df: DataFrame, keys: list[str], ts: str, path: str, score: str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), ts, path)))
+def _by_burst(df: DataFrame, keys: list[str], ts: str, path: str, score: str) -> tuple[DataFrame, WindowSpec]:
+    """df dealt by burst to as many tasks as its rows ask for, and the order of a burst."""
+    return df.repartition(_tasks(df.count()), *keys), Window.partitionBy(*keys).orderBy(F.desc(score), ts, path)
 
 
 def select_best(df: DataFrame, keys: list[str], keep: int = 1, ts: str = "ts", path: str = "path", score: str = "score") -> DataFrame:
     """The best `keep` rows of each burst; ties in burst order."""
-    return _ranked(df, keys, ts, path, score).where(F.col("rank") <= keep).drop("rank")
+    rows, w = _by_burst(df, keys, ts, path, score)
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).drop("rank")
 
 
 def cull_actions(df: DataFrame, keys: list[str], keep: int = 1, action: str = "mark", ts: str = "ts", path: str = "path", score: str = "score") -> DataFrame:
     """df with action (keep, or the one chosen) and best (the burst's best path)."""
-    rows = _ranked(df, keys, ts, path, score)
-    best = F.first_value(path).over(Window.partitionBy(*keys).orderBy("rank"))
-    return rows.withColumn("best", best).withColumn("action", F.when(F.col("rank") <= keep, "keep").otherwise(action)).drop("rank")
+    rows, w = _by_burst(df, keys, ts, path, score)
+    return rows.withColumn("best", F.first_value(path).over(w)).withColumn("action", F.when(F.row_number().over(w) <= keep, "keep").otherwise(action))
 
 
 def culling_totals(summary: DataFrame) -> DataFrame:
