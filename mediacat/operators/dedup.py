@@ -80,10 +80,16 @@ def near_duplicate_join(left: DataFrame, right: DataFrame, fp: str = "perceptual
     All pairs of files: of copies there are as many as the square of their number. near_duplicate_classes() has a row for each file instead.
     """
     rows = banded(left, fp, threshold)
-    links = near_links(rows, rows if right is left else banded(right, fp, threshold), threshold)
-    ids = lambda df, side: df.select(F.col(fp).alias(f"{side}_fp"), F.col("id").alias(f"{side}_id"))
-    pairs = links.join(ids(left, "left"), "left_fp").join(ids(right, "right"), "right_fp")
-    return pairs.where("left_id <> right_id").select("left_id", "right_id").distinct()
+    links = stored(near_links(rows, rows if right is left else banded(right, fp, threshold), threshold), "fingerprint-links")
+    several = lambda df: df.groupBy("id").agg((F.count_distinct(fp) > 1).alias("many"))
+    ids = lambda df, side: df.select("id", fp).distinct().join(several(df), "id").select(F.col(fp).alias(f"{side}_fp"), F.col("id").alias(f"{side}_id"), F.col("many").alias(f"{side}_many"))
+    one, two = stored(ids(left, "left"), "left-ids"), stored(ids(right, "right"), "right-ids")
+    # A pair can only come twice if one of its ids has several fingerprints: no other pairs are compared with each other.
+    met = lambda a, b: links.join(a, "left_fp").join(b, "right_fp").where("left_id <> right_id").select("left_id", "right_id")
+    if one.where("left_many").isEmpty() and two.where("right_many").isEmpty():
+        return met(one, two)
+    again = met(one.where("left_many"), two).unionByName(met(one.where("not left_many"), two.where("right_many"))).distinct()
+    return met(one.where("not left_many"), two.where("not right_many")).unionByName(again)
 
 
 def near_duplicate_classes(files: DataFrame, fp: str = "perceptual_hash", threshold: float = 0.9) -> tuple[DataFrame, DataFrame]:
