@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediacat.functions.paths import COUNTER, RAW, directory, extension, is_burst_name, stem
+from mediacat.storage import partitions, stored
+
+#: Pairs of files of one content that a task gives, and to how many it is dealt at most.
+PAIRS_A_SHARE, MOST_SHARES = 1 << 24, 64
 
 
 def latest_analysis(files: DataFrame, analysis: DataFrame, n: int = 20) -> DataFrame:
@@ -26,10 +30,22 @@ def new_files(listing: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def exact_matches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id) of equal content under another path."""
+    """(left_id, right_id) of equal content under another path.
+
+    All pairs: of one content as many as the square of its files. A content with many is dealt to several tasks, each with a share of its left files and
+    all right ones. content_classes() has a row for each file instead.
+    """
     a = left.select(F.col("id").alias("left_id"), F.col("file_path").alias("lp"), "file_hash")
     b = right.select(F.col("id").alias("right_id"), F.col("file_path").alias("rp"), "file_hash")
-    return a.join(b, "file_hash").where("lp <> rp").select("left_id", "right_id")
+    count = lambda df, n: df.where("file_hash is not null").groupBy("file_hash").agg(F.count("*").alias(n))
+    ways = F.least(F.ceil(F.col("l") * F.col("r") / PAIRS_A_SHARE), F.lit(MOST_SHARES)).cast("int")
+    hot = count(a, "l").join(count(b, "r"), "file_hash").select("file_hash", ways.alias("ways")).where("ways > 1")
+    hot = F.broadcast(stored(hot, "hot-contents"))  # at most a content for each PAIRS_A_SHARE pairs
+    share = F.coalesce(F.pmod(F.xxhash64("left_id", "lp"), F.col("ways")).cast("int"), F.lit(0))
+    a = a.join(hot, "file_hash", "left").select("left_id", "lp", "file_hash", share.alias("share"))
+    a = a.repartition(partitions(left.sparkSession), "file_hash", "share")  # few rows may stand for very many pairs
+    b = b.join(hot, "file_hash", "left").select("right_id", "rp", "file_hash", F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1)).alias("share"))
+    return a.join(b, ["file_hash", "share"]).where("lp <> rp").select("left_id", "right_id")
 
 
 def content_classes(files: DataFrame) -> DataFrame:
