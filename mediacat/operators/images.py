@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -81,21 +80,21 @@ def fingerprint(df: DataFrame, luma: str = "luma", size: int = 32, parts: int =
     def digits(bits: np.ndarray) -> str:
         return f"{int(''.join('1' if b else '0' for b in bits.ravel()), 2):016x}"
 
-    def prints(column: pa.Array) -> pa.Array:
-        out = []
-        for x in column:
-            if not x.is_valid or len(x.values) != size * size:
-                out.append(None)
-                continue
-            img = np.asarray(x.values.to_numpy(zero_copy_only=False), float).reshape(size, size)
-            small = img.reshape(8, size // 8, 8, size // 8).mean(axis=(1, 3))
-            low = np.round(basis @ img @ basis.T, 6)  # what rounding leaves of equal terms is no bit
-            wide = np.round(img.reshape(8, size // 8, size).mean(axis=1) @ nine.T, 6)
-            out.append(":".join(map(digits, (small > small.mean(), low > np.median(low), wide[:, 1:] > wide[:, :-1], small > np.median(small))[:parts])))
-        return pa.array(out, pa.string())
-
-    # Only the luminance goes to Python, and only the fingerprints come back; one image at a time is laid out anew.
-    return df.withColumn("perceptual_hash", F.arrow_udf(prints, "string")(F.col(luma)))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for x in b[luma]:
+                if x is None or len(x) != size * size:
+                    out.append(None)
+                    continue
+                img = np.asarray(x, float).reshape(size, size)
+                small = img.reshape(8, size // 8, 8, size // 8).mean(axis=(1, 3))
+                low = np.round(basis @ img @ basis.T, 6)  # what rounding leaves of equal terms is no bit
+                wide = np.round(img.reshape(8, size // 8, size).mean(axis=1) @ nine.T, 6)
+                out.append(":".join(map(digits, (small > small.mean(), low > np.median(low), wide[:, 1:] > wide[:, :-1], small > np.median(small))[:parts])))
+            yield b.assign(perceptual_hash=out)
+
+    return df.mapInPandas(run, StructType([*df.schema.fields]).add("perceptual_hash", "string"))
 
 
 def lab_spread(pixels: DataFrame) -> DataFrame:
