@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediacat.functions.paths import COUNTER, RAW, directory, extension, is_burst_name, stem
 from mediacat.storage import partitions, stored
 
-#: Pairs of files of one content that a task gives, and to how many it is dealt at most.
-PAIRS_A_SHARE, MOST_SHARES = 1 << 24, 64
+#: Pairs that a share and a block of a content's files make, those that a task gives, and how many tasks there are at most.
+PAIRS_A_SHARE, PAIRS_A_TASK, MOST_TASKS = 1 << 24, 1 << 26, 10_000
+#: Files of a block (Parquet packs numbers in runs of 504, so runs of a block repeat byte for byte), and files of one content that are sorted at once.
+BLOCK, PIECE = 504, 1 << 17
 
 
 def latest_analysis(files: DataFrame, analysis: DataFrame, n: int = 20) -> DataFrame:
@@ -32,20 +36,36 @@ def new_files(listing: DataFrame, files: DataFrame) -> DataFrame:
 def exact_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     """(left_id, right_id) of equal content under another path.
 
-    All pairs: of one content as many as the square of its files. A content with many is dealt to several tasks, each with a share of its left files and
-    all right ones. content_classes() has a row for each file instead.
+    All pairs: of one content as many as the square of its files. Left files of a content are dealt to shares and right ones, by path, to blocks. A share and a
+    block meet in one task, where every left file meets the block's files in the same order: what is written of the pairs repeats itself, and encodes
+    to a small part of what it takes in any order. content_classes() has a row for each file instead.
     """
-    a = left.select(F.col("id").alias("left_id"), F.col("file_path").alias("lp"), "file_hash")
-    b = right.select(F.col("id").alias("right_id"), F.col("file_path").alias("rp"), "file_hash")
-    count = lambda df, n: df.where("file_hash is not null").groupBy("file_hash").agg(F.count("*").alias(n))
-    ways = F.least(F.ceil(F.col("l") * F.col("r") / PAIRS_A_SHARE), F.lit(MOST_SHARES)).cast("int")
-    hot = count(a, "l").join(count(b, "r"), "file_hash").select("file_hash", ways.alias("ways")).where("ways > 1")
-    hot = F.broadcast(stored(hot, "hot-contents"))  # at most a content for each PAIRS_A_SHARE pairs
-    share = F.coalesce(F.pmod(F.xxhash64("left_id", "lp"), F.col("ways")).cast("int"), F.lit(0))
-    a = a.join(hot, "file_hash", "left").select("left_id", "lp", "file_hash", share.alias("share"))
-    a = a.repartition(partitions(left.sparkSession), "file_hash", "share")  # few rows may stand for very many pairs
-    b = b.join(hot, "file_hash", "left").select("right_id", "rp", "file_hash", F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1)).alias("share"))
-    return a.join(b, ["file_hash", "share"]).where("lp <> rp").select("left_id", "right_id")
+    spark, keys = left.sparkSession, ["file_hash", "left_share", "right_share"]
+    count = lambda df, n: df.where("file_hash is not null").groupBy("file_hash").agg(F.count("file_path").alias(n))
+    counts = count(left, "l").join(count(right, "r"), "file_hash", "full_outer")
+    counts = stored(counts.where("greatest(l, r) > 1"), "contents")
+    pairs = counts.agg(F.sum(F.col("l").cast("double") * F.col("r"))).first()[0] or 0
+    tasks = max(partitions(spark), min(MOST_TASKS, math.ceil(pairs / PAIRS_A_TASK)))  # few rows may stand for very many pairs
+
+    ways = lambda n, most: F.greatest(F.ceil(F.coalesce(n, F.lit(0)) / most), F.lit(1)).cast("int")
+    hot = counts.select("file_hash", ways("l", max(1, PAIRS_A_SHARE // BLOCK)).alias("shares"), ways("r", PIECE).alias("pieces"), "r")
+    hot = hot.withColumn("blocks", ways(F.col("r") / F.col("pieces"), BLOCK) + (F.col("pieces") > 1).cast("int")).drop("r")
+    hot = F.broadcast(hot.where("shares > 1 or pieces * blocks > 1"))  # at most one for each BLOCK files
+
+    def files(df: DataFrame) -> DataFrame:
+        known = df.where("file_hash is not null and file_path is not null")
+        known = known.select("file_hash", F.struct(F.col("file_path").alias("path"), "id").alias("file"), F.xxhash64("id", "file_path").alias("deal"))
+        return known.join(hot, "file_hash", "left").fillna(1, ["shares", "pieces", "blocks"])
+
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    a = files(left).groupBy("file_hash", F.expr("int(pmod(deal, shares))").alias("left_share"), F.expr("pieces * blocks").alias("n")).agg(F.sort_array(F.collect_list("file")).alias("files"))
+    a = a.select("file_hash", "left_share", each(F.col("n")).alias("right_share"), "files").repartition(tasks, *keys).select(*keys, F.explode("files").alias("a"))
+    b = files(right).withColumn("piece", F.expr("int(pmod(deal, pieces))"))
+    place = F.row_number().over(Window.partitionBy("file_hash", "piece").orderBy("file")) - 1
+    block = F.least(F.floor(place / BLOCK).cast("int"), F.col("blocks") - 1)  # pieces differ a little in size
+    b = b.select("file_hash", "shares", (F.col("piece") * F.col("blocks") + block).alias("right_share"), F.col("file").alias("b"))
+    b = b.select("file_hash", each(F.col("shares")).alias("left_share"), "right_share", "b").repartition(tasks, *keys)
+    return a.hint("merge").join(b, keys).where("a.path <> b.path").select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"))
 
 
 def content_classes(files: DataFrame) -> DataFrame:
